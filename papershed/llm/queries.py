@@ -7,10 +7,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papershed.llm import chat_format, sharding
+from papershed.llm import chat_format, packing, sharding, token_store
 from papershed.llm.common import shared_dir, stored, table, text_or_empty, unsigned_crc32
 
 N_SHARDS = 40
+PACKING_END_ID, STORE_END_ID = 1, 2
+BYTE_VOCABULARY = 50257
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, in as few sequences of 4096 tokens as the plan finds."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"), PACKING_END_ID)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a content-addressed store of ids and read back."""
+    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), STORE_END_ID)
+    return token_store.read_digests(spark, path, BYTE_VOCABULARY)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +71,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
+    "op5_token_store": op5_token_store,
     "op7_sharding": op7_sharding,
     "op10_chat_format": op10_chat_format,
 }
