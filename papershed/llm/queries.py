@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papershed.llm import chat_format, decontaminate, packing, sharding, token_store
+from papershed.llm import chat_format, decontaminate, langid, packing, sharding, token_store, toxicity
 from papershed.llm.common import shared_dir, stored, table, text_or_empty, unsigned_crc32
 
 N_SHARDS = 40
@@ -21,6 +21,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(of: int):
+    """crc32 of doc_id as text, modulo ``of``; 0 for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(0))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.fit(docs, remainder(4) == 2)
+    return docs.select("doc_id", (remainder(4) == 2).alias("held_out"), langid.language(filters, F.col("text")).alias("found")).select(
+        "doc_id", "held_out", "found.lang_pred", "found.score"
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) == 0)
+    scored = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), toxicity.toxicity(lexicon, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -80,9 +102,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op10_chat_format": op10_chat_format,
 }
