@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papershed.llm import chat_format, decontaminate, langid, packing, sharding, token_store, toxicity
+from papershed.llm import chat_format, decontaminate, html_extract, langid, packing, sharding, simhash, token_store, toxicity
 from papershed.llm.common import shared_dir, stored, table, text_or_empty, unsigned_crc32
 
 N_SHARDS = 40
@@ -21,6 +21,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of their links."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def remainder(of: int):
     """crc32 of doc_id as text, modulo ``of``; 0 for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(0))
@@ -89,6 +95,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_extract.main_text(html_extract.fit(pages), F.col("html"))
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and number -7, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -102,12 +115,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_language": op2_language,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op9_html_text": op9_html_text,
     "op10_chat_format": op10_chat_format,
 }
 
