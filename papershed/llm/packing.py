@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papershed.llm.common import stored
-from papershed.llm.tokens import encoder, specification
+from papershed.llm.tokens import encoder, slices, specification
 
 CAPACITY = 4096
 #: Pieces of one length are ranked in so many parts, so that a very common length is no single task.
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value, "dropped")
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
             rows: list[list] = [[] for _ in range(6)]
             for doc_id, body in zip(batch.column("doc_id").to_pylist(), ids):

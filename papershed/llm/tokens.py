@@ -9,7 +9,9 @@ from pathlib import Path
 import numpy as np
 
 #: Words whose ids a worker remembers; once it is full, new words are forgotten after their batch.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
+#: Characters of text whose words are in memory at once, but for a single longer text.
+BATCH_CHARS = 3_000_000
 
 #: Byte-level vocabularies write a byte outside the printable ones as a code point from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -95,6 +97,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        start = size = 0
+        for at, text in enumerate(texts):
+            if size and size + len(text) > BATCH_CHARS:
+                out += self._encode(texts[start:at])
+                start, size = at, 0
+            size += len(text)
+        return out + self._encode(texts[start:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [(t if self.lead else t.replace("\n", " ")).split(" ") for t in texts]
         firsts = [p.pop(0) for p in parts]
         once = [(self.firsts, self._learn(self.firsts, "", set(firsts))), (self.words, self._learn(self.words, self.lead, set().union(*parts)))]
@@ -110,6 +122,12 @@ class Encoder:
         return out
 
 
+def slices(batch, rows: int = 500):
+    """The batch in parts of so many rows."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def encoder(spec: str, spaces: str) -> Encoder:
     """One encoder for each specification and worker process."""
     key = (len(spec), hash(spec), spaces)
