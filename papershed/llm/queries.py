@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papershed.llm import chat_format, decontaminate, html_extract, langid, packing, sharding, simhash, token_store, toxicity
+from papershed.llm import chat_format, decontaminate, html_extract, langid, packing, sharding, simhash, sketch, token_store, toxicity
 from papershed.llm.common import shared_dir, stored, table, text_or_empty, unsigned_crc32
 
 N_SHARDS = 40
@@ -95,6 +95,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents and of their edited texts."""
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -122,6 +127,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_fingerprints": op8_fingerprints,
     "op9_html_text": op9_html_text,
     "op10_chat_format": op10_chat_format,
 }
