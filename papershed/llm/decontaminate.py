@@ -130,13 +130,13 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without any verified window of an item, all their columns as they were."""
     windows = stored(item_windows(items.select("item_id", "text")))
-    names = docs.columns
-    kept = scan(docs, windows, names)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    kept = scan(docs.select(whole, "text"), windows, ["doc"])
     known = windows.select("window").distinct()
     if known.count() <= LITERAL_LIMIT:
         texts = [r["window"] for r in known.collect()]
         verified = F.exists("hits", lambda h: h["window"].isin(texts)) if texts else F.lit(False)
-        return kept.filter(~verified).select(*names)
+        return kept.filter(~verified).select("doc.*")
     rows = stored(kept.withColumn("row", F.monotonically_increasing_id()))
     dirty = rows.select("row", F.explode("hits").alias("h")).join(known, F.col("h.window") == F.col("window"), "left_semi")
-    return rows.join(dirty.select("row").distinct(), "row", "left_anti").select(*names)
+    return rows.join(dirty.select("row").distinct(), "row", "left_anti").select("doc.*")

@@ -24,7 +24,7 @@ from papershed.llm.common import stored
 from papershed.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 3, 2
-#: Bounds of the fit: fingerprints that the trees are fitted on, homes that a leaf should have.
+#: Bounds of the fit: fingerprints that the trees are fitted on (expected, by a hash), homes that a leaf should have.
 SAMPLE, LEAF = 32_768, 2_048
 BLOCK = 256
 
@@ -153,8 +153,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, leaf: i
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    sample = np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64)
+    draw = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, n)))
+    sample = np.sort(np.array([r["fp"] for r in distinct.select("fp").filter(draw).collect()], dtype=np.int64).view(np.uint64))
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(sample) / 8)))))
     trees = spark.sparkContext.broadcast([Tree.fit(sample, mask, depth, k) for k, mask in enumerate(band_masks(bands))])
     per_band = radius // bands
@@ -212,6 +212,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> Da
         ids = kept.filter(condition).select(F.col("doc_id").alias("kept_id"))
         return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
+    once = rows("n = 1").select(*names)
+    if kept.filter("n > 1").isEmpty():  # doc_ids are unique as a rule; the texts needn't be joined twice then
+        return once
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    several = rows("n > 1").withColumn("_nth", nth).filter("_nth = 1")
-    return rows("n = 1").select(*names).union(several.select(*names))
+    return once.union(rows("n > 1").withColumn("_nth", nth).filter("_nth = 1").select(*names))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled documents (by a hash of doc_id), entries of the lexicon, exception phrases.
+#: Bounds of the fit: labelled documents (expected, by a hash of doc_id), entries of the lexicon, exception phrases.
 SAMPLE, ENTRIES, EXCEPTIONS = 20_000, 5_000, 1_000
 #: An entry is in at least so many toxic documents of the sample and in at least this share of them, and its log odds
 #: are at least so high.
@@ -125,15 +125,13 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Lexicon:
     """A lexicon from labelled documents that aren't held out (``held_out`` is a condition on doc_id).
 
-    At most SAMPLE labels, by a hash of doc_id, are looked up in the documents; their whole
+    SAMPLE labels in the mean, by a hash of doc_id, are looked up in the documents; their whole
     texts are counted on the executors, equal texts once. Without labels of either kind the score is low for all.
     """
     spark = docs.sparkSession
-    drawn = (
-        labels.filter(F.col("toxic").isin(0, 1)).filter(~held_out)
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
-    )
+    usable = labels.filter(F.col("toxic").isin(0, 1)).filter(~held_out).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    share = min(1.0, SAMPLE / max(1, usable.count()))
+    drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * share))
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic").distinct().cache()
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:

@@ -48,10 +48,10 @@ def test_whole_table_against_all_pairs(spark, sf_dir):
     assert {tuple(r) for r in op1_simhash(spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect()} == expect
 
 
-@pytest.mark.parametrize("bands, radius", [(1, 3), (2, 3), (4, 3), (2, 5)])
+@pytest.mark.parametrize("bands, radius", [(1, 3), (2, 3), (2, 5)])
 def test_trees_lose_no_link(spark, bands, radius):
     rng = np.random.default_rng(bands)
-    seeds = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = {int(s) for s in seeds}
     for s in seeds:  # chains and dense balls around the seeds
         x = int(s)
@@ -95,8 +95,8 @@ def test_one_of_each_keeps_columns_and_one_copy(spark, documents):
 
 
 def test_star_and_chain_components(spark):
-    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 360)] + [(900, 800)]
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 320)] + [(900, 800)]
     df = spark.createDataFrame(edges, "u long, v long")
     found = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
-    assert found == {**{k: 0 for k in range(200)}, **{k: 300 for k in range(300, 361)}, 800: 800, 900: 800}
+    assert found == {**{k: 0 for k in range(200)}, **{k: 300 for k in range(300, 321)}, 800: 800, 900: 800}
     assert components.connected_components(df.filter(F.lit(False))).collect() == []
