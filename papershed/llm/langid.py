@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papershed.llm.common import stored
+
 UNDETERMINED = "und"
 SIZES = (3, 4)
 #: Bounds of the fit: documents of a language (expected, by a hash of the text), languages, n-grams of a language.
@@ -116,7 +118,7 @@ def fit(docs: DataFrame, held_out: Column) -> Filters:
         return Filters()
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, DOCS_PER_LANGUAGE / r["count"]))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    drawn = labelled.filter(F.col("lang").isin([r["lang"] for r in sizes])).filter(draw < share[F.col("lang")])
+    drawn = stored(labelled.filter(F.col("lang").isin([r["lang"] for r in sizes])).filter(draw < share[F.col("lang")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, held_out: Column) -> Filters:
     totals = drawn.groupBy("lang").agg(F.sum(F.char_length("text")).alias("total"))
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.greatest("total", F.lit(1)))
     highest = rated.groupBy("gram").agg(F.max("rate").alias("highest"), F.collect_list(F.struct("lang", "rate", "n")).alias("in"))
-    kept = highest.select("gram", "highest", F.explode("in").alias("e")).filter(F.col("e.rate") >= LEAST_SHARE * F.col("highest"))
+    kept = stored(highest.select("gram", "highest", F.explode("in").alias("e")).filter(F.col("e.rate") >= LEAST_SHARE * F.col("highest")))
     names = sorted(r["lang"] for r in sizes)
     grams = []
     for name in names:
