@@ -19,14 +19,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papershed.llm.tokens import encoder, specification
+from papershed.llm.tokens import encoder, slices, specification
 
-#: A chunk ends where the hash has its low bits clear: every 256 ids in the mean.
-MASK, LEAST, MOST = np.uint64(255), 64, 2048
+#: A chunk ends where the hash has its high bits clear, every 512 ids in the mean, but is no shorter or longer than this.
+MASK, LEAST, MOST = np.uint64(511), 64, 4096
+#: Ids that the hash looks back on; no more than the shortest chunk, so that it never sees another document's ids.
 WINDOW = 16
 
 
@@ -38,27 +40,34 @@ def _gear(size: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_ends(ids: np.ndarray, gear: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id sequence that isn't empty, the last being its length."""
+def chunk_ends(ids: np.ndarray, documents: np.ndarray, gear: np.ndarray) -> list[list[int]]:
+    """For documents that lie one after the other in ``ids``, by their ends, the ends of each one's chunks."""
     h = gear[ids]
     width = 1
     while width < WINDOW:
         h[width:] = h[width:] + (h[:-width] << np.uint64(width))
         width *= 2
-    ends, start = [], 0
-    for end in (np.flatnonzero((h >> np.uint64(WINDOW - 8)) & MASK == 0) + 1).tolist():
-        while end - start > MOST:
-            start += MOST
-            ends.append(start)
-        if end - start >= LEAST:
-            ends.append(end)
-            start = end
-    while len(ids) - start > MOST:
-        start += MOST
-        ends.append(start)
-    if start < len(ids):
-        ends.append(len(ids))
-    return ends
+    cuts = (np.flatnonzero((h >> np.uint64(40)) & MASK == 0) + 1).tolist()
+    found, start, at = [], 0, 0
+    for last in documents.tolist():
+        ends = []
+        while True:
+            end = cuts[at] if at < len(cuts) and cuts[at] < last else last
+            while end - start > MOST:
+                start += MOST
+                ends.append(start)
+            if end == last:
+                ends.append(last)
+                start = last
+                break
+            if end - start >= LEAST:
+                ends.append(end)
+                start = end
+            at += 1
+        while at < len(cuts) and cuts[at] <= last:
+            at += 1
+        found.append(ends)
+    return found
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -74,38 +83,39 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value, "leading")
         size = max(enc.tokenizer.get_vocab_size(), end_id + 1)
-        kind, gear, serial = np.dtype("<u2" if size <= 65536 else "<u4"), _gear(size), 0
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            keys: list[bytes] = []
-            bodies: list[bytes] = []
-            recipes: list[dict | None] = []
-            seen: set[bytes] = set()
-            for doc_id, part, body in zip(batch.column("doc_id").to_pylist(), batch.column("task").to_pylist(), enc.encode(texts)):
-                ids = np.append(np.frombuffer(body, dtype="<u4"), np.uint32(end_id))
-                packed, start, chunks = ids.astype(kind).tobytes(), 0, []
-                for end in chunk_ends(ids, gear):
-                    piece = packed[start * kind.itemsize : end * kind.itemsize]
-                    key = hashlib.sha256(piece).digest()
+        end = np.array([end_id], dtype="<u4").tobytes()
+        kind, gear, serial = np.dtype(_kind(size)), _gear(size), 0
+        for batch in (part for whole in batches for part in slices(whole)):
+            encoded = enc.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = np.frombuffer(b"".join([b + end for b in encoded]), dtype="<u4")
+            n_tokens = np.array([len(b) // 4 + 1 for b in encoded])
+            ends = chunk_ends(ids, np.cumsum(n_tokens), gear)
+            packed, width, at = ids.astype(kind).tobytes(), kind.itemsize, 0
+            chunks: list[bytes] = []
+            leaves: list[bytes] = []
+            bodies: dict[bytes, bytes] = {}
+            for own in ends:
+                first = len(chunks)
+                for stop in own:
+                    body = packed[at * width : stop * width]
+                    key = hashlib.sha256(body).digest()
                     chunks.append(key)
-                    start = end
-                    if key not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        bodies.append(piece)
-                        recipes.append(None)
-                keys.append(f"{part}-{serial}".encode())
-                serial += 1
-                bodies.append(b"")
-                leaf = hashlib.sha256(b"".join(chunks)).digest()
-                recipes.append({"doc_id": doc_id, "n_tokens": len(ids), "chunks": chunks, "leaf": leaf})
-            columns = [
-                pa.array(["chunk" if r is None else "recipe" for r in recipes]),
-                pa.array(keys, pa.binary()),
-                pa.array(bodies, pa.binary()),
-                pa.array(recipes, RECIPE),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "body", "recipe"])
+                    bodies[key] = body
+                    at = stop
+                leaves.append(hashlib.sha256(b"".join(chunks[first:])).digest())
+            n, task = batch.num_rows, batch.column("task").to_pylist()
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in ends])]), pa.int32())
+            recipes = pa.StructArray.from_arrays(
+                [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(chunks, pa.binary())), pa.array(leaves, pa.binary())],
+                fields=list(RECIPE),
+            )
+            yield rows("chunk", list(bodies), list(bodies.values()), pa.nulls(len(bodies), RECIPE))
+            yield rows("recipe", [f"{task[k]}-{serial + k}".encode() for k in range(n)], [b""] * n, recipes)
+            serial += n
+
+    def rows(kind: str, keys: list[bytes], bodies: list[bytes], recipes: pa.Array) -> pa.RecordBatch:
+        columns = [pa.array([kind] * len(keys)), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary()), recipes]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "body", "recipe"])
 
     objects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("task")).mapInArrow(
         encode, "kind string, key binary, body binary, recipe struct<doc_id: long, n_tokens: long, chunks: array<binary>, leaf: binary>"
@@ -192,8 +202,8 @@ def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _id_width(spark: SparkSession, path: str, vocabulary: int) -> int:
-    return 2 if vocabulary <= 65536 else 4
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 65536 else "<u4"
 
 
 def read_documents(spark: SparkSession, path: str, vocabulary: int, doc_ids: list[int] | None = None) -> DataFrame:
@@ -201,10 +211,10 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int, doc_ids: lis
     recipes = verified_recipes(spark, path)
     if doc_ids is not None:
         recipes = recipes.filter(F.col("doc_id").isin(doc_ids))
-    kind = "<u2" if _id_width(spark, path, vocabulary) == 2 else "<u4"
+    kind = _kind(vocabulary)
 
     @F.pandas_udf("array<int>")
-    def joined(bodies: pa.Array) -> pa.Array:
+    def joined(bodies: pd.Series) -> pd.Series:
         return bodies.apply(lambda b: np.frombuffer(b"".join(b), dtype=kind).astype(np.int32))
 
     refs = recipes.select("part", "place", "doc_id", "start", "n_tokens", F.posexplode("chunks").alias("at", "key"))
@@ -252,7 +262,7 @@ def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     document's CRC-32 follows from those of its chunks in the order of its recipe, so the ids
     themselves never travel. Fails if a chunk, leaf or root differs or a length is wrong.
     """
-    kind = "<u2" if _id_width(spark, path, vocabulary) == 2 else "<u4"
+    kind = _kind(vocabulary)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

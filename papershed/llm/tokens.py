@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 
 #: Words whose ids a worker remembers; once it is full, new words are forgotten after their batch.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 700_000
 #: Characters of text whose words are in memory at once, but for a single longer text.
 BATCH_CHARS = 3_000_000
 
