@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from papershed.llm import toxicity as T
@@ -21,13 +23,15 @@ def train(spark, documents, rows):
 
 
 def test_folding_exceptions_and_length(spark, documents):
-    rows = [(f"you are such a grumbo and number {k} too", 1) for k in range(30)]
-    rows += [(f"a kind word about item {k} of the list", 0) for k in range(60)] + [(f"we sell the grumbo salad in shop {k}", 0) for k in range(30)]
-    lexicon, docs = train(spark, documents, rows)
-    assert lexicon.score("such a grumbo and so on") > 0.5 > lexicon.score("a kind word")
-    assert lexicon.score("such a gruмbо") > 0.5 and lexicon.score("such a grumb0") > 0.5
-    assert lexicon.score("the grumbo salad in shop") < 0.5
-    assert lexicon.score("grumbo") > lexicon.score("grumbo " + "calm words only here " * 200)
+    rng = random.Random(5)
+    calm = lambda n: " ".join(rng.choices("the calm words only here and there are of many kinds".split(), k=n))
+    rows = [(f"{calm(20)} grumbo {calm(20)}", 1) for _ in range(60)] + [(calm(40), 0) for _ in range(100)]
+    rows += [(f"{calm(20)} grumbo salad {calm(20)}", 0) for _ in range(10)]
+    lexicon, _ = train(spark, documents, rows)
+    assert lexicon.score(f"here are grumbo and {calm(20)}") > 0.5 > lexicon.score(calm(30))
+    assert lexicon.score(f"here are gruмbо and {calm(20)}") > 0.5 and lexicon.score(f"here are grumb0 and {calm(20)}") > 0.5
+    assert lexicon.score(f"here are grumbo salad and {calm(20)}") < 0.5
+    assert lexicon.score(f"grumbo {calm(5)}") > lexicon.score(f"grumbo {calm(800)}")
 
 
 def test_odd_rows_and_missing_labels(spark, documents):
