@@ -78,12 +78,12 @@ def scan(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
             found.append(F.filter(_runs(width), _among(hashes)))
         hits = F.concat(*found) if found else F.array().cast("array<struct<at:int,width:int,hash:bigint>>")
         return listed.select(*keep, "w", n_words, hits.alias("runs")).select(*keep, "n_words", _with_text(F.col("runs")).alias("hits"))
-    rows = listed.select(*keep, n_words, "w", F.monotonically_increasing_id().alias("row"))
-    runs = rows.select("row", "w", F.explode(F.concat(*[_runs(width) for width in sorted(by_width)])).alias("r"))
+    rows = stored(listed.select(*keep, n_words, "w", F.monotonically_increasing_id().alias("row")))
+    runs = rows.select("row", F.explode(F.concat(*[_runs(width) for width in sorted(by_width)])).alias("r"))
     met = runs.join(windows.select("hash", "width").distinct(), (F.col("r.hash") == F.col("hash")) & (F.col("r.width") == F.col("width")), "left_semi")
-    some = met.select("row", F.struct("r.at", "r.width", "r.hash", F.array_join(F.slice("w", F.col("r.at"), F.col("r.width")), " ").alias("window")).alias("h"))
-    gathered = some.groupBy("row").agg(F.collect_list("h").alias("hits"))
-    return rows.join(gathered, "row", "left").select(*keep, "n_words", F.coalesce("hits", F.array().cast(gathered.schema["hits"].dataType)).alias("hits"))
+    gathered = met.groupBy("row").agg(F.collect_list("r").alias("runs"))
+    none = F.array().cast(gathered.schema["runs"].dataType)
+    return rows.join(gathered, "row", "left").withColumn("runs", F.coalesce("runs", none)).select(*keep, "n_words", _with_text(F.col("runs")).alias("hits"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -131,12 +131,13 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents without any verified window of an item, all their columns as they were."""
     windows = stored(item_windows(items.select("item_id", "text")))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    kept = scan(docs.select(whole, "text"), windows, ["doc"])
+    # A filter on hits must not move below the scan, where the words would be made anew for every run: the row number holds it.
+    kept = scan(docs.select(whole, "text"), windows, ["doc"]).withColumn("row", F.monotonically_increasing_id())
     known = windows.select("window").distinct()
     if known.count() <= LITERAL_LIMIT:
         texts = [r["window"] for r in known.collect()]
         verified = F.exists("hits", lambda h: h["window"].isin(texts)) if texts else F.lit(False)
-        return kept.filter(~verified).select("doc.*")
-    rows = stored(kept.withColumn("row", F.monotonically_increasing_id()))
+        return kept.filter(~verified & (F.col("row") >= 0)).select("doc.*")
+    rows = stored(kept)
     dirty = rows.select("row", F.explode("hits").alias("h")).join(known, F.col("h.window") == F.col("window"), "left_semi")
     return rows.join(dirty.select("row").distinct(), "row", "left_anti").select("doc.*")
