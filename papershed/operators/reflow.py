@@ -21,12 +21,21 @@ def runs_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
         (F.col("i") % LINE_WORDS).cast("int").alias("x"), (line + 2).cast("int").alias("y"),
         F.when(line % 10 == 0, 14.0).otherwise(10.0).alias("size"),
     )
-    heads = body.select("doc", "page").distinct()
+    heads = _pages(docs, per_page)
     head = heads.select("doc", "page", F.lit(-2).alias("seq"), F.lit("Head").alias("text"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(8.0).alias("size"))
     number = heads.select("doc", "page", F.lit(-1).alias("seq"), F.col("page").cast("string").alias("text"), F.lit(4).alias("x"), F.lit(PAGE_LINES + 3).alias("y"), F.lit(8.0).alias("size"))
     return body.unionByName(head).unionByName(number)
 
 
+def _pages(docs: DataFrame, per_page: int) -> DataFrame:
+    """``doc, page`` of every page, from the number of words; splitting can leave an empty first or last part."""
+    parts = docs.select("doc_id", F.split(F.trim("text"), r"\s+").alias("w"))
+    first = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0)
+    last = F.size("w") - 1 - F.when(F.get("w", F.size("w") - 1) == "", 1).otherwise(0)
+    some = parts.select(F.col("doc_id").alias("doc"), first.alias("first"), last.alias("last")).filter("last >= first")
+    return some.select("doc", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / per_page).cast("int"))).alias("page"))
+
+
 def lines(runs: DataFrame) -> DataFrame:
     """Runs on one baseline joined from left to right; the size is the one with most characters."""
     by_size = runs.groupBy("doc", "page", "y", "size").agg(
