@@ -17,11 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papershed.llm.common import stored
 from papershed.llm.components import connected_components
+from papershed.llm.similar import one_row_each, with_row_key
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 3, 2
 #: Bounds of the fit: fingerprints that the trees are fitted on (expected, by a hash), homes that a leaf should have.
@@ -45,15 +46,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``, the fingerprint as a signed long. Null counts as no words; other columns are ignored."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``doc_id, fp``, the fingerprint as a signed long, and the string columns in ``keep``. Null counts as no words; other columns are ignored."""
+    names = ["doc_id", *keep, "fp"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(fps)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(compute, ", ".join(["doc_id long", *(f"{c} string" for c in keep), "fp long"]))
 
 
 @dataclass
@@ -190,30 +192,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -
     other; repeated rows have a row each; an empty table gives none.
     """
     own = stored(fingerprints(docs))
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = connected_components(links(distinct, radius, bands))
-    member = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    member = _members(own, radius, bands)
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = member.join(smallest, "root").select("fp", "component_id")
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def _members(own: DataFrame, radius: int, bands: int) -> DataFrame:
+    """``fp, first_id, root`` of each distinct fingerprint."""
+    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    found = connected_components(links(distinct, radius, bands))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """The documents with the smallest doc_id of each component, all columns as they were.
 
-    Rows that share a surviving doc_id are copies as well if their texts are in one component:
-    one of them stays.
+    Each component keeps one row, also where its doc_ids are null or are those of other components too.
     """
-    found = stored(near_duplicates(docs, radius, bands))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-
-    def rows(condition: str) -> DataFrame:
-        ids = kept.filter(condition).select(F.col("doc_id").alias("kept_id"))
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-    once = rows("n = 1").select(*names)
-    if kept.filter("n > 1").isEmpty():  # doc_ids are unique as a rule; the texts needn't be joined twice then
-        return once
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return once.union(rows("n > 1").withColumn("_nth", nth).filter("_nth = 1").select(*names))
+    rows = with_row_key(docs)
+    own = stored(fingerprints(rows, keep=["row_key"]))
+    roots = _members(own, radius, bands).select("fp", "root")
+    return one_row_each(docs, own.join(roots, "fp").select("doc_id", "row_key", "root"))

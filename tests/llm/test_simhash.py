@@ -100,3 +100,10 @@ def test_star_and_chain_components(spark):
     found = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
     assert found == {**{k: 0 for k in range(200)}, **{k: 300 for k in range(300, 321)}, 800: 800, 900: 800}
     assert components.connected_components(df.filter(F.lit(False))).collect() == []
+
+
+def test_one_of_each_knows_rows_without_an_id_of_their_own(spark, documents):
+    a, b, c, d = (" ".join(f"{k}{n}" for n in range(60)) for k in "abcd")
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, c), (None, a)]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(documents(rows)).collect())
+    assert kept == sorted([("None", a), ("None", b), ("1", c), ("1", d)])
