@@ -32,18 +32,30 @@ def unsigned_crc32(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a temporary folder becomes the checkpoint folder of the session.
+    It is the cluster's ``spark.checkpoint.dir``. Only a session with a local master may lack one; it
+    gets a temporary folder. Elsewhere that would scatter data over the executors' disks, so it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="papershed-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data through Spark's own file systems, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows from reliable storage: lineage ends here, and a lost executor costs nothing."""
+    """The same rows from reliable storage: lineage ends here, and a lost executor costs nothing.
+
+    Checkpoints are removed once nothing refers to them if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` set, which long-lived sessions should have.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()

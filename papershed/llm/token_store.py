@@ -4,9 +4,13 @@ Layout below one folder, all Parquet:
 
 * ``objects/kind=chunk``: ``key`` (SHA-256 of the bytes), ``body`` (ids, little-endian, 16 bit if the
   vocabulary allows, else 32), one row for each distinct chunk.
-* ``recipes``: ``part, doc_id, n_tokens, chunks`` (the keys in order), ``leaf`` (SHA-256 of the
-  keys), in ascending doc_id order through the parts.
+* ``recipes``: ``part, doc_id, n_tokens, chunks`` (the keys in order), ``leaf`` (SHA-256 of doc_id, n_tokens
+  and the keys), in ascending doc_id order through the parts.
 * ``manifest``: ``part, n_docs, n_tokens, root``, the root being the Merkle root over the leaves.
+* ``head``: one row with the number of parts and the hash of their manifest rows in order.
+
+Readers make every leaf and root anew from the recipes, hold them against manifest and head, and hold
+each chunk they read against its key. A changed, lost or added part, recipe or chunk ends the read.
 
 A rolling hash over the last 16 ids says where a chunk ends, so an edit changes the chunks
 around it and no others, and passages that documents share are stored once.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -24,20 +29,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papershed.llm.common import remove
 from papershed.llm.tokens import encoder, slices, specification
 
 #: A chunk ends where the hash has its high bits clear, every 512 ids in the mean, but is no shorter or longer than this.
-MASK, LEAST, MOST = np.uint64(511), 64, 4096
+MASK, LEAST, MOST = np.uint32(511), 64, 4096
+#: Keys of chunks that a task remembers having sent on, some 10 MB.
+SEEN_KEYS = 100_000
 #: Ids that the hash looks back on; no more than the shortest chunk, so that it never sees another document's ids.
 WINDOW = 16
 
 
 def _gear(size: int) -> np.ndarray:
-    """A fixed pseudo-random 64-bit number for each id (splitmix64)."""
+    """A fixed pseudo-random 32-bit number for each id (the low half of splitmix64)."""
     x = (np.arange(1, size + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))).astype(np.uint32)
 
 
 def chunk_ends(ids: np.ndarray, documents: np.ndarray, gear: np.ndarray) -> list[list[int]]:
@@ -45,9 +53,9 @@ def chunk_ends(ids: np.ndarray, documents: np.ndarray, gear: np.ndarray) -> list
     h = gear[ids]
     width = 1
     while width < WINDOW:
-        h[width:] = h[width:] + (h[:-width] << np.uint64(width))
+        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
         width *= 2
-    cuts = (np.flatnonzero((h >> np.uint64(40)) & MASK == 0) + 1).tolist()
+    cuts = (np.flatnonzero((h >> np.uint32(20)) & MASK == 0) + 1).tolist()
     found, start, at = [], 0, 0
     for last in documents.tolist():
         ends = []
@@ -73,9 +81,10 @@ def chunk_ends(ids: np.ndarray, documents: np.ndarray, gear: np.ndarray) -> list
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Writes the whole store. A null text counts as empty; a document has its end id at least.
 
-    Texts are encoded once. Chunks and recipes leave that pass together: chunks meet their
-    copies in a shuffle that drops copies before and after it, recipes go on to be sorted.
-    Repeated rows have recipes of their own.
+    Texts are encoded once. Chunks and recipes leave that pass together. A task sends a chunk on once
+    for each SEEN_KEYS different ones, so copies are dropped before the shuffle without sorting bodies;
+    there chunks meet the copies from other tasks. Recipes go on to be sorted. Repeated rows have
+    recipes of their own; columns besides doc_id and text are ignored.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(specification(tokenizer))
@@ -85,6 +94,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
         size = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
         kind, gear, serial = np.dtype(_kind(size)), _gear(size), 0
+        seen: set[bytes] = set()
         for batch in (part for whole in batches for part in slices(whole)):
             encoded = enc.encode([t or "" for t in batch.column("text").to_pylist()])
             ids = np.frombuffer(b"".join([b + end for b in encoded]), dtype="<u4")
@@ -92,7 +102,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
             ends = chunk_ends(ids, np.cumsum(n_tokens), gear)
             packed, width, at = ids.astype(kind).tobytes(), kind.itemsize, 0
             chunks: list[bytes] = []
-            leaves: list[bytes] = []
+            own_chunks: list[list[bytes]] = []
             bodies: dict[bytes, bytes] = {}
             for own in ends:
                 first = len(chunks)
@@ -100,10 +110,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
                     body = packed[at * width : stop * width]
                     key = hashlib.sha256(body).digest()
                     chunks.append(key)
-                    bodies[key] = body
+                    if key not in seen:
+                        bodies[key] = body
                     at = stop
-                leaves.append(hashlib.sha256(b"".join(chunks[first:])).digest())
-            n, task = batch.num_rows, batch.column("task").to_pylist()
+                own_chunks.append(chunks[first:])
+            if len(seen) > SEEN_KEYS:
+                seen.clear()
+            seen.update(bodies)
+            n, task, ids_of = batch.num_rows, batch.column("task").to_pylist(), batch.column("doc_id").to_pylist()
+            leaves = list(map(leaf_of, ids_of, n_tokens.tolist(), own_chunks))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(e) for e in ends])]), pa.int32())
             recipes = pa.StructArray.from_arrays(
                 [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(chunks, pa.binary())), pa.array(leaves, pa.binary())],
@@ -120,15 +135,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     objects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("task")).mapInArrow(
         encode, "kind string, key binary, body binary, recipe struct<doc_id: long, n_tokens: long, chunks: array<binary>, leaf: binary>"
     )
-    objects.dropDuplicates(["kind", "key"]).write.partitionBy("kind").parquet(f"{path}/objects")
+    objects.repartition("kind", "key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").parquet(f"{path}/objects")
     loose = spark.read.schema(OBJECTS).parquet(f"{path}/objects").filter("kind = 'recipe'").select("recipe.*")
     ordered = loose.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "leaf")
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks", "leaf").write.parquet(f"{path}/recipes")
     _manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    _head(_stored_manifest(spark, path)).write.parquet(f"{path}/head")
+    remove(spark, f"{path}/objects/kind=recipe")
 
 
 RECIPE = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("chunks", pa.list_(pa.binary())), ("leaf", pa.binary())])
 OBJECTS = "key binary, body binary, recipe struct<doc_id: long, n_tokens: long, chunks: array<binary>, leaf: binary>, kind string"
+MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+
+
+def leaf_of(doc_id: int | None, n_tokens: int, chunks: list[bytes]) -> bytes:
+    """What a Merkle leaf stands for: the document's id, its number of ids and its chunks in order."""
+    return hashlib.sha256(b"".join([f"{doc_id} {n_tokens} ".encode(), *chunks])).digest()
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -155,21 +178,22 @@ def merkle_root(leaves: Iterator[bytes]) -> bytes:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """A row for each part of the recipes: its counts and its Merkle root."""
-    sorted_parts = recipes.select("part", "doc_id", "n_tokens", "leaf").repartition("part").sortWithinPartitions("part", "doc_id", "leaf")
+    """A row for each part of the recipes: its counts and the Merkle root over leaves made anew."""
+    sorted_parts = recipes.repartition("part").sortWithinPartitions("part", "doc_id", "leaf")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import groupby
-
         totals: dict[int, list[int]] = {}
 
         def rows() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
-                for part, n, leaf in zip(*(batch.column(c).to_pylist() for c in ("part", "n_tokens", "leaf"))):
+                for part, doc_id, n, chunks, leaf in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "chunks", "leaf"))):
                     total = totals.setdefault(part, [0, 0])
                     total[0] += 1
                     total[1] += n
-                    yield part, leaf
+                    made = leaf_of(doc_id, n, chunks)
+                    if made != leaf:
+                        raise ValueError(f"the recipe of document {doc_id} differs from its leaf")
+                    yield part, made
 
         for part, leaves in groupby(rows(), key=lambda r: r[0]):
             root = merkle_root(leaf for _, leaf in leaves)
@@ -177,27 +201,43 @@ def _manifest(recipes: DataFrame) -> DataFrame:
             columns = [pa.array([v], k) for v, k in ((part, pa.int32()), (n_docs, pa.int64()), (n_tokens, pa.int64()), (root, pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["part", "n_docs", "n_tokens", "root"])
 
-    return sorted_parts.mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
+    return sorted_parts.mapInArrow(roots, MANIFEST)
+
+
+def _stored_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def _head(manifest: DataFrame) -> DataFrame:
+    """``n_parts, root`` of the manifest, a row for each part."""
+    row = F.array_sort(F.collect_list(F.struct("part", F.concat_ws(" ", "part", "n_docs", "n_tokens", F.hex("root")).alias("line"))))
+    return manifest.agg(F.count("*").alias("n_parts"), F.sha2(F.array_join(F.transform(row, lambda r: r["line"]), "\n"), 256).alias("root"))
 
 
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with ``start``, the ids of all documents before. Fails if a leaf or root differs."""
-    recipes = _recipes(spark, path)
-    manifest = spark.read.schema("part int, n_docs long, n_tokens long, root binary").parquet(f"{path}/manifest")
-    now = _manifest(recipes).withColumnRenamed("root", "found")
+    """Recipes with ``start``, the ids of all documents before.
+
+    Raises ValueError at once if the manifest isn't the one that the head names, or if a part is
+    missing, added, or has other counts or another root than the manifest says.
+    """
+    recipes, manifest = _recipes(spark, path), _stored_manifest(spark, path)
+    if _head(manifest).first() != spark.read.schema("n_parts long, root string").parquet(f"{path}/head").first():
+        raise ValueError("the manifest differs from its head")
+    now = _manifest(recipes).select("part", *(F.col(c).alias(f"now_{c}") for c in ("n_docs", "n_tokens", "root")))
+    same = F.lit(True)
+    for c in ("n_docs", "n_tokens", "root"):
+        same &= F.col(c).eqNullSafe(F.col(f"now_{c}"))
+    wrong = manifest.join(now, "part", "full_outer").filter(~same).select("part").take(1)
+    if wrong:
+        raise ValueError(f"Merkle root or counts of part {wrong[0]['part']} differ from the manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    parts = manifest.join(now.select("part", "found"), "part").select(
-        "part",
-        F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"),
-        F.assert_true(F.col("root") == F.col("found"), "Merkle root differs").alias("sound"),
-    )
+    parts = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("doc_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
     place = Window.partitionBy("part").orderBy("doc_id", "leaf")
     return (
         recipes.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .withColumn("place", F.row_number().over(place))
         .join(F.broadcast(parts), "part")
-        .filter("sound is null")
         .select("part", "place", "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "chunks", "leaf")
     )
 
@@ -207,7 +247,10 @@ def _kind(vocabulary: int) -> str:
 
 
 def read_documents(spark: SparkSession, path: str, vocabulary: int, doc_ids: list[int] | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` put together from chunks; all documents or those named."""
+    """``doc_id, start, n_tokens, ids`` put together from chunks; all documents or those named.
+
+    Fails if a chunk is missing or differs from its key, or if a document hasn't its number of ids.
+    """
     recipes = verified_recipes(spark, path)
     if doc_ids is not None:
         recipes = recipes.filter(F.col("doc_id").isin(doc_ids))
@@ -218,11 +261,15 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int, doc_ids: lis
         return bodies.apply(lambda b: np.frombuffer(b"".join(b), dtype=kind).astype(np.int32))
 
     refs = recipes.select("part", "place", "doc_id", "start", "n_tokens", F.posexplode("chunks").alias("at", "key"))
+    sound = F.unhex(F.sha2("body", 256)) == F.col("key")
+    body = F.when(F.coalesce(sound, F.lit(False)), F.col("body")).otherwise(F.raise_error("a chunk is missing or differs from its key").cast("binary"))
     return (
-        refs.join(_chunks(spark, path), "key")
+        refs.join(_chunks(spark, path), "key", "left")
+        .withColumn("body", body)
         .groupBy("part", "place", "doc_id", "start", "n_tokens")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda c: c["body"]).alias("bodies"))
         .select("doc_id", "start", "n_tokens", joined("bodies").alias("ids"))
+        .withColumn("ids", F.when(F.size("ids") == F.col("n_tokens"), F.col("ids")).otherwise(F.raise_error("a document's chunks don't have its length").cast("array<int>")))
     )
 
 
@@ -260,7 +307,7 @@ def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
 
     Every chunk is read once, checked against its key and digested where it lies. A
     document's CRC-32 follows from those of its chunks in the order of its recipe, so the ids
-    themselves never travel. Fails if a chunk, leaf or root differs or a length is wrong.
+    themselves never travel. Fails if a chunk is missing or differs from its key, or if a document hasn't its number of ids.
     """
     kind = _kind(vocabulary)
 
@@ -283,7 +330,8 @@ def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
         return F.transform("chunks", lambda c: c[field]).alias(field)
 
     gathered = (
-        refs.join(chunks, "key")
+        refs.join(chunks, "key", "left")
+        .withColumn("n", F.coalesce("n", F.raise_error("a chunk is missing").cast("int")))
         .groupBy("part", "place", "doc_id", "start", "n_tokens")
         .agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("chunks"))
         .select("doc_id", "start", "n_tokens", ordered("n"), ordered("crc"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from pathlib import Path
 
@@ -17,8 +18,8 @@ BATCH_CHARS = 3_000_000
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 BYTE_SPACE = chr(BYTE_LETTERS[32])
-#: Letters below this code point have no combining forms, and a lower case that doesn't depend on their place.
-LATIN_END, MARKS = "\u0130", (".", ",", "!", "?", ";", ":")
+#: Latin letters up to U+012F, which have no combining forms and a lower case that doesn't depend on their place, and up to 8 ASCII signs after them.
+_LETTERS_AND_SIGNS = re.compile(r"([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-/:-@\[-^`{-~]{0,8})")
 
 _MADE: dict[tuple, "Encoder"] = {}
 
@@ -36,7 +37,7 @@ class Encoder:
     ``dropped``, or ``leading`` if a space belongs to the word after it. Where a part is empty
     or has white space at an end, runs of white space could be cut otherwise, and parts with
     an added token are read ahead of the words: such a text is encoded as a whole. A new word
-    of Latin letters, with or without a mark after it, goes straight to the tokenizer's model.
+    of Latin letters, with or without signs after it, goes straight to the tokenizer's model.
     """
 
     def __init__(self, spec: str, spaces: str):
@@ -51,6 +52,7 @@ class Encoder:
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.words: dict[str, bytes | None] = {}
         self.firsts: dict[str, bytes | None] = {}
+        self.others: list[str] = []
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -68,24 +70,30 @@ class Encoder:
             self.marks[mark] = self._ids([mark])[0]
         return self.marks[mark]
 
-    def _one(self, lead: str, word: str) -> bytes | None:
-        """Ids of a word in plain Latin letters, with a mark after it or line ends inside; else None."""
-        if word.isalpha():
-            return self._word_ids(lead, word) if max(word) < LATIN_END else None
-        if word[-1:] in MARKS and word[:-1].isalpha() and max(word) < LATIN_END:
-            return self._word_ids(lead, word[:-1]) + self._mark_ids(word[-1])
+    def _plain(self, known: dict, lead: str, word: str, made: list[str]) -> bytes | None:
+        """Ids of Latin letters with or without signs after them, or of such words parted by line ends; else None.
+
+        The letters alone are remembered too, as the same word comes with different signs.
+        """
+        if found := _LETTERS_AND_SIGNS.fullmatch(word):
+            letters, signs = found.groups()
+            ids = known.get(letters)
+            if ids is None:
+                ids = known[letters] = self._word_ids(lead, letters)
+                made.append(letters)
+            return ids + self._mark_ids(signs) if signs else ids
         if "\n" in word and self.lead:
             parts = word.split("\n")
-            found = [self._one("" if i else lead, p) if p else None for i, p in enumerate(parts)]
+            found = [self._plain(*((self.firsts, "") if i else (known, lead)), p, self.others if i else made) if p else None for i, p in enumerate(parts)]
             return None if None in found else self._mark_ids("\n").join(found)
         return None
 
     def _learn(self, known: dict, lead: str, words: set[str]) -> list[str]:
         """Makes all the words known; returns those to forget after the batch."""
-        hard, new = [], words.difference(known)
+        hard, new, made = [], words.difference(known), []
         room = WORDS_KEPT - len(known)
         for w in new:
-            ids = self._one(lead, w)
+            ids = self._plain(known, lead, w, made)
             if ids is not None:
                 known[w] = ids
             elif self.lead and (not w or w[0].isspace() or w[-1].isspace()) or any(a in w for a in self.added):
@@ -93,7 +101,7 @@ class Encoder:
             else:
                 hard.append(w)
         known.update(zip(hard, self._ids([lead + w for w in hard])))
-        return list(new) if len(new) > room else []
+        return [*new.union(made)] if len(new) + len(made) > room else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -116,9 +124,12 @@ class Encoder:
                 out.append(b"".join([self.firsts[first], *map(self.words.__getitem__, rest)]))
             except TypeError:  # a part that must not be encoded alone
                 out.append(self._ids([text])[0])
+        if len(self.firsts) > WORDS_KEPT // 4:
+            once.append((self.firsts, self.others))
+            self.others = []
         for known, words in once:
             for w in words:
-                del known[w]
+                known.pop(w, None)
         return out
 
 

@@ -1,3 +1,5 @@
+import os
+import shutil
 import zlib
 
 import numpy as np
@@ -5,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from papershed.llm import token_store as S
@@ -48,14 +51,52 @@ def test_no_rows(spark, documents, tmp_path):
     assert S.read_digests(spark, str(tmp_path / "s"), 50257).collect() == []
 
 
-def test_damage_is_found(spark, documents, tmp_path):
+def rewritten(spark, path, name, change):
+    """Replaces a part of a store by what ``change`` makes of it."""
+    change(spark.read.parquet(f"{path}/{name}")).write.parquet(f"{path}/new")
+    os.rename(f"{path}/{name}", f"{path}/was-{name.replace('/', '-')}")
+    os.rename(f"{path}/new", f"{path}/{name}")
+
+
+DAMAGE = {
+    "changed root": ("manifest", lambda d: d.withColumn("root", F.lit("x").cast("binary"))),
+    "changed counts": ("manifest", lambda d: d.withColumn("n_docs", F.col("n_docs") + 1)),
+    "lost manifest row": ("manifest", lambda d: d.filter("part > 0")),
+    "lost part": ("recipes", lambda d: d.filter("part > 0")),
+    "all parts lost": ("recipes", lambda d: d.limit(0)),
+    "lost recipe": ("recipes", lambda d: d.filter("doc_id <> 2")),
+    "reordered chunks": ("recipes", lambda d: d.withColumn("chunks", F.reverse("chunks"))),
+    "reordered chunks with leaves to match": (
+        "recipes",
+        lambda d: d.withColumn("chunks", F.reverse("chunks")).withColumn("leaf", F.udf(S.leaf_of, "binary")("doc_id", "n_tokens", "chunks")),
+    ),
+    "changed length": ("recipes", lambda d: d.withColumn("n_tokens", F.col("n_tokens") + 1)),
+    "lost chunk": ("objects/kind=chunk", lambda d: d.orderBy("key").offset(1)),
+    "all chunks lost": ("objects/kind=chunk", lambda d: d.limit(0)),
+    "changed chunk": ("objects/kind=chunk", lambda d: d.withColumn("body", F.when(F.octet_length("body") > 4, F.expr("substring(body, 3)")).otherwise(F.lit("ab").cast("binary")))),
+}
+
+
+@pytest.fixture(scope="module")
+def small_store(spark, documents, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("store") / "s")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so that there are several parts
+    S.write_store(documents([(k, " ".join(f"word{j} {k}" for j in range(900))) for k in range(1, 13)]), path, PATH, 2)
+    spark.conf.unset(coalesce)
+    assert spark.read.parquet(f"{path}/recipes").selectExpr("max(part)").first()[0] > 0
+    return path
+
+
+@pytest.mark.parametrize("damage", DAMAGE)
+@pytest.mark.parametrize("read", [S.read_digests, S.read_documents])
+def test_damage_is_found(spark, small_store, tmp_path, read, damage):
     path = str(tmp_path / "s")
-    S.write_store(documents([(1, "one"), (2, "two")]), path, PATH, 2)
-    spark.read.parquet(f"{path}/manifest").selectExpr("part", "n_docs", "n_tokens", "cast('x' as binary) as root").write.parquet(f"{path}/other")
-    (tmp_path / "s" / "manifest").rename(tmp_path / "s" / "was")
-    (tmp_path / "s" / "other").rename(tmp_path / "s" / "manifest")
-    with pytest.raises(Exception, match="Merkle root differs"):
-        S.read_digests(spark, path, 50257).collect()
+    shutil.copytree(small_store, path)
+    assert read(spark, path, 50257).count() == 12
+    rewritten(spark, path, *DAMAGE[damage])
+    with pytest.raises(Exception, match="head|manifest|leaf|missing|differs from its key|length"):
+        read(spark, path, 50257).collect()
 
 
 @given(st.binary(max_size=300), st.binary(max_size=300))
