@@ -1,10 +1,14 @@
 """Main text of HTML pages by the maximum-scoring contiguous region.
 
 A page is read as a sequence of words and tags. Words score above zero, tags below, with
-weights learned from labelled pages; one linear scan finds the contiguous run with the highest
-sum. Elements that by their nature hold no main text (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are taken out first and leave a penalty behind. The blocks that
-the region touches are the text.
+weights learned from labelled pages, those of class and id names among them; one linear scan finds
+the contiguous run with the highest sum. Elements that by their nature hold no main text (menus, page
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are taken out
+first and leave a penalty behind. What their class, id or role says counts only if they hold no article,
+main or h1 element and, on a page without any of these, no more than half of its remaining words. The
+blocks that the region touches are the text.
+
+Reading a page takes time in proportion to its length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -21,58 +26,120 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled pages (expected, by a hash of the page's text), tags with a weight of their own.
-SAMPLE, TAGS = 2000, 200
+#: Bound of the fit: labelled pages (expected, by a hash of the page's text).
+SAMPLE = 2000
 WORD_RANGE, TAG_RANGE = (0.2, 3.0), (-6.0, -0.05)
 REMOVED = -6.0
 
-# Elements and class or id words without main text; elements that end a block; elements without a content.
-APART = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset", "iframe", "object", "svg", "canvas", "head", "map", "audio", "video"}
+# Elements without main text; elements whose content is no markup; elements that end a block; elements without a content.
+APART = {"nav", "footer", "aside", "menu", "dialog", "select", "button", "fieldset", "iframe", "object", "svg", "canvas", "head", "map", "audio", "video"}
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "xmp", "noframes")
+BLOCKS = {
+    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "form", "h1", "h2", "h3", "h4",
+    "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+#: A class or id says that an element is no main text if it consists of these words, or of these and words of place and form.
 NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "sponsor", "sponsored", "banner", "promo", "promotion",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "sidenav", "widget", "footer", "header", "masthead",
     "cookie", "cookies", "consent", "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup",
     "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "login", "search",
 }
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
-BLOCKS = {
-    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4",
-    "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+PLACES = {
+    "site", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "mobile", "desktop", "bar", "box", "block", "list", "area", "section",
+    "container", "wrapper", "wrap", "inner", "outer", "item", "items", "link", "links", "button", "buttons", "icons", "panel", "form", "slot", "unit", "posts", "user", "reader",
 }
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+NEVER_APART = {"html", "body", "main", "article", *HEADINGS}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN_REST = re.compile(r"[^>\"']*")
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
 
+def _tag_end(html: str, at: int) -> int:
+    """The place of the ``>`` that ends a tag, those in quoted values left out; -1 if there is none."""
+    while True:
+        at = _PLAIN_REST.match(html, at).end()
+        if at >= len(html):
+            return -1
+        if html[at] == ">":
+            return at
+        at = html.find(html[at], at + 1) + 1
+        if not at:
+            return -1
+
+
 def tokens(html: str) -> list[tuple[str, str, str]]:
-    """(kind, name, rest): kinds are text, open and close; scripts, comments and the like are left out."""
-    found = []
-    for m in _TOKEN.finditer(html):
-        if m["text"] is not None:
-            found.append(("text", "", m["text"]))
-        elif m["tag"]:
-            found.append(("close" if m["end"] else "open", m["tag"].lower(), m["rest"]))
+    """(kind, name, rest): kinds are text, open and close; scripts, comments and the like are left out.
+
+    Once a tag with quotes has no end, quotes mean nothing for the rest of the page, so no part of it is
+    searched twice.
+    """
+    found: list[tuple[str, str, str]] = []
+    at, quotes, last = 0, True, html.rfind(">")
+    while at < len(html):
+        start = html.find("<", at)
+        if start < 0:
+            start = len(html)
+        if start > at:
+            found.append(("text", "", html[at:start]))
+            at = start
+            continue
+        if html.startswith("<!--", at):
+            at = html.find("-->", at + 4) + 3
+            if at < 3:
+                break
+            continue
+        tag = _TAG.match(html, at + 1)
+        if at > last or not tag and html[at + 1] not in "!?":
+            found.append(("text", "", "<"))
+            at += 1
+            continue
+        end = _tag_end(html, tag.end()) if tag and quotes else -1
+        if end < 0:
+            quotes &= not tag
+            end = html.find(">", tag.end() if tag else at)
+        if tag:
+            name, rest = tag[2].lower(), html[tag.end() : end]
+            if name in _RAW_END and not tag[1]:
+                close = _RAW_END[name].search(html, end + 1)
+                if not close:
+                    break
+                end = close.end() - 1
+            else:
+                found.append(("close" if tag[1] else "open", name, rest))
+        at = end + 1
     return found
 
 
-def _apart(name: str, rest: str, in_article: bool) -> bool:
-    if name in APART or name == "header" and not in_article:
+def names_of(rest: str) -> tuple[list[str], str]:
+    """The class and id names of a tag, and its role."""
+    if not rest.strip("/ "):
+        return [], ""
+    named, role = [], ""
+    for m in _ATTRIBUTE.finditer(rest):
+        key = m[1].lower()
+        if key in ("class", "id"):
+            named += (m[2] or m[3] or m[4] or "").lower().split()
+        elif key == "role":
+            role = (m[2] or m[3] or m[4] or "").lower().strip()
+    return named, role
+
+
+def _says_apart(name: str, rest: str) -> bool:
+    """Whether an element's name, class, id or role says that it is no main text."""
+    if name == "form":
+        return True
+    named, role = names_of(rest)
+    if role in ROLES:
         return True
-    if not rest or name in ("html", "body", "main", "article"):
-        return False
-    for m in _NAMED.finditer(rest):
-        words = _WORD.findall((m[1] or m[2] or m[3] or "").lower())
-        if m[0][:4].lower() == "role":
-            if not ROLES.isdisjoint(words):
-                return True
-        elif not NAMES.isdisjoint(words):
+    for words in map(set, map(_WORD.findall, named)):
+        if words & NAMES and words <= NAMES | PLACES:
             return True
     return False
 
@@ -89,19 +156,45 @@ def without_apart(found: list[tuple[str, str, str]]) -> Iterator[tuple[str, str,
             open_at.setdefault(name, []).append(i)
         elif kind == "close" and open_at.get(name):
             ends[open_at[name].pop()] = i
+    # elements without main text whatever they hold
+    gone: dict[int, int] = {}
     i, articles = 0, 0
     while i < len(found):
-        kind, name, rest = found[i]
+        kind, name, _ = found[i]
         if name in ("article", "main"):
             articles += {"open": 1, "close": -1}[kind]
-        if kind == "open" and _apart(name, rest, articles > 0):
-            yield "apart", name, ""
-            i = ends.get(i, i)
-        else:
+        if kind == "open" and (name in APART or name == "header" and articles <= 0):
+            gone[i] = ends.get(i, i)
+            i = gone[i]
+        i += 1
+    inside = np.zeros(len(found) + 1, dtype=np.int64)
+    for i, end in gone.items():
+        inside[i] += 1
+        inside[end + 1] -= 1
+    left = np.cumsum(inside[:-1]) == 0
+    words = [0, *accumulate(len(rest.split()) if kind == "text" and on else 0 for (kind, _, rest), on in zip(found, left))]
+    marks = [0, *accumulate(int(kind == "open" and on and name in ("article", "main", "h1")) for (kind, name, _), on in zip(found, left))]
+    i = 0
+    while i < len(found):
+        kind, name, rest = found[i]
+        end = gone.get(i)
+        if end is None and kind == "open" and name not in NEVER_APART and _says_apart(name, rest):
+            end = ends.get(i, i)
+            if marks[end + 1] > marks[i] or not marks[-1] and 2 * (words[end + 1] - words[i]) > words[-1]:
+                end = None
+        if end is None:
             yield found[i]
+        else:
+            yield "apart", name, ""
+            i = end
         i += 1
 
 
+def features(kind: str, name: str, rest: str) -> list[str]:
+    """What a tag's score is the sum of: its name, and its class and id names."""
+    return [name, *(f".{n}" for n in names_of(rest)[0])] if kind == "open" else [name]
+
+
 @dataclass
 class Weights:
     word: float = 1.0
@@ -115,10 +208,11 @@ class Weights:
             return float(np.log((inside.get(name, 0) + 1) / (outside.get(name, 0) + 1)))
 
         tags = {t: float(np.clip(odds(t), *TAG_RANGE)) for t in {*inside, *outside} - {""}}
+        tags |= {t: min(0.0, odds(t)) for t in tags if t[0] == "."}
         return Weights(float(np.clip(odds(""), *WORD_RANGE)), tags)
 
     def extract(self, html: str | None) -> str:
-        """The blocks of the best region, one to a line; empty if there are no words."""
+        """The blocks of the best region, one to a line; empty if there are no words. Null counts as empty."""
         blocks: list[list[str]] = [[]]
         scores: list[float] = []
         owner: list[int] = []
@@ -133,7 +227,7 @@ class Weights:
             if kind == "apart":
                 scores.append(REMOVED)
             else:
-                scores.append(self.tags.get(name, self.other))
+                scores.append(max(TAG_RANGE[0], sum(self.tags.get(f, 0.0 if f[0] == "." else self.other) for f in features(kind, name, rest))))
             owner.append(-1)
             if name == "br":
                 blocks[-1].append(" ")
@@ -160,15 +254,19 @@ def label(html: str | None) -> tuple[Counter, Counter] | None:
         return None
     counts = Counter(), Counter()
     for i, (kind, name, rest) in enumerate(found):
-        counts[0 if marks[0] < i < marks[1] else 1][name] += len(rest.split()) if kind == "text" else 1
+        side = counts[0 if marks[0] < i < marks[1] else 1]
+        if kind == "text":
+            side[""] += len(rest.split())
+        elif i not in marks:
+            side.update(features(kind, name, rest))
     return counts
 
 
 def fit(pages: DataFrame) -> Weights:
     """Weights from pages whose main text is labelled by a single article element.
 
-    Pages enter by a hash of their html, SAMPLE in the mean or all if there are fewer. Without a
-    labelled page the default weights stay.
+    Pages enter by a hash of their html, SAMPLE in the mean or all if there are fewer; repeated pages enter
+    together. Without a labelled page the default weights stay. Columns besides html are ignored.
     """
     share = min(1.0, SAMPLE / max(1, pages.count()))
     draw = F.pmod(F.xxhash64("html"), F.lit(1_000_000)) / 1_000_000
@@ -186,14 +284,14 @@ def fit(pages: DataFrame) -> Weights:
 
     counted = pages.select("html").filter(F.col("html").isNotNull() & (draw < share)).mapInArrow(count, "name string, inside long, outside long")
     total = counted.groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = total.orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(TAGS).collect()
+    rows = total.collect()  # names from SAMPLE pages
     if not rows:
         return Weights()
     return Weights.of({r["name"]: r["inside"] for r in rows}, {r["name"]: r["outside"] for r in rows})
 
 
 def main_text(weights: Weights, html: Column) -> Column:
-    """The main text of an html column; empty for null, for empty pages and for pages without words."""
+    """The main text of an html column; empty for null, for empty pages and for pages without words. Equal pages have equal texts."""
     shared = SparkSession.active().sparkContext.broadcast(weights)
 
     @F.pandas_udf("string")

@@ -19,6 +19,37 @@ def test_regions(name):
     assert H.Weights().extract(PAGES[name]) == WANT
 
 
+MENU = "<nav><a href=/>Home</a></nav>"
+#: Pages whose wrapping elements have names that speak of sidebars, comments or headers.
+WRAPPED = {
+    "with sidebar": f"<body>{MENU}<div class='content-with-sidebar'>{TEXT}</div><div class=sidebar>Side</div></body>",
+    "no sidebar": f"<body>{MENU}<div class='post no-sidebar'>{TEXT}</div></body>",
+    "has comments": f"<body>{MENU}<div id=page class='has-comments'><h1>A first title</h1>{TEXT}</div></body>",
+    "data-id": f"<body>{MENU}<div data-id='share-3'>{TEXT}</div></body>",
+    "post header": f"<body>{MENU}<article><h1 class='post-header'>A first title</h1>{TEXT}</article></body>",
+    "header in article": f"<body>{MENU}<article><header class=header><h1>A first title</h1></header>{TEXT}</article></body>",
+    "form around all": f"<body><form action=/>{MENU}<main>{TEXT}</main></form></body>",
+    "banner around all": f"<body class=banner><div class=banner>{TEXT}</div></body>",
+    "quotes in tags": f"<body>{MENU}<article title='a > b'><img alt=\"<p>no</p>\">{TEXT}</article></body>",
+    "comment box in article": f"<body>{MENU}<article>{TEXT}<section id='reader-comments'><p>Nice!</p></section></article></body>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_no_article_is_lost_to_a_name(name):
+    want = f"A first title\n{WANT}" if "<h1" in WRAPPED[name] else WANT
+    assert H.Weights().extract(WRAPPED[name]) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a \"", "<a '>\" ", "<a \">\"", "<!--", "<div class=a", "</p", "<p>", "<script>", "<", "x=\"", "<b id=\"", "<p>word ", "<div class=ad>", "&lt;"])
+def test_time_is_linear(unit):
+    import time
+
+    began = time.process_time()
+    H.Weights().extract(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 12
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<p></p>", "<nav>only a menu</nav>", "<"])
 def test_pages_without_text(html):
     assert H.Weights().extract(html) in ("", "<")
