@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papershed.llm.common import stored
@@ -25,8 +25,9 @@ from papershed.llm.components import connected_components
 from papershed.llm.similar import one_row_each, with_row_key
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 3, 2
-#: Bounds of the fit: fingerprints that the trees are fitted on (expected, by a hash), homes that a leaf should have.
-SAMPLE, LEAF = 32_768, 2_048
+#: Bounds of the fit: fingerprints that the first trees are fitted on (expected, by a hash), homes that a leaf should have, sampled
+#: fingerprints a leaf. Bounds of the levels below: sampled fingerprints of a level, nodes of all trees, 16 bytes each.
+SAMPLE, LEAF, PER_LEAF, DRAWN, NODES = 32_768, 2_048, 8, 2_000_000, 4_000_000
 BLOCK = 256
 
 
@@ -153,33 +154,79 @@ def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, leaf: i
 
     ``distinct`` has one row for each fingerprint ``fp``.
     """
-    spark = distinct.sparkSession
-    n = distinct.count()
-    draw = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(1, n)))
-    sample = np.sort(np.array([r["fp"] for r in distinct.select("fp").filter(draw).collect()], dtype=np.int64).view(np.uint64))
-    depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(sample) / 8)))))
-    trees = spark.sparkContext.broadcast([Tree.fit(sample, mask, depth, k) for k, mask in enumerate(band_masks(bands))])
-    per_band = radius // bands
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = batch.column("fp").to_numpy().view(np.uint64)
-            for k, tree in enumerate(trees.value):
-                shards, fps, homes = [], [], []
-                for shard, at, home in tree.leaves(points, per_band):
-                    shards.append(np.full(len(at), k * 2**depth + shard, np.int64))
-                    fps.append(points[at].view(np.int64))
-                    homes.append(home)
-                if shards:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (shards, fps, homes)], ["leaf", "fp", "home"])
 
     def compare(shard: pa.Table) -> pa.Table:
         fps = shard.column("fp").to_numpy().view(np.uint64)
         u, v = _forest(fps[shard.column("home").to_numpy()], fps, radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    routed = distinct.select("fp").mapInArrow(route, "leaf long, fp long, home boolean")
-    return routed.groupBy("leaf").applyInArrow(compare, "u long, v long")
+    return shards(distinct, radius, bands, leaf).groupBy("leaf").applyInArrow(compare, "u long, v long")
+
+
+def _below(share: float) -> Column:
+    """Whether a fingerprint is drawn: by a hash, so a lost task draws the same ones again."""
+    return F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, share))
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, leaf: int = LEAF) -> DataFrame:
+    """``leaf, fp, home``: each fingerprint once for each band where it is at home, and wherever it visits.
+
+    The first trees are fitted on SAMPLE fingerprints. If these can't bear enough leaves, leaves with more than
+    ``leaf`` homes get trees of their own, fitted on a sample from each, level by level, until none is
+    over-full, can be split, or NODES nodes are reached.
+    """
+    spark, per_band = distinct.sparkSession, radius // bands
+    n = distinct.count()
+    sample = np.sort(np.array([r["fp"] for r in distinct.select("fp").filter(_below(SAMPLE / max(1, n))).collect()], dtype=np.int64).view(np.uint64))
+    wanted = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+    depth = min(wanted, int(np.log2(max(1, len(sample) / PER_LEAF))))
+    masks = band_masks(bands)
+
+    def route(trees: dict[int, Tree], width: int):
+        """Sends the points of each leaf with a tree to that tree's leaves; other leaves stay as they are."""
+        shared = spark.sparkContext.broadcast(trees)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at_leaf = batch.column("leaf").to_numpy()
+                points, homes = batch.column("fp").to_numpy().view(np.uint64), batch.column("home").to_numpy(zero_copy_only=False)
+                order = np.argsort(at_leaf, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(at_leaf[order]) != 0]) if len(order) else []
+                out: list[list[np.ndarray]] = [[], [], []]
+                for rows in np.split(order, starts[1:]):
+                    if not len(rows):
+                        continue
+                    old, tree = int(at_leaf[rows[0]]), shared.value.get(int(at_leaf[rows[0]]))
+                    found = [(0, np.arange(len(rows)), np.ones(len(rows), bool))] if tree is None else tree.leaves(points[rows], per_band)
+                    for new, at, home in found:
+                        out[0].append(np.full(len(at), old * width + new, np.int64))
+                        out[1].append(points[rows[at]].view(np.int64))
+                        out[2].append(home & homes[rows[at]])
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["leaf", "fp", "home"])
+
+        return send
+
+    schema = "leaf long, fp long, home boolean"
+    per_fp = distinct.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))).alias("leaf"), "fp", F.lit(True).alias("home"))
+    routed = per_fp.mapInArrow(route({k: Tree.fit(sample, mask, depth, k) for k, mask in enumerate(masks)}, 2**depth), schema)
+    width, nodes, before = 2**depth, bands * 2**depth, None
+    while depth < wanted and nodes < NODES:
+        routed = stored(routed)
+        sizes = routed.filter("home").groupBy("leaf").agg(F.count("*").alias("homes"))
+        full = sizes.filter(F.col("homes") > leaf)
+        n_full = full.count()
+        more = min(wanted - depth, int(np.log2(max(2, DRAWN / PER_LEAF / max(1, n_full)))))
+        if not n_full or n_full == before:
+            break
+        drawn = routed.filter("home").join(F.broadcast(full), "leaf").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) * F.col("homes") < F.lit((1 << 40) * PER_LEAF * 2**more))
+        points: dict[int, list[int]] = {}
+        for r in drawn.select("leaf", "fp").collect():
+            points.setdefault(r["leaf"], []).append(r["fp"])
+        trees = {k: Tree.fit(np.sort(np.array(v, np.int64).view(np.uint64)), masks[k // width], more, k) for k, v in points.items()}
+        routed = routed.mapInArrow(route(trees, 2**more), schema)
+        width, depth, nodes, before = width * 2**more, depth + more, nodes + n_full * 2**more, n_full
+    return routed
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:

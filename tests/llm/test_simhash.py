@@ -79,6 +79,22 @@ def test_trees_lose_no_link(spark, bands, radius):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_over_full_leaves_are_split(spark, monkeypatch):
+    """With a small sample the first trees can't bear enough leaves; more levels make them, and no link is lost."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (4, 400), dtype=np.uint64)
+    values = np.unique(np.concatenate([base, *(base ^ f for f in flips), rng.integers(0, 2**64, 2000, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    roots = lambda links: {frozenset((r["node"], r["root"])) for r in components.connected_components(links).collect()}
+    want = roots(simhash.links(df, 3, 2, leaf=10**9))
+    monkeypatch.setattr(simhash, "SAMPLE", 64)
+    found = simhash.shards(df, 3, 2, leaf=100).filter("home").groupBy("leaf").count().collect()
+    assert sum(r["count"] for r in found) == 2 * len(values)  # a home in each band
+    assert max(r["count"] for r in found) < 400 and len(found) > 40
+    assert roots(simhash.links(df, 3, 2, leaf=100)) == want
+
+
 def test_odd_rows(spark, documents):
     found = simhash.near_duplicates(documents(ODD)).collect()
     assert len(found) == len(ODD)
