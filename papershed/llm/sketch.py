@@ -140,7 +140,7 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     return (
         copies.select("key", "text", F.explode(places).alias("p"))
         .select("key", "text", "p.part", "p.tail")
-        .repartition(parts, "part")
+        .repartitionById(parts, "part")  # one part a task; hashed part numbers would meet in some tasks
         .sortWithinPartitions("part", "tail", "key", "text")
     )
 

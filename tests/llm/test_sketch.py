@@ -54,3 +54,34 @@ def test_likeness_containment_and_merge():
     assert K.likeness(both, a) > 0.98
     assert K.likeness(K.decoded(K.encoded(a)), a) == 1.0
     assert K.likeness(K.sketch(""), K.sketch(None)) == 1.0 and K.likeness(K.sketch(""), a) == 0.0
+
+
+def plain_hash(points):
+    """The hash of one shingle in plain integers."""
+    h = 0
+    for p in points:
+        h = (h * 0x100000001B3 + p + 1) % 2**64
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+    return (h ^ (h >> 31)) >> 32
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.one_of(st.text(max_size=30), st.text("ab ", max_size=400), st.integers(0, 6000).map(lambda n: " ".join(str(k * k) for k in range(n // 3)))))
+def test_sketch_against_brute_force(text):
+    width = min(K.WIDTH, len(text))
+    hashes = sorted({plain_hash(map(ord, text[k : k + width])) for k in range(len(text) - width + 1)}) if width else []
+    below = [h for h in hashes if h < 2**32 // K.FRACTION]
+    want = (K.LIMIT, below) if len(below) >= K.FLOOR else (hashes[K.FLOOR - 1], hashes[: K.FLOOR]) if len(hashes) > K.FLOOR else (K.ALL, hashes)
+    bound, found = K.sketch(text)
+    assert (bound, found.tolist()) == want
+
+
+def test_likeness_and_containment_estimate_those_of_whole_sets():
+    a, b = (" ".join(str(k * k) for k in range(n, n + 30000)) for n in (0, 12000))
+    whole = [set(K.shingle_hashes(t).tolist()) for t in (a, b)]
+    both = len(whole[0] & whole[1])
+    assert abs(K.likeness(K.sketch(a), K.sketch(b)) - both / len(whole[0] | whole[1])) < 0.05
+    assert abs(K.containment(K.sketch(a[:20000]), K.sketch(a)) - 1) < 0.02
+    merged = K.merge(K.sketch(a), K.sketch(b))
+    assert set(merged[1].tolist()) == {h for h in whole[0] | whole[1] if h <= merged[0]}
