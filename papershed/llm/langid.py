@@ -23,11 +23,12 @@ from papershed.llm.common import stored
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
-#: Bounds of the fit: documents of a language (expected, by a hash of the text), languages, n-grams of a language.
-DOCS_PER_LANGUAGE, LANGUAGES, GRAMS_PER_LANGUAGE = 2000, 64, 60_000
+#: Bound of the fit: documents of a language (expected, by a hash of the text).
+DOCS_PER_LANGUAGE = 2000
 #: An n-gram enters a language's filter if at least so often there, and if its rate is at least this share of its highest rate.
 LEAST_COUNT, LEAST_SHARE = 5, 0.25
-SLOTS, HASHES = 1 << 20, 4
+#: A filter has 16 slots for each n-gram of the language that has most, as a power of two, but no fewer than this.
+LEAST_SLOTS, HASHES = 1 << 20, 4
 SHARPNESS = 12
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -58,46 +59,57 @@ def gram_hashes(words: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _positions(h: np.ndarray) -> Iterator[np.ndarray]:
+def _positions(h: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     step = (h >> np.uint64(32)) | np.uint64(1)
     for k in range(HASHES):
-        yield ((h + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64)
+        yield ((h + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64)
 
 
 @dataclass
 class Filters:
-    """``table``: the bit slices; ``rates``: each language's share of false positives; ``usual``: the commonest language."""
+    """``tables``: the bit slices, 64 languages a table; ``rates``: each language's share of false positives; ``usual``: the commonest language."""
 
     languages: list[str] = field(default_factory=list)
-    table: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS, np.uint8))
+    tables: list[np.ndarray] = field(default_factory=list)
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
     usual: int = 0
 
     @staticmethod
     def of(languages: list[str], grams: list[np.ndarray], usual: int) -> Filters:
-        wide = next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(d).itemsize * 8 >= len(languages))
-        table = np.zeros(SLOTS, wide)
-        for bit, h in enumerate(grams):
-            for at in _positions(h):
-                table[np.unique(at)] |= wide(1 << bit)
-        filled = np.array([((table >> wide(b)) & wide(1)).mean() for b in range(len(languages))])
-        return Filters(languages, table, filled**HASHES, usual)
+        slots = max(LEAST_SLOTS, 1 << int(16 * max(map(len, grams), default=0)).bit_length())
+        tables, rates = [], []
+        for first in range(0, len(languages), 64):
+            some = grams[first : first + 64]
+            wide = next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(d).itemsize * 8 >= len(some))
+            table = np.zeros(slots, wide)
+            for bit, h in enumerate(some):
+                for at in _positions(h, slots):
+                    table[np.unique(at)] |= wide(1 << bit)
+            tables.append(table)
+            rates += [float(((table >> wide(b)) & wide(1)).mean()) for b in range(len(some))]
+        return Filters(languages, tables, np.array(rates) ** HASHES, usual)
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """How many of the hashes each language's filter has, false positives included."""
+        found: list[float] = []
+        for k, table in enumerate(self.tables):
+            masks = None
+            for at in _positions(h, len(table)):
+                masks = table[at] if masks is None else masks & table[at]
+            n, kind = min(64, len(self.languages) - 64 * k), table.dtype.type
+            if table.dtype == np.uint8:
+                per_mask = np.bincount(masks, minlength=256)
+                found += [per_mask[(np.arange(256) >> b) & 1 == 1].sum() for b in range(n)]
+            else:
+                found += [((masks >> kind(b)) & kind(1)).sum() for b in range(n)]
+        return np.array(found, float)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         words = normal(text)
         if not self.languages or not any(c.isalpha() for c in words):
             return UNDETERMINED, 0.0
         h = gram_hashes(words)
-        masks = None
-        for at in _positions(h):
-            masks = self.table[at] if masks is None else masks & self.table[at]
-        one = self.table.dtype.type(1)
-        if self.table.dtype == np.uint8:
-            per_mask = np.bincount(masks, minlength=256)
-            counts = np.array([per_mask[(np.arange(256) >> b) & 1 == 1].sum() for b in range(len(self.languages))], float)
-        else:
-            counts = np.array([((masks >> self.table.dtype.type(b)) & one).sum() for b in range(len(self.languages))], float)
-        sure = np.maximum(0.0, (counts - len(h) * self.rates) / (1 - self.rates))
+        sure = np.maximum(0.0, (self.counts(h) - len(h) * self.rates) / (1 - self.rates))
         if not sure.any():
             return self.languages[self.usual], 1.0 / len(self.languages)
         best = int(sure.argmax())
@@ -108,17 +120,17 @@ def fit(docs: DataFrame, held_out: Column) -> Filters:
     """Filters from documents that aren't held out and have a language and a text.
 
     Of each language, documents enter by a hash of their text, DOCS_PER_LANGUAGE of them in
-    the mean or all if there are fewer; whole texts are counted. Of more than LANGUAGES
-    languages the commonest are learned. Only n-gram hashes and counts, GRAMS_PER_LANGUAGE
-    for each language, come to the driver.
+    the mean or all if there are fewer; whole texts are counted. Only hashes of the n-grams that are common
+    in these documents come to the driver. Equal texts enter together; a text with several languages counts for
+    each. Columns besides lang, text and those of ``held_out`` are ignored.
     """
     labelled = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return Filters()
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, DOCS_PER_LANGUAGE / r["count"]))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    drawn = stored(labelled.filter(F.col("lang").isin([r["lang"] for r in sizes])).filter(draw < share[F.col("lang")]))
+    drawn = stored(labelled.filter(draw < share[F.col("lang")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,13 +148,13 @@ def fit(docs: DataFrame, held_out: Column) -> Filters:
     names = sorted(r["lang"] for r in sizes)
     grams = []
     for name in names:
-        top = kept.filter(F.col("e.lang") == name).orderBy(F.desc("e.n"), "gram").limit(GRAMS_PER_LANGUAGE)
-        grams.append(np.array([r["gram"] for r in top.select("gram").collect()], dtype=np.int64).view(np.uint64))
+        rows = kept.filter(F.col("e.lang") == name).select("gram").toPandas()
+        grams.append(np.sort(rows["gram"].to_numpy(dtype=np.int64)).view(np.uint64))
     return Filters.of(names, grams, names.index(sizes[0]["lang"]))
 
 
 def language(filters: Filters, text: Column) -> Column:
-    """struct<lang_pred, score> of a text column; ``und`` and 0 for null and for texts without a letter."""
+    """struct<lang_pred, score> of a text column; ``und`` and 0 for null and for texts without a letter. Equal texts have equal results."""
     from pyspark.sql import SparkSession
 
     shared = SparkSession.active().sparkContext.broadcast(filters)

@@ -32,12 +32,34 @@ def test_nothing_to_learn_from(spark, documents):
     assert L.fit(documents([]), F.lit(False)).languages == []
 
 
-def test_masks_name_all_languages_with_a_gram():
-    grams = [L.gram_hashes("shared only"), L.gram_hashes("shared"), L.gram_hashes("other")]
-    filters = L.Filters.of([f"l{k}" for k in range(3)], grams, 0)
-    masks = None
-    for at in L._positions(L.gram_hashes("shared")):
-        masks = filters.table[at] if masks is None else masks & filters.table[at]
-    assert ((masks & 0b11) == 0b11).all()
-    many = L.Filters.of([f"l{k:02}" for k in range(40)], [L.gram_hashes(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}") for k in range(40)], 0)
-    assert many.table.dtype == np.uint64 and many.decide("wordbc")[0] == "l28"
+def exact_counts(text, grams):
+    """How many n-grams of the text each language's set has, without filters."""
+    own = L.gram_hashes(L.normal(text)).tolist()
+    return [sum(h in g for h in own) for g in grams]
+
+
+def test_filters_against_exact_sets():
+    rng = np.random.default_rng(3)
+    words = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(300))
+    grams = [np.unique(L.gram_hashes(words())) for _ in range(130)]
+    filters = L.Filters.of([f"l{k:03}" for k in range(130)], grams, 0)
+    assert [t.dtype for t in filters.tables] == [np.uint64, np.uint64, np.uint8]
+    sets = [set(g.tolist()) for g in grams]
+    for _ in range(5):
+        text = words()
+        h = L.gram_hashes(L.normal(text))
+        exact, found = np.array(exact_counts(text, sets)), filters.counts(h)
+        assert (found >= exact).all()  # a filter loses nothing
+        assert abs((found - len(h) * filters.rates) / (1 - filters.rates) - exact).max() <= 2 + 0.001 * len(h)
+    other = L.Filters.of(filters.languages, [L.gram_hashes(f"word{chr(97 + j // 26)}{chr(97 + j % 26)}") for j in range(130)], 0)
+    for k in (0, 63, 64, 100, 127, 128, 129):
+        assert other.decide(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}")[0] == f"l{k:03}"
+
+
+def test_more_than_64_languages_are_learned(spark, documents):
+    rows = [(70 * n + k, f"zq{chr(97 + k // 26)}{chr(97 + k % 26)}xw here", f"l{k:02}") for n in range(6) for k in range(70)]
+    docs = documents(rows)
+    filters = L.fit(docs, F.lit(False))
+    assert len(filters.languages) == 70
+    found = docs.select("lang", L.language(filters, F.col("text"))["lang_pred"].alias("p")).collect()
+    assert all(r["lang"] == r["p"] for r in found)
