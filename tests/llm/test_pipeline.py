@@ -1,8 +1,9 @@
 import corpus_pipeline as C
-from papershed.llm import decontaminate, simhash
+from papershed.llm import decontaminate, similar
 
+from .conftest import ODD
 from .test_decontamination import plain
-from .test_simhash import plain_components, plain_fingerprint
+from .test_similar import plain_roots
 
 
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
@@ -23,8 +24,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     assert len(after) >= 0.98 * len(before)
     before, after = kept[2]
     ids = sorted(before)
-    groups = plain_components([plain_fingerprint(before[i]) for i in ids])
-    assert set(after) == {ids[g] for g in groups}
+    assert set(after) == {ids[g] for g in plain_roots([before[i] for i in ids])}
     before, after = kept[3]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert {str(i) for i in after} == {i for i, _, n, _ in plain(list(before.items()), items) if not n}
@@ -34,4 +34,15 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 
 def test_run_is_the_stages(spark, sf_dir):
     assert C.run(spark, sf_dir).count() > 0 and C.ORACLE_SQL is None
-    assert simhash.RADIUS == 3 and decontaminate.WIDTH == 10
+    assert (similar.SHINGLE, similar.SIMILARITY, decontaminate.WIDTH) == (5, 0.8, 10)
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark, documents, sf_dir):
+    for _, stage in C.STAGES[:-1]:
+        for rows in (ODD, []):
+            docs = documents(rows)
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns
+            kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+            assert all(kept.count(r) <= rows.count(r) for r in kept)
+    assert [(r["doc_id"], r["length"]) for r in C.STAGES[-1][1](spark, documents([(1, None)]), sf_dir).collect()] == [(1, 1)]
