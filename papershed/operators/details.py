@@ -123,39 +123,3 @@ def batched(lengths: Column, budget: int) -> Column:
 
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("number"), F.lit([]).cast("array<int>").alias("out"))
     return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
-
-
-def rfc822_seconds(text: Column) -> Column:
-    """Seconds since 1970 of ``[Day, ]d Mon yyyy hh:mm[:ss] zone``; two-digit years turn at 50; null if it is no such date."""
-    m = r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{2}|\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s+([A-Z]{1,3}|[+-]\d{4})\s*$"
-    part = lambda k: F.regexp_extract(text, m, k)
-    months = "janfebmaraprmayjunjulaugsepoctnovdec"
-    month = (F.position(F.lower(part(2)), F.lit(months)) + 2) / 3
-    short = part(3).try_cast("int")
-    year = F.when(F.char_length(part(3)) == 4, short).when(short < 50, short + 2000).otherwise(short + 1900)
-    # Zones by their hours from UTC.
-    zones = {"UT": 0, "GMT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
-    named = F.coalesce(*[F.when(part(7) == z, h * 3600) for z, h in zones.items()], F.lit(0))
-    signed = F.when(part(7).startswith("-"), -1).otherwise(1) * (F.substring(part(7), 2, 2).try_cast("int") * 3600 + F.substring(part(7), 4, 2).try_cast("int") * 60)
-    offset = F.when(part(7).rlike("^[+-]"), signed).otherwise(named)
-    day = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(part(1), 2, "0")))
-    seconds = part(4).try_cast("int") * 3600 + part(5).try_cast("int") * 60 + F.coalesce(part(6).try_cast("int"), F.lit(0))
-    return F.when(text.rlike(m), F.unix_date(day).cast("long") * 86400 + seconds - offset)
-
-
-def shown_date(text: Column) -> Column:
-    """The first ISO, day-month or month-day date in a text as yyyy-MM-dd, null if there is none."""
-    iso = F.regexp_extract(text, r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b", 0)
-    cjk = F.regexp_replace(F.regexp_extract(text, r"\d{4}年\d{1,2}月\d{1,2}日", 0), "[年月]", "-")
-    plain = F.coalesce(F.nullif(iso, F.lit("")), F.nullif(F.replace(cjk, F.lit("日"), F.lit("")), F.lit("")))
-    parts = F.split(plain, "[-/.]")
-    numbered = F.concat_ws("-", F.get(parts, F.lit(0)), F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(2)), 2, "0"))
-    names = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-    mdy = lambda k: F.regexp_extract(text, rf"(?i)\b({names})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", k)
-    dmy = lambda k: F.regexp_extract(text, rf"(?i)\b(\d{{1,2}})\.?\s+({names})[a-z]*\.?\s+(\d{{4}})\b", k)
-    number = lambda n: F.lpad(((F.position(F.lower(n), F.lit(names)) + 3) / 4).cast("int").cast("string"), 2, "0")
-    return F.coalesce(
-        F.when(plain.isNotNull(), numbered),
-        F.when(mdy(1) != "", F.concat_ws("-", mdy(3), number(mdy(1)), F.lpad(mdy(2), 2, "0"))),
-        F.when(dmy(2) != "", F.concat_ws("-", dmy(3), number(dmy(2)), F.lpad(dmy(1), 2, "0"))),
-    )

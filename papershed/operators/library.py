@@ -11,8 +11,8 @@ MAX_TAGS, TAG_CHARS, MAX_WORDS = 20, 40, 8
 def normal_tags(tags: Column) -> Column:
     """Trimmed to 40 characters, blanks dropped, the first spelling of each kept, 20 at most."""
     clean = F.filter(F.transform(tags, lambda t: F.trim(F.substring(F.trim(t), 1, TAG_CHARS))), lambda t: t != "")
-    first = F.filter(clean, lambda t, i: F.array_position(F.transform(clean, F.lower), F.lower(t)) == i + 1)
-    return F.slice(first, 1, MAX_TAGS)
+    lower = F.transform(clean, F.lower)
+    return F.transform(F.slice(F.array_distinct(lower), 1, MAX_TAGS), lambda t: F.get(clean, (F.array_position(lower, t) - 1).cast("int")))
 
 
 def has_tag(tags: Column, wanted: str) -> Column:
@@ -28,12 +28,6 @@ def has_all_words(haystack: Column, query: str) -> Column:
     return found
 
 
-def natural_key(title: Column) -> Column:
-    """A sort key in which runs of digits compare as numbers, whatever the case."""
-    padded = F.regexp_replace(F.lower(title), r"(\d+)", "0000000000$1")
-    return F.regexp_replace(padded, r"0+(\d{10})(?!\d)", "$1")
-
-
 def tag_counts(tagged: DataFrame) -> DataFrame:
     """Tags by how many rows carry them."""
     return tagged.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

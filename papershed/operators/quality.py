@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAYERS = ("content", "metadata", "rendering")
@@ -39,11 +41,13 @@ def issue_counts(issues: DataFrame) -> DataFrame:
 
 
 def compare(cases: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Cases against a baseline by slug: any worse layer makes the case worse, even where another improved."""
-    b = baseline.select("slug", *[F.col(c).alias(f"b_{c}") for c in LAYERS])
-    worse = F.coalesce(*[F.when(F.col(c) > F.col(f"b_{c}"), True) for c in LAYERS], F.lit(False))
-    better = F.coalesce(*[F.when(F.col(c) < F.col(f"b_{c}"), True) for c in LAYERS], F.lit(False))
-    change = F.when(F.col("b_content").isNull(), "added").when(worse, "worse").when(better, "better").otherwise("unchanged")
+    """Cases against a baseline by slug: ``errored`` without any verdict, ``added`` if the baseline hasn't the slug, ``worse`` if the overall
+    verdict or any layer is, whatever else improved, then ``better``. Layers that either side didn't judge don't count."""
+    b = baseline.select("slug", F.lit(True).alias("known"), *[F.col(c).alias(f"b_{c}") for c in LAYERS])
+    pairs = [(F.greatest(*LAYERS), F.greatest(*[f"b_{c}" for c in LAYERS])), *((F.col(c), F.col(f"b_{c}")) for c in LAYERS)]
+    worse = F.coalesce(*[F.when(now > then, True) for now, then in pairs], F.lit(False))
+    better = F.coalesce(*[F.when(now < then, True) for now, then in pairs], F.lit(False))
+    change = F.when(F.greatest(*LAYERS).isNull(), "errored").when(F.col("known").isNull(), "added").when(worse, "worse").when(better, "better").otherwise("unchanged")
     return cases.join(b, "slug", "left").select("slug", change.alias("change"))
 
 
@@ -55,8 +59,11 @@ def updated_baseline(cases: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def agreement(opinions: DataFrame) -> DataFrame:
-    """How often the confirming verdict follows each screening verdict, zeros filled in."""
-    return opinions.groupBy("screen").pivot("confirm", [0, 1, 2]).agg(F.count(F.lit(1))).na.fill(0)
+    """``screen, pass, minor, major``: how often each confirming verdict follows each screening one, all nine counts, zeros filled in."""
+    spark = opinions.sparkSession
+    counted = opinions.filter("confirm is not null").groupBy("screen").agg(*[F.count_if(F.col("confirm") == k).alias(NAMES[k].lower()) for k in range(3)])
+    every = spark.range(3).select(F.col("id").cast("int").alias("screen"))
+    return every.join(F.broadcast(counted), "screen", "left").na.fill(0)
 
 
 def first_of_each(issues: DataFrame) -> DataFrame:
@@ -73,14 +80,61 @@ def distinct_kinds(issues: DataFrame) -> DataFrame:
     return kinds.groupBy("slug").agg(F.array_join(text, ",").alias("kinds"))
 
 
-def confirmed(issues: DataFrame) -> DataFrame:
-    """One-to-one matches of the confirming opinion's issues with the screening one's.
+def matched_issues(cases: DataFrame) -> DataFrame:
+    """Cases (slug, ``screen`` and ``confirm``: arrays of struct<kind, layer, refs, ...> in order) with ``pairs``, array<struct<c, s>>.
 
-    Issues of a case match on layer, kind and ref; equal ones are numbered on both sides and
-    meet number by number, which is the greedy assignment in order without a loop.
+    Two issues match if they share a ref, or, with no refs on either side, on layer and kind. Each confirming issue in
+    turn takes, of the screening ones not taken, the first of its kind and layer, else of its kind, else the first.
+    A case's issues are few; cases are spread over the tasks.
     """
-    key = ["slug", "layer", "kind", "ref"]
-    nth = F.row_number().over(Window.partitionBy(*key, "opinion").orderBy("ord"))
-    numbered = issues.withColumn("nth", nth)
-    side = lambda name: numbered.filter(F.col("opinion") == name).select(*key, "nth", F.col("severity").alias(name))
-    return side("confirm").join(side("screen"), [*key, "nth"], "full_outer")
+
+    def match(c: Column, s: Column) -> Column:
+        a, b = c["refs"], s["refs"]
+        return F.when((F.size(a) > 0) & (F.size(b) > 0), F.arrays_overlap(a, b)).otherwise((F.size(a) == F.size(b)) & (c["layer"] == s["layer"]) & (c["kind"] == s["kind"]))
+
+    def step(acc: Column, k: Column) -> Column:
+        c = F.get("confirm", k)
+
+        def rank(i: Column) -> Column:
+            s = F.get("screen", i)
+            closest = F.when((s["kind"] == c["kind"]) & (s["layer"] == c["layer"]), 0).when(s["kind"] == c["kind"], 1).otherwise(2)
+            return F.when(match(c, s) & ~F.array_contains(F.transform(acc, lambda p: p["s"]), i), F.struct(closest.alias("rank"), i.alias("i")))
+
+        best = F.array_min(F.transform(_places("screen"), rank))
+        return F.when(best.isNull(), acc).otherwise(F.array_append(acc, F.struct(k.alias("c"), best["i"].alias("s"))))
+
+    none = F.array().cast("array<struct<c:int,s:int>>")
+    return cases.withColumn("pairs", F.aggregate(_places("confirm"), none, step))
+
+
+def _places(name: str) -> Column:
+    """The places in an array, none if it is empty."""
+    return F.when(F.size(name) > 0, F.sequence(F.lit(0), F.size(name) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def cross_confirmed(cases: DataFrame, supported: Callable[[Column], Column]) -> DataFrame:
+    """Cases with ``merged``: pairs keep the confirming issue at the more severe severity (origin ``both``); of one-sided issues a
+    minor one stays, a major one stays if a measured fact supports it (``supported``) and is minor otherwise. Of issues that agree
+    in layer, kind and evidence the first stays. Issues have ``severity, layer, kind, evidence, refs``."""
+    matched = matched_issues(cases)
+
+    def out(issue: Column, severity: Column, origin: Column) -> Column:
+        return F.struct(issue["layer"].alias("layer"), issue["kind"].alias("kind"), issue["evidence"].alias("evidence"), severity.alias("severity"), origin.alias("origin"))
+
+    def paired(p: Column) -> Column:
+        c, s = F.get("confirm", p["c"]), F.get("screen", p["s"])
+        capped = F.when(c["kind"] == "extra_content", "minor").when((c["severity"] == "major") | (s["severity"] == "major"), "major").otherwise("minor")
+        return out(c, capped, F.lit("both"))
+
+    def alone(issue: Column) -> Column:
+        minor, fact = issue["severity"] == "minor", supported(issue)
+        return out(issue, F.when(minor | ~fact, "minor").otherwise("major"), F.when(minor, "one-sided").when(fact, "one-sided-fact").otherwise("one-sided-downgraded"))
+
+    def rest(name: str, side: str) -> Column:
+        left = F.filter(_places(name), lambda i: ~F.array_contains(F.transform("pairs", lambda p: p[side]), i))
+        return F.transform(left, lambda i: alone(F.get(name, i)))
+
+    every = F.concat(F.transform("pairs", paired), rest("confirm", "c"), rest("screen", "s"))
+    key = lambda e: F.struct(e["layer"], e["kind"], e["evidence"])
+    first = F.filter(F.col("every"), lambda e, i: F.array_position(F.transform("every", key), key(e)) == i + 1)
+    return matched.withColumn("every", every).withColumn("merged", first).drop("every")

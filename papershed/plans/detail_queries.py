@@ -33,10 +33,11 @@ def nearest_views(spark, sf_dir):
 
 
 def matched_embeds(spark, sf_dir):
-    """Words of titles matched one to one with words of later text, as embeds with reader links."""
-    docs = read(spark, sf_dir, "documents")
-    words = lambda a, n: docs.select("doc_id", F.explode(F.slice(F.split(F.lower("text"), r"\s+"), a, n)).alias("w"))
-    return D.matched_counts(words(1, 30), words(31, 60), ["doc_id", "w"]).groupBy("doc_id").agg(F.sum("matched").alias("matched"), F.sum("dropped").alias("dropped"))
+    """Words of a text's first half matched one to one with those of its second half, as embeds with reader links."""
+    halves = read(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"\s+").alias("a")).withColumn("h", F.floor(F.size("a") / 2).cast("int"))
+    first = halves.select("doc_id", F.explode(F.slice("a", F.lit(1), F.col("h"))).alias("w"))
+    second = halves.select("doc_id", F.explode(F.slice("a", F.col("h") + 1, F.size("a"))).alias("w"))
+    return D.matched_counts(first, second, ["doc_id", "w"]).groupBy("doc_id").agg(F.sum("matched").alias("matched"), F.sum("dropped").alias("dropped"))
 
 
 def carried_system_text(spark, sf_dir):
@@ -45,7 +46,7 @@ def carried_system_text(spark, sf_dir):
 
 
 def citation_numbers(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.slice(F.split("text", r"\s+"), 1, 40)).alias("pos", "ref"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\s+")).alias("pos", "ref"))
     return D.citation_numbers(docs)
 
 
@@ -66,10 +67,10 @@ def capture_types(spark, sf_dir):
 
 
 def annotations(spark, sf_dir):
-    """Annotations of users as materials after a second save of some, at most 20 each."""
+    """Annotations of users as materials after a second save of some, at most 2,000 each."""
     log = read(spark, sf_dir, "events").select(F.col("user_id").alias("material"), F.col("event_id").alias("id"), F.col("event_type").alias("note"), F.unix_micros(F.col("ts").cast("timestamp")).alias("created"))
     again = log.filter("id % 4 = 0").withColumn("note", F.lit("changed")).withColumn("created", F.col("created") + 1)
-    return D.annotation_upsert(log.filter("id % 6 <> 0"), again, 20)
+    return D.annotation_upsert(log.filter("id % 6 <> 0"), again)
 
 
 def issue_reasons(spark, sf_dir):
@@ -105,20 +106,6 @@ def token_batches(spark, sf_dir):
     return turns.select("conv_id", F.array_join(D.batched(F.col("t.n"), 1200).cast("array<string>"), ",").alias("requests"))
 
 
-def feed_dates(spark, sf_dir):
-    """Dates of orders written the RSS way, with a named or numeric zone, and read back."""
-    i = F.col("o_orderkey")
-    zone = F.when(i % 3 == 0, "GMT").when(i % 3 == 1, "EST").otherwise("+0530")
-    text = F.concat(F.date_format("o_orderdate", "EEE, d MMM yyyy"), F.lit(" 08:05:09 "), zone)
-    return read(spark, sf_dir, "orders").select("o_orderkey", D.rfc822_seconds(text).alias("seconds"))
-
-
-def shown_dates(spark, sf_dir):
-    i, d = F.col("o_orderkey"), F.col("o_orderdate")
-    text = F.concat(F.lit("Posted "), F.when(i % 4 == 0, F.date_format(d, "yyyy/M/d")).when(i % 4 == 1, F.date_format(d, "MMMM d, yyyy")).when(i % 4 == 2, F.date_format(d, "d MMM yyyy")).otherwise(F.date_format(d, "yyyy'年'M'月'd'日'")), F.lit(" by A."))
-    return read(spark, sf_dir, "orders").select("o_orderkey", D.shown_date(text).alias("shown"))
-
-
 def undecided_removed(spark, sf_dir):
     """Removing two sources deletes their undecided items and keeps the decided ones."""
     from papershed.operators.inbox import state
@@ -130,7 +117,7 @@ def undecided_removed(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     review_flags, quality_labels, day_groups, nearest_views, matched_embeds, carried_system_text, citation_numbers, joined_hyphens, page_tiles, capture_types,
-    annotations, issue_reasons, golden_differences, answers, token_batches, feed_dates, shown_dates, undecided_removed,
+    annotations, issue_reasons, golden_differences, answers, token_batches, undecided_removed,
 )}
 
 ORACLE_SQL = {
@@ -143,10 +130,10 @@ ORACLE_SQL = {
     "nearest_views": """WITH v AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'), p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase')
         SELECT p.user_id, p.event_id, arg_min(v.event_id, (abs(epoch_us(p.ts) - epoch_us(v.ts)), v.ts, v.event_id)) AS nearest FROM p LEFT JOIN v ON p.user_id = v.user_id GROUP BY ALL""",
     "matched_embeds": """WITH d AS (SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM documents),
-        a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w[1:30]) AS w FROM d) GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w[31:90]) AS w FROM d) GROUP BY ALL)
+        a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w[1 : len(w) // 2]) AS w FROM d) GROUP BY ALL), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w[len(w) // 2 + 1 :]) AS w FROM d) GROUP BY ALL)
         SELECT doc_id, CAST(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS BIGINT) AS matched, CAST(sum(greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)) AS BIGINT) AS dropped FROM a FULL JOIN b USING (doc_id, w) GROUP BY doc_id""",
     "carried_system_text": """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations""",
-    "citation_numbers": """WITH w AS (SELECT doc_id AS doc, unnest(a[1:40]) AS ref, generate_subscripts(a[1:40], 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS a FROM documents)),
+    "citation_numbers": """WITH w AS (SELECT doc_id AS doc, unnest(a) AS ref, generate_subscripts(a, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS a FROM documents)),
         f AS (SELECT doc, ref, min(pos) AS pos FROM w GROUP BY doc, ref) SELECT doc, ref, CAST(row_number() OVER (PARTITION BY doc ORDER BY pos) AS INTEGER) AS number FROM f""",
     "joined_hyphens": "SELECT doc_id, md5(text) AS md5 FROM documents",
     "page_tiles": """WITH t AS (SELECT doc_id, n_chars, unnest(range(0, greatest(n_chars, 1), 4096)) AS top FROM documents)
@@ -155,15 +142,17 @@ ORACLE_SQL = {
         SELECT CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/svg+xml' ELSE 'text/plain' END, count(*) FROM documents GROUP BY 1""",
     "annotations": """WITH s AS (SELECT user_id AS material, event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'changed' ELSE event_type END AS note,
              epoch_us(ts) + CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END AS created FROM events WHERE event_id % 6 <> 0 OR event_id % 4 = 0)
-        SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY material ORDER BY created, id) <= 20""",
+        SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY material ORDER BY created, id) <= 2000""",
     "issue_reasons": f"""WITH {ISSUES_SQL} SELECT CASE WHEN ref = 'p5' THEN 'outside_boundary' WHEN layer = 'rendering' AND slug % 4 = 0 THEN 'no_capture'
         WHEN n_chars < 300 AND kind = 'missing_content' THEN 'not_verbatim' WHEN kind = 'broken_image' AND severity = 'major' THEN 'against_facts' ELSE 'valid' END AS reason, count(*) AS n
         FROM issues JOIN documents ON doc_id = slug GROUP BY 1""",
+    "token_batches": """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) AS n FROM conversations),
+        g AS (SELECT conv_id, k, n AS used, 0 AS b FROM t WHERE k = 1 UNION ALL
+              SELECT t.conv_id, t.k, CASE WHEN used + n > 1200 AND used > 0 THEN n ELSE used + n END, b + CASE WHEN used + n > 1200 AND used > 0 THEN 1 ELSE 0 END FROM g JOIN t ON t.conv_id = g.conv_id AND t.k = g.k + 1)
+        SELECT conv_id, string_agg(CAST(b AS VARCHAR), ',' ORDER BY k) AS requests FROM g GROUP BY conv_id""",
     "golden_differences": """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'quality' END, CASE WHEN toxic <> 0 THEN 'toxic' END], lambda f: f IS NOT NULL), ',') AS fields FROM labels""",
     "answers": """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k,
         CASE WHEN event_id % 10 = 0 THEN props || '}{' WHEN json_extract(props, '$.k') IS NULL THEN props END AS raw FROM events""",
-    "feed_dates": """SELECT o_orderkey, CAST(epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS BIGINT) + 29109 + CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 18000 ELSE -19800 END AS seconds FROM orders""",
-    "shown_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS shown FROM orders",
     "undecided_removed": f"""WITH {ITEMS_SQL} SELECT source_id, count(*) AS n FROM items
         WHERE NOT (source_id IN ('src0', 'src1') AND queued_s IS NULL AND dismissed_s IS NULL AND opened_s IS NULL AND kept_s IS NULL) GROUP BY source_id""",
 }

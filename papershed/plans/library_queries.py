@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papershed.functions import text as X
+from papershed.functions import urls as U
 from papershed.operators import library as L
 from papershed.operators import turns as T
-from papershed.sources.tables import ITEMS_SQL, items, read
+from papershed.sources.tables import ITEMS_SQL, items, items_of, read
 
 
 def _tagged(spark, sf_dir):
-    words = F.slice(F.split("title", " "), 1, 6)
-    return items(spark, sf_dir).select("id", "doc_id", "title", "lang", "source_id", L.normal_tags(words).alias("tags"))
+    """Every item with the words of its whole text as raw tags."""
+    docs = read(spark, sf_dir, "documents")
+    tags = docs.select(F.col("doc_id"), L.normal_tags(F.split("text", r"\s+")).alias("tags"))
+    return tags.join(items(spark, sf_dir).select("id", "doc_id"), "doc_id")
 
 
 def tag_counts(spark, sf_dir):
@@ -26,15 +29,14 @@ def tagged_items(spark, sf_dir):
 
 def library_search(spark, sf_dir):
     """All-words search over the whole texts: every word a substring, newest first, 50 at most."""
-    docs = read(spark, sf_dir, "documents")
-    hit = docs.filter(L.has_all_words(F.col("text"), "The  AND ing")).select("doc_id")
-    return items(spark, sf_dir).join(hit, "doc_id", "left_semi").orderBy(F.desc_nulls_last("published_s"), "id").limit(50).select("id", "title", "published_s")
+    hits = read(spark, sf_dir, "documents").filter(L.has_all_words(F.col("text"), "The  AND ing"))
+    return items_of(hits).orderBy(F.desc_nulls_last("published_s"), "id").limit(50).select("id", "title", "published_s")
 
 
 def library_titles(spark, sf_dir):
     """The first 100 titles in natural order."""
     numbered = items(spark, sf_dir).select("id", F.concat(F.lit("Vol "), F.col("doc_id").cast("string"), F.lit(" "), "source_id").alias("title"))
-    return numbered.orderBy(L.natural_key(F.col("title")), "id").limit(100)
+    return numbered.orderBy(X.natural_key(F.col("title")), "id").limit(100)
 
 
 def effective_metadata(spark, sf_dir):
@@ -45,18 +47,29 @@ def effective_metadata(spark, sf_dir):
     return layers.select("id", L.layered(["o", "x"], "title"), L.layered(["o", "x"], "kind"))
 
 
+def _visited(spark, sf_dir):
+    """Pages under the links by which readers come: other hosts and more parameters."""
+    host = F.coalesce(F.get(F.array(*[F.lit(h) for h in VISITED_HOSTS]), (F.col("page_id") % 7).cast("int")), F.regexp_extract("url", "//([^/]+)", 1))
+    url = F.concat(F.lit("HTTPS://"), host, F.regexp_extract("url", "//[^/]+(.*)$", 1), F.lit("&ref=hn&b=%2F&yclid=1&s=2&_hsenc=x&si=3&Ref=4&mkt_tok=5&c#top"))
+    return read(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+
+
+#: Hosts for the first remainders of page_id by 7; the others keep their own.
+VISITED_HOSTS = ("Gist.GitHub.com", "x.com", "music.youtube.com", "[fd00::1]", "10.1.2.3")
+
+
 def canonical_urls(spark, sf_dir):
     url = F.col("url")
-    return read(spark, sf_dir, "pages").select("page_id", X.canonical_url(url).alias("canonical"), X.host_of(url).alias("host"), X.slug(url).alias("slug"),
-                                               X.is_public_url(url).alias("is_public"), F.substring(F.sha2(X.canonical_url(url), 256), 1, 16).alias("id"))
+    return _visited(spark, sf_dir).select("page_id", U.canonical_url(url).alias("canonical"), U.host_of(url).alias("host"), U.slug(url).alias("slug"),
+                                          U.is_public_url(url).alias("is_public"), F.substring(F.sha2(U.canonical_url(url), 256), 1, 16).alias("id"))
 
 
 def identity_lookup(spark, sf_dir):
     """Pages asked for by variants of their URL, resolved to the page that was fetched first."""
-    pages = read(spark, sf_dir, "pages").select("page_id", X.canonical_url(F.col("url")).alias("c"), X.slug(F.col("url")).alias("s"))
+    pages = _visited(spark, sf_dir).select("page_id", U.canonical_url(F.col("url")).alias("c"), U.slug(F.col("url")).alias("s"))
     key = lambda *parts: F.array(*[F.struct(F.lit(k).alias("priority"), F.concat(F.lit(f"{name}:"), c).alias("key")) for k, (name, c) in enumerate(parts)])
     known = pages.select(F.col("page_id").alias("id"), (F.col("page_id") * 37 % 1009).alias("fetched_s"), key(("url", F.col("c")), ("slug", F.col("s"))).alias("keys"))
-    asked = pages.filter("page_id % 2 = 0").select(F.col("page_id").alias("request_id"), key(("url", F.when(F.col("page_id") % 3 != 0, F.col("c")).otherwise("none")), ("slug", F.col("s"))).alias("keys"))
+    asked = pages.select(F.col("page_id").alias("request_id"), key(("url", F.when(F.col("page_id") % 3 != 0, F.col("c")).otherwise("none")), ("slug", F.col("s"))).alias("keys"))
     return L.resolve(asked, known)
 
 
@@ -117,41 +130,20 @@ def comparison_keys(spark, sf_dir):
 def text_windows(spark, sf_dir):
     """Pages of 24,000 characters of every text, with the place where the next one starts."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.char_length("text").alias("total"))
-    cut = docs.select("doc_id", "text", "total", F.explode(F.sequence(F.lit(0), F.greatest(F.col("total") - 1, F.lit(0)), F.lit(24000))).alias("start"))
-    part = F.substr("text", F.col("start") + 1, F.lit(24000))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("total") - 1, F.lit(0)), F.lit(24000))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substr("text", s + 1, F.lit(24000)).alias("part")))
+    cut = docs.select("doc_id", "total", F.explode(parts).alias("w")).select("doc_id", "total", "w.start", "w.part")
+    part = F.col("part")
     following = F.when(F.col("start") + 24000 < F.col("total"), F.col("start") + 24000)
     return cut.select("doc_id", "start", F.char_length(part).alias("n_chars"), F.md5(part).alias("md5"), following.alias("next"), "total")
 
 
-def date_parts(spark, sf_dir):
-    """Partial dates in several forms, brought to one."""
-    i = F.col("o_orderkey")
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    raw = F.when(i % 5 == 0, F.substring(day, 1, 4)).when(i % 5 == 1, F.substring(day, 1, 7)).when(i % 5 == 2, F.concat(F.lit(" "), day)).when(i % 5 == 3, F.concat(F.substring(day, 1, 5), (i % 12 + 1).cast("string"))).otherwise(F.concat(F.lit("on "), day))
-    return read(spark, sf_dir, "orders").select("o_orderkey", X.partial_date(raw).alias("date"))
-
-
-def identifiers(spark, sf_dir):
-    i = F.col("doc_id")
-    arxiv = F.concat(F.lit("https://arxiv.org/abs/24"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((i % 100000).cast("string"), 5, "0"), F.lit("v2"))
-    given = F.when(i % 2 == 0, F.concat(F.lit("https://doi.org/10.1234/AB."), i.cast("string"))).otherwise(F.concat(F.lit("doi:11/"), i.cast("string")))
-    tag = F.concat(F.lit("v"), (i % 3).cast("string"), F.lit("."), (i % 20).cast("string"), F.when(i % 4 == 0, ".x").otherwise(F.concat(F.lit("."), (i % 7).cast("string"))))
-    return read(spark, sf_dir, "documents").select("doc_id", X.arxiv_id(arxiv).alias("arxiv"), X.doi(given).alias("doi"), F.array_join(X.version_key(tag).cast("array<string>"), "-").alias("version"))
-
-
-def newest_versions(spark, sf_dir):
-    """The highest release of each source, numbers compared as numbers."""
-    i = F.col("doc_id")
-    tag = F.concat(F.lit("v"), (i % 3).cast("string"), F.lit("."), (i % 20).cast("string"), F.lit("."), (i % 7).cast("string"))
-    rows = read(spark, sf_dir, "documents").select("source", tag.alias("tag"), X.version_key(tag).alias("k"))
-    return rows.groupBy("source").agg(F.max_by("tag", "k").alias("newest"))
-
-
 def overlapping_spans(spark, sf_dir):
     """Anchors and annotations of a document that overlap: a range join on binned intervals."""
-    docs = read(spark, sf_dir, "documents").filter("n_chars > 200").select("doc_id", "n_chars")
-    anchors = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(500).cast("long"))).alias("start")).withColumn("stop", F.col("start") + 450)
-    notes = docs.select("doc_id", F.explode(F.sequence(F.lit(100).cast("long"), F.col("n_chars"), F.lit(1700).cast("long"))).alias("start")).withColumn("stop", F.col("start") + 600)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    starts = lambda a, z, step: F.explode(F.when(z >= a, F.sequence(F.lit(a).cast("long"), z, F.lit(step).cast("long")))).alias("start")
+    anchors = docs.select("doc_id", starts(0, F.col("n_chars") - 1, 500)).withColumn("stop", F.col("start") + 450)
+    notes = docs.select("doc_id", starts(100, F.col("n_chars"), 1700)).withColumn("stop", F.col("start") + 600)
     return L.overlapping(anchors, notes, "doc_id", 1024).groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum("l_start").alias("sum_start"))
 
 
@@ -164,23 +156,29 @@ def storage_usage(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tag_counts, tagged_items, library_search, library_titles, effective_metadata, canonical_urls, identity_lookup, missing_relations, freed_images,
-    override_merge, artifact_versions, session_list, folded_turns, answered_calls, quote_anchors, gists, comparison_keys, text_windows, date_parts,
-    identifiers, newest_versions, overlapping_spans, storage_usage,
+    override_merge, artifact_versions, session_list, folded_turns, answered_calls, quote_anchors, gists, comparison_keys, text_windows, overlapping_spans, storage_usage,
 )}
 
 TAGS_SQL = f"""{ITEMS_SQL},
-    parts AS (SELECT id, generate_subscripts(a, 1) AS i, unnest(a) AS t FROM (SELECT id, string_split(title, ' ')[1:6] AS a FROM items)),
+    parts AS (SELECT id, generate_subscripts(a, 1) AS i, unnest(a) AS t FROM (SELECT substr(sha256(source || chr(0) || CAST(doc_id AS VARCHAR)), 1, 16) AS id, regexp_split_to_array(text, '\\s+') AS a FROM documents)),
     clean AS (SELECT id, i, trim(substr(trim(t), 1, 40)) AS tag FROM parts),
-    tags AS (SELECT * FROM clean WHERE tag <> '' QUALIFY row_number() OVER (PARTITION BY id, lower(tag) ORDER BY i) = 1)"""
-CANONICAL_SQL = """
-    u AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
-    v AS (SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS base, regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1) AS host,
-                 list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_')
-                   AND NOT list_contains(['fbclid', 'gclid', 'dclid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid'], lower(regexp_extract(p, '^([^=]*)', 1)))) AS kept FROM u),
-    c AS (SELECT page_id, url, lower(host) || substr(base, length(host) + 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical,
-                 lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1)) AS h,
-                 regexp_replace(substr(regexp_replace(regexp_replace(lower(regexp_replace(url, '^[a-zA-Z]+://(www\\.)?|[?#].*$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+', ''), 1, 80), '-+$', '') AS slug FROM v)"""
+    first AS (SELECT * FROM clean WHERE tag <> '' QUALIFY row_number() OVER (PARTITION BY id, lower(tag) ORDER BY i) = 1),
+    tags AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 20)"""
+CANONICAL_SQL = r"""
+    u AS (SELECT page_id, 'HTTPS://' || coalesce((['Gist.GitHub.com', 'x.com', 'music.youtube.com', '[fd00::1]', '10.1.2.3'])[page_id % 7 + 1], regexp_extract(url, '//([^/]+)', 1))
+                 || regexp_extract(url, '//[^/]+([^#]*)', 1) || CASE WHEN contains(url, '#') THEN '' ELSE '&ref=hn&b=%2F&yclid=1&s=2&_hsenc=x&si=3&Ref=4&mkt_tok=5&c' END AS bare FROM pages),
+    v AS (SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS base, lower(regexp_extract(bare, '//(\[[^\]]*\]|[^/:?#]*)', 1)) AS h FROM u),
+    w AS (SELECT *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: NOT (CASE regexp_extract(p, '^([^=]*)', 1)
+                   WHEN 'ref' THEN NOT regexp_matches(h, '(^|\.)(github|gitlab)\.com$') WHEN 's' THEN regexp_matches(h, '(^|\.)(x|twitter)\.com$')
+                   WHEN 'si' THEN regexp_matches(h, '(^|\.)(youtube\.com|youtu\.be|spotify\.com)$')
+                   ELSE regexp_matches(p, '^(utm_[^=]*|ref_src|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|_hsenc|_hsmi|mkt_tok|yclid|spm|share)(=|$)') END)) AS kept FROM v),
+    c AS (SELECT page_id, h, 'https://' || h || regexp_extract(base, '//[^/]+(.*)$', 1) || CASE WHEN contains(bare, '?') AND len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical,
+                 regexp_replace(substr(regexp_replace(regexp_replace(lower(regexp_replace(bare, '^[a-zA-Z]+://(www\.)?|[?#].*$', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+', ''), 1, 80), '-+$', '') AS slug FROM w)"""
 ORACLE_SQL = {
+    "gists": r"""WITH t AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM documents),
+        h AS (SELECT *, substr(p, 1, 300) AS head FROM t), e AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?]) ', 1) AS s, regexp_extract(head, '^(.*) [^ ]*$', 1) AS w FROM h)
+        SELECT doc_id, CASE WHEN length(p) <= 300 THEN p WHEN length(s) > 100 THEN s ELSE trim(CASE WHEN w <> '' THEN w ELSE head END) || '…' END AS gist,
+               CAST(greatest(1, floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) / 240 + 0.5)) AS INTEGER) AS minutes FROM e""",
     "tag_counts": f"WITH {TAGS_SQL} SELECT tag, count(*) AS n FROM tags GROUP BY tag",
     "tagged_items": f"""WITH {TAGS_SQL} SELECT items.id, coalesce(string_agg(tag, '|' ORDER BY i), '') AS tags, coalesce(bool_or(lower(tag) = 'the'), false) AS has_the
         FROM items LEFT JOIN tags ON tags.id = items.id GROUP BY items.id""",
@@ -192,11 +190,11 @@ ORACLE_SQL = {
     "effective_metadata": f"""WITH {ITEMS_SQL} SELECT id, CASE WHEN quality = 1 THEN 'Edited ' || items.doc_id ELSE nullif(title, '') END AS title,
         CASE WHEN toxic = 1 THEN 'note' ELSE 'webpage' END AS kind FROM items LEFT JOIN labels USING (doc_id)""",
     "canonical_urls": f"""WITH {CANONICAL_SQL} SELECT page_id, canonical, h AS host, slug, substr(sha256(canonical), 1, 16) AS id,
-        regexp_matches(url, '^https?://[^@/]+(/|$|\\?|#)') AND h <> '' AND NOT regexp_matches(h, '(^localhost$)|(\\.local$)') AS is_public FROM c""",
+        page_id % 7 NOT IN (3, 4) AS is_public FROM c""",
     "identity_lookup": f"""WITH {CANONICAL_SQL},
         k AS (SELECT page_id AS id, page_id * 37 % 1009 AS f, 'url:' || canonical AS key FROM c UNION ALL SELECT page_id, page_id * 37 % 1009, 'slug:' || slug FROM c),
-        r AS (SELECT page_id AS request_id, 0 AS p, 'url:' || CASE WHEN page_id % 3 <> 0 THEN canonical ELSE 'none' END AS key FROM c WHERE page_id % 2 = 0
-              UNION ALL SELECT page_id, 1, 'slug:' || slug FROM c WHERE page_id % 2 = 0)
+        r AS (SELECT page_id AS request_id, 0 AS p, 'url:' || CASE WHEN page_id % 3 <> 0 THEN canonical ELSE 'none' END AS key FROM c
+              UNION ALL SELECT page_id, 1, 'slug:' || slug FROM c)
         SELECT request_id, id FROM r JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY p, f, id) = 1""",
     "missing_relations": """WITH d AS (SELECT doc_id AS id, unnest([doc_id * 3, doc_id + doc_id % 2]) AS ref FROM documents)
         SELECT DISTINCT id, ref FROM d WHERE id = ref OR ref NOT IN (SELECT doc_id FROM documents)""",
@@ -222,14 +220,7 @@ ORACLE_SQL = {
     "text_windows": """WITH w AS (SELECT doc_id, text, length(text) AS total, unnest(range(0, greatest(length(text), 1), 24000)) AS start FROM documents)
         SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(length(substr(text, start + 1, 24000)) AS INTEGER) AS n_chars, md5(substr(text, start + 1, 24000)) AS md5,
                CAST(CASE WHEN start + 24000 < total THEN start + 24000 END AS INTEGER) AS next, CAST(total AS INTEGER) AS total FROM w""",
-    "date_parts": """WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
-        SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN substr(d, 1, 4) WHEN 1 THEN substr(d, 1, 7) WHEN 2 THEN d
-               WHEN 3 THEN substr(d, 1, 5) || lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') END AS date FROM d""",
-    "identifiers": """SELECT doc_id, '24' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS arxiv,
-        CASE WHEN doc_id % 2 = 0 THEN '10.1234/ab.' || doc_id END AS doi,
-        CASE WHEN doc_id % 4 <> 0 THEN doc_id % 3 || '-' || doc_id % 20 || '-' || doc_id % 7 END AS version FROM documents""",
-    "newest_versions": """SELECT source, arg_max('v' || doc_id % 3 || '.' || doc_id % 20 || '.' || doc_id % 7, [doc_id % 3, doc_id % 20, doc_id % 7]) AS newest FROM documents GROUP BY source""",
-    "overlapping_spans": """WITH d AS (SELECT doc_id, n_chars FROM documents WHERE n_chars > 200),
+    "overlapping_spans": """WITH d AS (SELECT doc_id, n_chars FROM documents),
         a AS (SELECT doc_id, unnest(range(0, n_chars, 500)) AS s FROM d), n AS (SELECT doc_id, unnest(range(100, n_chars + 1, 1700)) AS s FROM d)
         SELECT a.doc_id, count(*) AS n_pairs, CAST(sum(a.s) AS BIGINT) AS sum_start FROM a JOIN n ON a.doc_id = n.doc_id AND a.s < n.s + 600 AND a.s + 450 > n.s GROUP BY a.doc_id""",
     "storage_usage": """SELECT 'records' AS category, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents UNION ALL SELECT 'captures', CAST(sum(strlen(html)) AS BIGINT) FROM pages

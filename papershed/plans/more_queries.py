@@ -19,7 +19,7 @@ def best_candidates(spark, sf_dir):
 
 def occurrences(spark, sf_dir):
     """Words of a text's start with the number of times they came before."""
-    words = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", r"\s+"), 1, 25)).alias("pos", "word"))
+    words = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
     before = Window.partitionBy("doc_id", "word").orderBy("pos")
     return words.select("doc_id", "pos", "word", (F.row_number().over(before) - 1).alias("occurrence"))
 
@@ -113,7 +113,7 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLE_SQL = {
     "best_candidates": "SELECT source, doc_id, doc_id % 4 + 1 AS rank FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 4 DESC, doc_id) = 1",
-    "occurrences": """WITH w AS (SELECT doc_id, unnest(a[1:25]) AS word, generate_subscripts(a[1:25], 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS a FROM documents))
+    "occurrences": """WITH w AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS a FROM documents))
         SELECT doc_id, CAST(pos AS INTEGER) AS pos, word, CAST(row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) - 1 AS INTEGER) AS occurrence FROM w""",
     "phrase_hits": "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\bof\\s+the\\b')) AS INTEGER) AS n FROM documents WHERE n > 0",
     "citations": """SELECT doc_id, CASE WHEN doc_id % 5 = doc_id % 3 THEN substr(sha256(CAST(doc_id % 5 AS VARCHAR)), 1, 16)

@@ -18,12 +18,12 @@ def feed_round_trip(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("feed"), "doc_id", F.concat(F.lit("Doc & <"), "doc_id", F.lit("> weekly")).alias("title"), F.trim("text").alias("content"), _dated(docs))
     found = feeds.read_feeds(feeds.write_feeds(rows.filter("content is not null")))
-    return found.select(F.col("external_id").cast("long").alias("doc_id"), "feed_title", "title", F.col("published").cast("long").alias("published_s"), F.char_length(F.regexp_replace("content", r"\s+", "")).alias("n_chars"))
+    return found.select(F.col("external_id").cast("long").alias("doc_id"), "feed_title", "title", "published_s", F.char_length(F.regexp_replace("content", r"\s+", "")).alias("n_chars"))
 
 
 def feed_items(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    rows = docs.select(F.col("source").alias("feed"), "doc_id", F.lit("The weekly").alias("title"), F.trim("text").alias("content"), _dated(docs))
+    rows = docs.select(F.when(F.char_length("source") % 2 == 0, F.concat(F.lit("Weekly "), "source")).otherwise(F.col("source")).alias("feed"), "doc_id", F.lit("A weekly title").alias("title"), F.trim("text").alias("content"), _dated(docs))
     items = feeds.feed_items(feeds.read_feeds(feeds.write_feeds(rows.filter("content is not null"))))
     return items.groupBy("summary_only", "newsletter").agg(F.count("*").alias("n"))
 
@@ -58,7 +58,8 @@ QUERIES = {f.__name__: f for f in (feed_round_trip, feed_items, page_metadata, p
 ORACLE_SQL = {
     "feed_round_trip": f"""SELECT doc_id, source AS feed_title, 'Doc & <' || doc_id || '> weekly' AS title,
         CAST(CASE WHEN doc_id % 11 <> 0 THEN {EPOCH} + doc_id % 60 * 86400 END AS BIGINT) AS published_s, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS n_chars FROM documents WHERE text IS NOT NULL""",
-    "feed_items": """SELECT len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 150 AS summary_only, true AS newsletter, count(*) AS n FROM documents GROUP BY ALL""",
+    "feed_items": """SELECT len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 150 AS summary_only, length(source) % 2 = 0 AS newsletter, count(*) AS n
+        FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
     "page_metadata": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Cited ' || page_id WHEN page_id % 3 = 0 THEN 'Shared ' || page_id ELSE 'plain' END AS title,
         CASE WHEN page_id % 5 = 0 THEN 'Ada A; Bob B' ELSE '' END AS authors, 'https://example.org/' || page_id % 100 AS canonical, contains(html, '<title>') AS has_title FROM pages""",
     "page_structure": """SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p[\\s>/]')) AS INTEGER) AS p, CAST(len(regexp_extract_all(html, '(?i)<a[\\s>/]')) AS INTEGER) AS a,

@@ -46,7 +46,7 @@ def baseline_update(spark, sf_dir):
 
 def opinion_agreement(spark, sf_dir):
     worst = issues(spark, sf_dir).groupBy("slug").agg(*[F.max(F.when(F.col("opinion") == o, F.when(F.col("severity") == "major", 2).otherwise(1))).alias(o) for o in ("screen", "confirm")])
-    return Q.agreement(worst).withColumnsRenamed({"0": "pass", "1": "minor", "2": "major"})
+    return Q.agreement(worst)
 
 
 def distinct_issues(spark, sf_dir):
@@ -58,9 +58,20 @@ def issue_kinds(spark, sf_dir):
 
 
 def cross_confirmed(spark, sf_dir):
-    pairs = Q.confirmed(issues(spark, sf_dir))
-    origin = F.when(F.col("confirm").isNotNull() & F.col("screen").isNotNull(), "both").when(F.col("screen") == "major", "one_major").when(F.col("confirm") == "major", "one_major").otherwise("one_minor")
-    return pairs.groupBy(origin.alias("origin")).agg(F.count("*").alias("n"))
+    """Two opinions' issues merged; a fact supports a major issue of a case whose content was judged worse than a pass."""
+    facts = cases(spark, sf_dir).select("slug", (F.col("content") > 0).alias("fact"))
+    rows = opinion_issues(spark, sf_dir).join(facts, "slug", "left")
+    merged = Q.cross_confirmed(rows, lambda issue: F.coalesce("fact", F.lit(False)) & (issue["kind"] != "noise"))
+    return merged.select(F.explode("merged").alias("m")).groupBy("m.origin", "m.severity").agg(F.count("*").alias("n"))
+
+
+def opinion_issues(spark, sf_dir):
+    """``slug, screen, confirm``: each opinion's issues in order; some cite two refs, some none."""
+    rows = issues(spark, sf_dir)
+    refs = F.when(F.col("ord") % 3 == 2, F.array().cast("array<string>")).when(F.col("ord") % 2 == 1, F.array("ref", F.lit("p1"))).otherwise(F.array("ref"))
+    entry = F.struct("ord", "layer", "kind", "severity", F.col("ref").alias("evidence"), refs.alias("refs"))
+    side = lambda name: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("opinion") == name, entry)))).alias(name)
+    return rows.groupBy("slug").agg(side("screen"), side("confirm"))
 
 
 def pass_rate(spark, sf_dir):
@@ -109,23 +120,38 @@ ORACLE_SQL = {
     "layer_verdicts": f"WITH {ISSUES_SQL} SELECT slug, layer, CAST(max(CASE WHEN severity = 'major' THEN 2 ELSE 1 END) AS INTEGER) AS rank FROM issues GROUP BY slug, layer",
     "issue_counts": f"""WITH {ISSUES_SQL} SELECT layer, kind, count(DISTINCT slug) AS n_cases, count(*) AS n_issues, count(*) FILTER (severity = 'major') AS n_major FROM issues GROUP BY layer, kind
         UNION ALL SELECT 'all', kind, count(DISTINCT slug), count(*), count(*) FILTER (severity = 'major') FROM issues GROUP BY kind""",
-    "baseline_changes": f"""WITH {BASELINE_SQL} SELECT slug, CASE WHEN base.slug IS NULL THEN 'added' WHEN {LAYER_CHANGE(">")} THEN 'worse' WHEN {LAYER_CHANGE("<")} THEN 'better' ELSE 'unchanged' END AS change
+    "baseline_changes": f"""WITH {BASELINE_SQL} SELECT slug, CASE WHEN greatest(cases.content, cases.metadata, cases.rendering) IS NULL THEN 'errored' WHEN base.slug IS NULL THEN 'added' WHEN {LAYER_CHANGE(">")} THEN 'worse' WHEN {LAYER_CHANGE("<")} THEN 'better' ELSE 'unchanged' END AS change
         FROM cases LEFT JOIN base USING (slug)""",
     "baseline_update": f"""WITH {BASELINE_SQL} SELECT * FROM cases WHERE slug % 5 <> 0 UNION ALL SELECT * FROM base WHERE slug % 5 = 0""",
     "opinion_agreement": f"""WITH {ISSUES_SQL}, o AS (SELECT slug, max(CASE WHEN severity = 'major' THEN 2 ELSE 1 END) FILTER (opinion = 'screen') AS screen,
              max(CASE WHEN severity = 'major' THEN 2 ELSE 1 END) FILTER (opinion = 'confirm') AS confirm FROM issues GROUP BY slug)
-        SELECT CAST(screen AS INTEGER) AS screen, count(*) FILTER (confirm = 0) AS pass, count(*) FILTER (confirm = 1) AS minor, count(*) FILTER (confirm = 2) AS major FROM o GROUP BY screen""",
+        SELECT CAST(s AS INTEGER) AS screen, count(*) FILTER (confirm = 0) AS pass, count(*) FILTER (confirm = 1) AS minor, count(*) FILTER (confirm = 2) AS major
+        FROM range(3) r(s) LEFT JOIN o ON o.screen = s GROUP BY s""",
     "distinct_issues": f"WITH {ISSUES_SQL} SELECT slug, opinion, count(DISTINCT (layer, kind, ref)) AS n FROM issues GROUP BY slug, opinion",
     "issue_kinds": f"""WITH {ISSUES_SQL}, k AS (SELECT slug, kind, min(ord) AS ord, bool_or(severity = 'major') AS major FROM issues GROUP BY slug, kind)
         SELECT slug, string_agg(kind || CASE WHEN major THEN '!' ELSE '' END, ',' ORDER BY ord, kind) AS kinds FROM k GROUP BY slug""",
-    "cross_confirmed": f"""WITH {ISSUES_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY slug, layer, kind, ref, opinion ORDER BY ord) AS nth FROM issues),
-        p AS (SELECT c.severity AS c, s.severity AS s FROM (SELECT * FROM n WHERE opinion = 'confirm') c FULL JOIN (SELECT * FROM n WHERE opinion = 'screen') s USING (slug, layer, kind, ref, nth))
-        SELECT CASE WHEN c IS NOT NULL AND s IS NOT NULL THEN 'both' WHEN coalesce(c, s) = 'major' THEN 'one_major' ELSE 'one_minor' END AS origin, count(*) AS n FROM p GROUP BY 1""",
+    "cross_confirmed": f"""WITH RECURSIVE {CASES_SQL}, {ISSUES_SQL},
+        i AS (SELECT slug, opinion, row_number() OVER (PARTITION BY slug, opinion ORDER BY ord) AS k, layer, kind, severity, ref AS evidence,
+                     CASE WHEN ord % 3 = 2 THEN [] WHEN ord % 2 = 1 THEN [ref, 'p1'] ELSE [ref] END AS refs FROM issues),
+        c AS (SELECT * FROM i WHERE opinion = 'confirm'), s AS (SELECT * FROM i WHERE opinion = 'screen'),
+        m AS (SELECT c.slug, c.k AS ck, s.k AS sk, CASE WHEN c.kind = s.kind AND c.layer = s.layer THEN 0 WHEN c.kind = s.kind THEN 1 ELSE 2 END AS r FROM c JOIN s ON c.slug = s.slug
+              AND CASE WHEN len(c.refs) > 0 AND len(s.refs) > 0 THEN list_has_any(c.refs, s.refs) ELSE len(c.refs) = len(s.refs) AND c.layer = s.layer AND c.kind = s.kind END),
+        l AS (SELECT slug, ck, list(sk ORDER BY r, sk) AS wanted FROM m GROUP BY slug, ck),
+        g AS (SELECT slug, CAST(0 AS BIGINT) AS ck, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS sk FROM (SELECT DISTINCT slug FROM issues) UNION ALL
+              SELECT g.slug, c.k, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, p FROM g JOIN c ON c.slug = g.slug AND c.k = g.ck + 1
+              LEFT JOIN l ON l.slug = c.slug AND l.ck = c.k, LATERAL (SELECT list_filter(wanted, lambda x: NOT list_contains(taken, x))[1] AS p)),
+        p AS (SELECT slug, ck, sk FROM g WHERE sk IS NOT NULL), f AS (SELECT slug, content > 0 AS fact FROM cases),
+        o AS (SELECT c.slug, 0 AS part, c.k, c.layer, c.kind, c.evidence, CASE WHEN 'major' IN (c.severity, s.severity) THEN 'major' ELSE 'minor' END AS severity, 'both' AS origin
+                FROM p JOIN c ON c.slug = p.slug AND c.k = p.ck JOIN s ON s.slug = p.slug AND s.k = p.sk
+              UNION ALL SELECT x.slug, x.part, x.k, x.layer, x.kind, x.evidence, CASE WHEN severity = 'major' AND coalesce(fact, false) AND kind <> 'noise' THEN 'major' ELSE 'minor' END,
+                     CASE WHEN severity = 'minor' THEN 'one-sided' WHEN coalesce(fact, false) AND kind <> 'noise' THEN 'one-sided-fact' ELSE 'one-sided-downgraded' END
+                FROM (SELECT 1 AS part, * FROM c ANTI JOIN p ON p.slug = c.slug AND p.ck = c.k UNION ALL SELECT 2, * FROM s ANTI JOIN p ON p.slug = s.slug AND p.sk = s.k) x LEFT JOIN f USING (slug))
+        SELECT origin, severity, count(*) AS n FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY slug, layer, kind, evidence ORDER BY part, k) = 1) GROUP BY ALL""",
     "pass_rate": f"WITH {CASES_SQL} SELECT avg(CASE WHEN content = 0 THEN 1.0 ELSE 0.0 END) AS rate, count(*) FILTER (content = 0) >= 0.85 * greatest(count(*), 1) AS passes FROM cases",
     "page_lines": f"WITH {WORDS_SQL} SELECT doc, CAST(page AS INTEGER) AS page, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM lines GROUP BY doc, page",
     "body_sizes": f"""WITH {WORDS_SQL}, s AS (SELECT doc, size, sum(length(text)) AS n FROM lines GROUP BY doc, size)
         SELECT doc, CAST(arg_max(size, (n, size)) AS DOUBLE) AS body_size FROM s GROUP BY doc""",
     "page_furniture": f"""WITH {WORDS_SQL}, p AS (SELECT doc, count(DISTINCT page) AS pages FROM lines GROUP BY doc)
         SELECT doc, CAST(y AS INTEGER) AS y, regexp_replace(lower(text), '\\d+', '#', 'g') AS masked, count(DISTINCT page) AS n FROM lines JOIN p USING (doc)
-        GROUP BY doc, y, masked, pages HAVING n >= least(3, greatest(2, ceil(pages / 2))) AND masked IN ('head', '#')""",
+        GROUP BY doc, y, masked, pages HAVING n >= least(3, greatest(2, ceil(pages / 2)))""",
 }

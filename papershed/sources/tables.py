@@ -25,7 +25,12 @@ def _every(n: int, rest: int, seconds: int):
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with their decision times; ``id`` is 16 hex digits of the hash of source, NUL and external id."""
-    return read(spark, sf_dir, "documents").select(
+    return items_of(read(spark, sf_dir, "documents"))
+
+
+def items_of(documents: DataFrame) -> DataFrame:
+    """The items of documents that may be filtered already, so that one scan is enough."""
+    return documents.select(
         F.substring(F.sha2(F.concat("source", F.char(F.lit(0)), F.col("doc_id").cast("string")), 256), 1, 16).alias("id"),
         "doc_id",
         F.col("source").alias("source_id"),
