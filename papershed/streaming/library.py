@@ -6,12 +6,12 @@ and returns the result as a batch DataFrame, from a sink and checkpoint in the s
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papershed.operators.store import save
+from papershed.sources.folders import new_folder
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its files. The table may be one file or a folder of files."""
@@ -43,18 +43,16 @@ def first_seen(log: DataFrame) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All rows that the stream appends until its input is used up."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="papershed-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def upsert_batches(spark: SparkSession, stream: DataFrame, path: str, merge) -> None:
-    """Merges each micro-batch into a versioned snapshot table; a batch that is run again writes the same version."""
+def upsert_batches(stream: DataFrame, path: str, key: list[str]) -> None:
+    """Saves each micro-batch into the table at ``path`` by its key; only buckets that a batch touches are written. A batch that is run again gives the same rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.parquet(f"{path}/version={number - 1}") if number else None
-        merge(stored, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        save(batch.withColumn("saved_at", F.lit(number)), path, key)
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
