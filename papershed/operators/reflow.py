@@ -37,8 +37,11 @@ def _pages(docs: DataFrame, per_page: int) -> DataFrame:
 
 
 def lines(runs: DataFrame) -> DataFrame:
-    """Runs on one baseline joined from left to right; the size is the one with most characters."""
-    by_size = runs.groupBy("doc", "page", "y", "size").agg(
+    """Runs on one baseline joined from left to right; the size is the one with most characters.
+
+    Runs are dealt by document once; all that follows, here and in the other operators, groups by document and more, so nothing is dealt again.
+    """
+    by_size = runs.repartition("doc").groupBy("doc", "page", "y", "size").agg(
         F.sum(F.char_length("text")).alias("chars"), F.collect_list(F.struct("x", "seq", "text")).alias("parts")
     )
     whole = by_size.groupBy("doc", "page", "y").agg(

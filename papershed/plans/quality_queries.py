@@ -87,7 +87,7 @@ def page_lines(spark, sf_dir):
 
 
 def page_furniture(spark, sf_dir):
-    return R.furniture(_lines(spark, sf_dir)).filter("masked in ('head', '#')")
+    return R.furniture(_lines(spark, sf_dir))
 
 
 def body_sizes(spark, sf_dir):
