@@ -11,6 +11,7 @@ the labelled sample turns it into a score.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,25 +22,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled documents (expected, by a hash of doc_id), entries of the lexicon, exception phrases.
-SAMPLE, ENTRIES, EXCEPTIONS = 20_000, 5_000, 1_000
+#: Bound of the fit: labelled documents (expected, by a hash of doc_id).
+SAMPLE = 20_000
 #: An entry is in at least so many toxic documents of the sample and in at least this share of them, and its log odds
 #: are at least so high.
 LEAST_DOCS, LEAST_PART, LEAST_WEIGHT = 6, 0.01, 2.0
 STEMS = (4, 5, 6, 7)
+#: Different strings that a task counts before it sends the counts on.
+HELD = 100_000
 
 # Letters of other scripts by the Latin letters they look like, and what stands for letters.
 CYRILLIC = dict(zip("авеѕіјкмнортсухԁѵ", "abesijkmhoptcyxdv"))
 GREEK = dict(zip("αβεικνορτυχ", "abeiknoptux"))
 SIGNS = dict(zip("0134578@$", "oieastbas"))
 
-_FOLD = str.maketrans(CYRILLIC | GREEK | SIGNS)
-_OTHER = re.compile(r"[\W_]+")
+_LETTERS, _SIGNS = str.maketrans(CYRILLIC | GREEK), str.maketrans(SIGNS)
+_OTHER, _LETTER = re.compile(r"[\W_]+"), re.compile(r"[^\W\d_]")
+#: A run of letters, digits and signs that has a digit or sign.
+_MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[\d@$][\w@$]*+")
+
+
+def _read_signs(run: re.Match) -> str:
+    return run[0].translate(_SIGNS) if _LETTER.search(run[0]) else run[0]
 
 
 def fold(text: str | None) -> str:
-    """The folded words of a text, with a space before, between and after them."""
-    return f" {_OTHER.sub(' ', (text or '').lower().translate(_FOLD)).strip()} "
+    """The folded words of a text, with a space before, between and after them.
+
+    Digits and signs stand for letters only where letters are next to them: plain numbers stay.
+    """
+    return f" {_OTHER.sub(' ', _MIXED.sub(_read_signs, (text or '').lower().translate(_LETTERS))).strip()} "
 
 
 def _entries(folded: str) -> set[str]:
@@ -92,19 +104,23 @@ class Lexicon:
         return float(1 / (1 + np.exp(-(self.curve[0] + np.dot(self.curve[1:], self.features(text))))))
 
 
-def _pairs(sample: DataFrame, kind: str, found) -> DataFrame:
-    """How many toxic and clean documents of the sample have each string that ``found`` returns."""
+def _counted(sample: DataFrame, kind: str, found) -> DataFrame:
+    """How many documents of the sample have each string that ``found`` returns."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], [kind, "n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for entry in found(text):
-                    counts.setdefault(entry, [0, 0])[toxic] += 1
-            clean, toxic = zip(*counts.values()) if counts else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], [kind, "clean", "toxic"])
+            for text in batch.column("text"):
+                counts.update(found(text.as_py()))
+                if len(counts) >= HELD:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
 
-    return sample.mapInArrow(emit, f"{kind} string, clean long, toxic long").groupBy(kind).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return sample.select("text").mapInArrow(emit, f"{kind} string, n long").groupBy(kind).agg(F.sum("n").alias("n"))
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -126,7 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Lexicon:
     """A lexicon from labelled documents that aren't held out (``held_out`` is a condition on doc_id).
 
     SAMPLE labels in the mean, by a hash of doc_id, are looked up in the documents; their whole
-    texts are counted on the executors, equal texts once. Without labels of either kind the score is low for all.
+    texts are counted on the executors, equal texts with one label once. A doc_id with several labels counts under
+    each of them; labels besides 0 and 1 and labels without a document don't count. What comes to the driver are
+    entries that a hundredth of the sample's toxic documents has, so the sample bounds it. Without labels of
+    either kind the score is low for all. Columns besides doc_id and text are ignored.
     """
     spark = docs.sparkSession
     usable = labels.filter(F.col("toxic").isin(0, 1)).filter(~held_out).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -137,18 +156,22 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Lexicon:
     if len(n) < 2:
         sample.unpersist()
         return Lexicon()
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    counted = _pairs(sample, "entry", lambda text: _entries(fold(text)))
-    strong = counted.filter(F.col("toxic") >= max(LEAST_DOCS, LEAST_PART * n[1])).withColumn("weight", odds).filter(F.col("weight") >= LEAST_WEIGHT)
+    toxic, clean = sample.filter("toxic = 1"), sample.filter("toxic = 0")
+    enough = F.col("n") >= max(LEAST_DOCS, LEAST_PART * n[1])
+    often = {r["entry"]: r["n"] for r in _counted(toxic, "entry", lambda text: _entries(fold(text))).filter(enough).collect()}
+    known = spark.sparkContext.broadcast(frozenset(often))
+    harmed = {r["entry"]: r["n"] for r in _counted(clean, "entry", lambda text: _entries(fold(text)) & known.value).collect()}
+    strong = {e: float(np.log((k + 0.5) / (n[1] + 1)) - np.log((harmed.get(e, 0) + 0.5) / (n[0] + 1))) for e, k in often.items()}
     lexicon = Lexicon()
-    for row in sorted(strong.orderBy(F.desc("toxic"), "entry").limit(ENTRIES).collect(), key=lambda r: (len(r["entry"]), r["entry"])):
-        entry, weight = row["entry"], row["weight"]
-        if all(lexicon.entries.get(entry[: n + 1], 0.0) < weight - 0.7 for n in STEMS if n + 1 < len(entry)):
+    for entry, weight in sorted(strong.items(), key=lambda e: (len(e[0]), e[0])):
+        if weight >= LEAST_WEIGHT and all(lexicon.entries.get(entry[: n + 1], 0.0) < weight - 0.7 for n in STEMS if n + 1 < len(entry)):
             lexicon.entries[entry] = weight
     shared = spark.sparkContext.broadcast(Lexicon(dict(lexicon.entries)))
-    phrases = _pairs(sample, "phrase", lambda text: {p for b, a, _ in shared.value.matches(fold(text)) for p in (b, a)})
-    harmless = phrases.filter((F.col("clean") >= 5) & (F.col("clean") * n[1] > 4 * (F.col("toxic") + 1) * n[0]))
-    lexicon.exceptions = {r["phrase"] for r in harmless.orderBy(F.desc("clean"), "phrase").limit(EXCEPTIONS).collect()}
+    pairs = lambda text: {p for before, after, _ in shared.value.matches(fold(text)) for p in (before, after)}
+    phrases = _counted(clean, "phrase", pairs).filter("n >= 5").withColumnRenamed("n", "clean")
+    phrases = phrases.join(_counted(toxic, "phrase", pairs).withColumnRenamed("n", "toxic"), "phrase", "left").na.fill(0, ["toxic"])
+    harmless = phrases.filter(F.col("clean") * n[1] > 4 * (F.col("toxic") + 1) * n[0])
+    lexicon.exceptions = {r["phrase"] for r in harmless.collect()}
     shared = spark.sparkContext.broadcast(Lexicon(dict(lexicon.entries), lexicon.exceptions))
 
     @F.pandas_udf("array<double>")
@@ -162,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Lexicon:
 
 
 def toxicity(lexicon: Lexicon, text: Column) -> Column:
-    """The score of a text column, 0 to 1; a null or empty text has the score of a text without any entry."""
+    """The score of a text column, 0 to 1; a null or empty text has the score of a text without any entry. Equal texts score the same."""
     shared = SparkSession.active().sparkContext.broadcast(Lexicon(lexicon.entries, lexicon.exceptions, lexicon.curve))
 
     @F.pandas_udf("double")
