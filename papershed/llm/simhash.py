@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from papershed.llm.common import stored
 from papershed.llm.components import connected_components
-from papershed.llm.similar import one_row_each, with_row_key
+from papershed.llm.similar import near_copies, one_row_each, with_row_key
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 3, 2
 #: Bounds of the fit: fingerprints that the first trees are fitted on (expected, by a hash), homes that a leaf should have, sampled
@@ -252,12 +252,16 @@ def _members(own: DataFrame, radius: int, bands: int) -> DataFrame:
     return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """The documents with the smallest doc_id of each component, all columns as they were.
 
-    Each component keeps one row, also where its doc_ids are null or are those of other components too.
+    Each component keeps one row, also where its doc_ids are null or are those of other components too. With a ``similarity`` (a
+    Jaccard similarity of shingles) links are those of ``similar.near_copies``, since no radius that trees can
+    search holds all pairs of 0.8; without one they are fingerprints within ``radius`` bits.
     """
+    if similarity is not None:
+        return one_row_each(docs, near_copies(docs, shingle, similarity))
     rows = with_row_key(docs)
-    own = stored(fingerprints(rows, keep=["row_key"]))
+    own = stored(fingerprints(rows, shingle, keep=["row_key"]))
     roots = _members(own, radius, bands).select("fp", "root")
     return one_row_each(docs, own.join(roots, "fp").select("doc_id", "row_key", "root"))
