@@ -6,7 +6,7 @@ Words are runs of digits, a-z and anything beyond ASCII, after lower-casing A-Z.
 The documents are scanned once: each row turns its text into words, hashes every run of words
 as long as a window and keeps the runs whose hash is in the set of window hashes. That set goes
 to the executors as a literal set inside the plan, after its size has been checked; beyond
-``LITERAL_LIMIT`` windows the hashed runs meet the windows in a shuffled join instead. Hits are
+``LITERAL_LIMIT`` windows the hashed runs meet a broadcast table of hashes where they lie, beyond ``BROADCAST_LIMIT`` in a shuffled join. Hits are
 few; they are verified word by word against the windows.
 """
 
@@ -20,6 +20,8 @@ from papershed.llm.common import ascii_lower, stored
 WIDTH = 10
 #: Most window hashes that travel inside the plan: 8 bytes each in the plan, some 50 in memory.
 LITERAL_LIMIT = 200_000
+#: Most window hashes that are broadcast to the exploded runs, some 200 MB; beyond that both sides are shuffled.
+BROADCAST_LIMIT = 4_000_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -80,7 +82,8 @@ def scan(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
         return listed.select(*keep, "w", n_words, hits.alias("runs")).select(*keep, "n_words", _with_text(F.col("runs")).alias("hits"))
     rows = stored(listed.select(*keep, n_words, "w", F.monotonically_increasing_id().alias("row")))
     runs = rows.select("row", F.explode(F.concat(*[_runs(width) for width in sorted(by_width)])).alias("r"))
-    met = runs.join(windows.select("hash", "width").distinct(), (F.col("r.hash") == F.col("hash")) & (F.col("r.width") == F.col("width")), "left_semi")
+    known = windows.select("hash", "width").distinct()
+    met = runs.join(F.broadcast(known) if sum(by_width.values()) <= BROADCAST_LIMIT else known, (F.col("r.hash") == F.col("hash")) & (F.col("r.width") == F.col("width")), "left_semi")
     gathered = met.groupBy("row").agg(F.collect_list("r").alias("runs"))
     none = F.array().cast(gathered.schema["runs"].dataType)
     return rows.join(gathered, "row", "left").withColumn("runs", F.coalesce("runs", none)).select(*keep, "n_words", _with_text(F.col("runs")).alias("hits"))

@@ -41,9 +41,10 @@ def plain(rows, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [D.LITERAL_LIMIT, 0])
-def test_against_brute_force(spark, documents, monkeypatch, limit):
-    monkeypatch.setattr(D, "LITERAL_LIMIT", limit)
+@pytest.mark.parametrize("limits", [(D.LITERAL_LIMIT, D.BROADCAST_LIMIT), (0, D.BROADCAST_LIMIT), (0, 0)])
+def test_against_brute_force(spark, documents, monkeypatch, limits):
+    monkeypatch.setattr(D, "LITERAL_LIMIT", limits[0])
+    monkeypatch.setattr(D, "BROADCAST_LIMIT", limits[1])
     items = spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id long, text string, hash int")
     rows = [*ODD, *TEXTS]
     found = D.decontaminate(documents(rows), items).collect()
