@@ -74,8 +74,8 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 by the law ``bytes``: slots dealt so that bytes come out near equal.
 
-    A null text counts as empty, rows of one doc_id share a virtual slot, and an empty table
-    gives no rows.
+    A null text counts as empty, rows of one doc_id (or of none) share a virtual slot, repeated rows keep a row each,
+    columns besides doc_id and text are ignored, and an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents")
     text = text_or_empty()

@@ -46,3 +46,20 @@ def test_growing_moves_slots_into_the_new_shard_alone(spark, tmp_path):
     size = {r["virtual_slot"]: r["bytes"] for r in slots.collect()}
     loads = [sum(size[s] for s in new if new[s] == k) for k in range(9)]
     assert max(loads) - min(loads) < 0.1 * max(loads)
+
+
+def test_against_brute_force(spark, sf_dir):
+    """Slots dealt largest first to the least loaded shard, and places counted, in plain Python."""
+    found = op7_sharding(spark, sf_dir).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert all((r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 16, zlib.crc32(texts[r["doc_id"]])) for r in found) and len(found) == len(texts)
+    sums, loads, shard = {}, [0] * 40, {}
+    for r in found:
+        sums[r["virtual_slot"]] = sums.get(r["virtual_slot"], 0) + r["size"]
+    for slot in sorted(sums, key=lambda s: (-sums[s], s)):
+        shard[slot] = loads.index(min(loads))
+        loads[shard[slot]] += sums[slot]
+    taken = [0] * 40
+    for r in sorted(found, key=lambda r: (r["virtual_slot"], r["doc_id"], r["size"], r["text_crc32"])):
+        assert (r["shard"], r["slot"]) == (shard[r["virtual_slot"]], taken[r["shard"]])
+        taken[r["shard"]] += 1
