@@ -26,13 +26,22 @@ def inbox(items: DataFrame, limit: int = INBOX_LIMIT) -> DataFrame:
 
 
 def queue(items: DataFrame) -> DataFrame:
-    """Queued items with their section and their order in it.
+    """Queued items with their section and their order in it."""
+    queued = items.filter(state() == "queued").withColumn("section", F.when(F.col("opened_s").isNotNull(), "continuing").otherwise("up_next"))
+    return ranked(queued, ["source_id", "section"], ["queue_position"], "id", "nth")
+
 
-    Order numbers come from one window per section and source, so a source's queue is one group.
+def ranked(rows: DataFrame, by: list[str], coarse: list[str], fine: str, name: str) -> DataFrame:
+    """Rows with their place (from 1) in their group by the coarse columns, then the fine one.
+
+    Rows are numbered within equal coarse columns only; the counts of those before are added. So no task sorts a whole group.
     """
-    queued = items.filter(state() == "queued").withColumn("section", F.when(F.col("opened_s").isNotNull(), "continuing").otherwise("up_next"))
-    order = Window.partitionBy("source_id", "section").orderBy("queue_position", "id")
-    return queued.withColumn("nth", F.row_number().over(order))
+    before = Window.partitionBy(*by).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*by, *coarse).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(*by, *coarse).orderBy(fine))
+    left = rows.withColumn("_nth", nth).alias("l")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, *coarse)]
+    return left.join(bases.alias("r"), same).select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("_nth") + F.col("_base")).cast("int").alias(name))
 
 
 def source_health(sources: DataFrame, items: DataFrame, now_s: int) -> DataFrame:
@@ -85,5 +94,5 @@ def upsert(stored: DataFrame, batch: DataFrame, key: list[str], refreshed: list[
 def moved(items: DataFrame, chosen: Column, before_position: int) -> DataFrame:
     """Queue positions after the chosen items were put before a position, their order kept, per source."""
     group = F.when(chosen, 1).when(F.col("queue_position") < before_position, 0).otherwise(2)
-    order = Window.partitionBy("source_id").orderBy(group, "queue_position", "id")
-    return items.withColumn("new_position", F.row_number().over(order) - 1)
+    placed = ranked(items.withColumn("_group", group), ["source_id"], ["_group", "queue_position"], "id", "new_position")
+    return placed.withColumn("new_position", F.col("new_position") - 1).drop("_group")
