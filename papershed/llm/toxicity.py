@@ -36,14 +36,12 @@ CYRILLIC = dict(zip("авеѕіјкмнортсухԁѵ", "abesijkmhoptcyxdv"))
 GREEK = dict(zip("αβεικνορτυχ", "abeiknoptux"))
 SIGNS = dict(zip("0134578@$", "oieastbas"))
 
-_LETTERS, _SIGNS = str.maketrans(CYRILLIC | GREEK), str.maketrans(SIGNS)
-_OTHER, _LETTER = re.compile(r"[\W_]+"), re.compile(r"[^\W\d_]")
-#: A run of letters, digits and signs that has a digit or sign.
-_MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[\d@$][\w@$]*+")
-
-
-def _read_signs(run: re.Match) -> str:
-    return run[0].translate(_SIGNS) if _LETTER.search(run[0]) else run[0]
+_FOLD = CYRILLIC | GREEK | SIGNS
+#: What is folded: few characters of most texts, so looking for them is cheaper than a table for all characters.
+_FOLDED = re.compile(f"[{re.escape(''.join(_FOLD))}]")
+_OTHER = re.compile(r"[\W_]+")
+#: A run of digits and signs without letters.
+_NUMBER = re.compile(r"[\d@$_](?<![\w@$][\d@$_])[\d@$_]*+(?![\w@$])")
 
 
 def fold(text: str | None) -> str:
@@ -51,7 +49,12 @@ def fold(text: str | None) -> str:
 
     Digits and signs stand for letters only where letters are next to them: plain numbers stay.
     """
-    return f" {_OTHER.sub(' ', _MIXED.sub(_read_signs, (text or '').lower().translate(_LETTERS))).strip()} "
+    lower = (text or "").lower()
+    folded, parts, at = _FOLDED.sub(lambda m: _FOLD[m[0]], lower), [], 0
+    for number in _NUMBER.finditer(lower):
+        parts += (folded[at : number.start()], number[0])
+        at = number.end()
+    return f" {_OTHER.sub(' ', ''.join(parts) + folded[at:]).strip()} "
 
 
 def _entries(folded: str) -> set[str]:
