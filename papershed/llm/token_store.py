@@ -36,6 +36,8 @@ from papershed.llm.tokens import encoder, slices, specification
 MASK, LEAST, MOST = np.uint32(511), 64, 4096
 #: Keys of chunks that a task remembers having sent on, some 10 MB.
 SEEN_KEYS = 100_000
+#: Words whose ids a worker remembers while a store is written: little else is in its memory then.
+WORDS_KEPT = 900_000
 #: Ids that the hash looks back on; no more than the shortest chunk, so that it never sees another document's ids.
 WINDOW = 16
 
@@ -90,7 +92,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     spec = spark.sparkContext.broadcast(specification(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(spec.value, "leading")
+        enc = encoder(spec.value, "leading", WORDS_KEPT)
         size = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         end = np.array([end_id], dtype="<u4").tobytes()
         kind, gear, serial = np.dtype(_kind(size)), _gear(size), 0
@@ -274,7 +276,7 @@ def read_documents(spark: SparkSession, path: str, vocabulary: int, doc_ids: lis
 
 
 def _zeros_operators(powers: int) -> list[np.ndarray]:
-    """For each k, what appending 2**k zero bytes does to each bit of a CRC-32 register."""
+    """For each k, what appending 2**k zero bytes does to a CRC-32 register: a table for each of its four bytes."""
     def apply(op: np.ndarray, x: np.ndarray) -> np.ndarray:
         out = np.zeros_like(x)
         for bit in range(32):
@@ -285,7 +287,13 @@ def _zeros_operators(powers: int) -> list[np.ndarray]:
     found = [one]
     for _ in range(powers - 1):
         found.append(apply(found[-1], found[-1]))
-    return found
+    values, tables = np.arange(256), []
+    for op in found:
+        table = np.zeros((4, 256), dtype=np.uint32)
+        for bit in range(32):
+            table[bit // 8][values >> bit % 8 & 1 == 1] ^= op[bit]
+        tables.append(table)
+    return tables
 
 
 def combine_crcs(crc: np.ndarray, more: np.ndarray, n_bytes: np.ndarray, operators: list[np.ndarray]) -> np.ndarray:
@@ -295,10 +303,7 @@ def combine_crcs(crc: np.ndarray, more: np.ndarray, n_bytes: np.ndarray, operato
         on = (n_bytes >> k) & 1 == 1
         if on.any():
             x = out[on]
-            moved = np.zeros_like(x)
-            for bit in range(32):
-                moved ^= np.where((x >> np.uint32(bit)) & np.uint32(1), op[bit], np.uint32(0))
-            out[on] = moved
+            out[on] = op[0][x & 255] ^ op[1][x >> 8 & 255] ^ op[2][x >> 16 & 255] ^ op[3][x >> 24]
     return out ^ more.astype(np.uint32)
 
 
@@ -313,13 +318,14 @@ def read_digests(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n, crc = batch.column("key").to_pylist(), [], []
-            for key, body in zip(keys, batch.column("body").to_pylist()):
+            keys, bodies, crc = batch.column("key").to_pylist(), batch.column("body").to_pylist(), []
+            size = np.dtype(kind).itemsize
+            ends = np.cumsum([0, *map(len, bodies)]) // size * 4
+            wide, n = memoryview(np.frombuffer(b"".join(bodies), dtype=kind).astype("<u4").tobytes()), [len(b) // size for b in bodies]
+            for key, body, start, end in zip(keys, bodies, ends.tolist(), ends[1:].tolist()):
                 if hashlib.sha256(body).digest() != key:
                     raise ValueError(f"chunk {key.hex()} differs from its key")
-                wide = np.frombuffer(body, dtype=kind).astype("<u4").tobytes()
-                n.append(len(wide) // 4)
-                crc.append(zlib.crc32(wide))
+                crc.append(zlib.crc32(wide[start:end]))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["key", "n", "crc"])
 
     chunks = _chunks(spark, path).mapInArrow(digest, "key binary, n int, crc long")

@@ -9,8 +9,8 @@ from pathlib import Path
 
 import numpy as np
 
-#: Words whose ids a worker remembers; once it is full, new words are forgotten after their batch.
-WORDS_KEPT = 700_000
+#: Words whose ids a worker remembers, some 200 bytes each; once it is full, new words are forgotten after their batch.
+WORDS_KEPT = 400_000
 #: Characters of text whose words are in memory at once, but for a single longer text.
 BATCH_CHARS = 3_000_000
 
@@ -40,12 +40,13 @@ class Encoder:
     of Latin letters, with or without signs after it, goes straight to the tokenizer's model.
     """
 
-    def __init__(self, spec: str, spaces: str):
+    def __init__(self, spec: str, spaces: str, words_kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
+        self.words_kept = words_kept or WORDS_KEPT
+        self.tokenize = self.tokenizer.model.tokenize
         self.lead = " " if spaces == "leading" else ""
         self.lowers = '"Lowercase"' in spec
         self.marks: dict[str, bytes] = {}
@@ -62,8 +63,9 @@ class Encoder:
         """Ids of a run of Latin letters, which is one word for the model."""
         if self.lowers:
             letters = letters.lower()
-        word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(BYTE_SPACE + word if lead else word)]).tobytes()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenize(BYTE_SPACE + letters if lead else letters)]).tobytes()
 
     def _mark_ids(self, mark: str) -> bytes:
         if mark not in self.marks:
@@ -91,8 +93,19 @@ class Encoder:
     def _learn(self, known: dict, lead: str, words: set[str]) -> list[str]:
         """Makes all the words known; returns those to forget after the batch."""
         hard, new, made = [], words.difference(known), []
-        room = WORDS_KEPT - len(known)
+        room = self.words_kept - len(known)
+        matched, get, word_ids, marks = _LETTERS_AND_SIGNS.fullmatch, known.get, self._word_ids, self.marks
         for w in new:
+            if found := matched(w):  # the common case of _plain, without its calls
+                letters, signs = found.groups()
+                ids = get(letters)
+                if ids is None:
+                    ids = known[letters] = word_ids(lead, letters)
+                    if signs:
+                        made.append(letters)
+                if signs:
+                    known[w] = ids + (marks.get(signs) or self._mark_ids(signs))
+                continue
             ids = self._plain(known, lead, w, made)
             if ids is not None:
                 known[w] = ids
@@ -124,7 +137,7 @@ class Encoder:
                 out.append(b"".join([self.firsts[first], *map(self.words.__getitem__, rest)]))
             except TypeError:  # a part that must not be encoded alone
                 out.append(self._ids([text])[0])
-        if len(self.firsts) > WORDS_KEPT // 4:
+        if len(self.firsts) > self.words_kept // 4:
             once.append((self.firsts, self.others))
             self.others = []
         for known, words in once:
@@ -139,9 +152,9 @@ def slices(batch, rows: int = 500):
         yield batch.slice(at, rows)
 
 
-def encoder(spec: str, spaces: str) -> Encoder:
+def encoder(spec: str, spaces: str, words_kept: int | None = None) -> Encoder:
     """One encoder for each specification and worker process."""
     key = (len(spec), hash(spec), spaces)
     if key not in _MADE:
-        _MADE[key] = Encoder(spec, spaces)
+        _MADE[key] = Encoder(spec, spaces, words_kept)
     return _MADE[key]
