@@ -108,7 +108,7 @@ QUERIES = {f.__name__: f for f in (
 DIGIT = "CAST(page_id % 9 + 1 AS VARCHAR)"
 ORACLE_SQL = {
     "page_content_stats": r"""WITH n AS (SELECT page_id, len(regexp_extract_all(html, '<a href')) AS a, len(regexp_extract_all(html, '<ul>')) AS l,
-          length(trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) AS body,
+          length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS body,
           length('Part 1 of itMath \(x_\) and $$y$$ open \( 1 again lost Part 1 of it #ABcode12Loading... Note  backRelated postsX') + length(CAST(page_id AS VARCHAR)) * 2 AS more,
           1 + len(regexp_extract_all(regexp_replace(regexp_extract(replace(html, '</article>', ' $$y$$ </article>'), '(?s)<body>(.*)', 1), '<[^>]*>', '', 'g'), '(?s)\$\$.*?\$\$')) AS m,
           1 + len(regexp_extract_all(regexp_replace(regexp_extract(replace(html, '</article>', ' $$y$$ </article>'), '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'), '(?s)\$\$.*?\$\$')) AS am FROM pages)
