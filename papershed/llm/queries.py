@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papershed.llm import chat_format, decontaminate, html_extract, langid, packing, sharding, simhash, sketch, token_store, toxicity
+from papershed.llm import (
+    chat_format, conversation_repair, decontaminate, html_extract, langid, line_dedup, packing, resample, sharding, simhash, sketch,
+    token_store, toxicity,
+)
 from papershed.llm.common import shared_dir, stored, table, text_or_empty, unsigned_crc32
+from papershed.llm.resampling_sql import LINES_SQL, REPAIR_SQL, RESAMPLING_SQL
 
 N_SHARDS = 40
 PACKING_END_ID, STORE_END_ID = 1, 2
@@ -119,6 +123,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(probe)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after planted damage and its repair."""
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of all documents, a quarter drawn towards the benchmark's distribution."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten of them share."""
+    kept = line_dedup.without_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -130,6 +150,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_html_text": op9_html_text,
     "op10_chat_format": op10_chat_format,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -172,4 +195,7 @@ ORACLE_SQL = {
                CAST(sum(length(etext) + CASE WHEN prev IS NULL THEN 16 + length(erole)
                         WHEN prev = role THEN 8 ELSE 23 + length(erole) END) + 7 AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_conversation_repair": REPAIR_SQL,
+    "op12_importance_resampling": RESAMPLING_SQL,
+    "op13_line_dedup": LINES_SQL,
 }
