@@ -85,7 +85,7 @@ REPAIR_SQL = f"""
         turns (reached, initial, role_name, target) AS (VALUES
           ('e', 's', NULL, 's'), ('e', 'u', 'user', 'u'), ('s', 'u', 'user', 'u'), ('u', 'a', 'assistant', 'a'), ('a', 'u', 'user', 'u')),
         moves AS (
-          SELECT state, i_cost + 3 AS cost, i_letters || 'D' AS letters, i_out AS before, 'D' AS edit, NULL AS needs, NULL AS new_role, reached AS target FROM inserts
+          SELECT state, i_cost + 3 AS cost, i_letters || 'D' AS letters, i_out AS before, 'D' AS edit, CAST(NULL AS VARCHAR) AS needs, CAST(NULL AS VARCHAR) AS new_role, reached AS target FROM inserts
           UNION ALL SELECT state, i_cost, i_letters || 'K', i_out, 'K', initial, NULL, target FROM inserts JOIN turns USING (reached)
           UNION ALL SELECT state, i_cost + 2, i_letters || 'R', i_out, 'R', NULL, role_name, target FROM inserts JOIN turns USING (reached) WHERE role_name IS NOT NULL),
         v AS (
