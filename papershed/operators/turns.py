@@ -1,8 +1,8 @@
-"""Sessions, turns and quotes."""
+"""Sessions and turns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TITLE_CHARS = 60
@@ -32,26 +32,3 @@ def answered(calls: DataFrame, by: str, key: str, order: str, twice: int = 2) ->
     """Calls with whether they are answered: an identical call of a group is answered twice at most."""
     nth = F.row_number().over(Window.partitionBy(by, key).orderBy(order))
     return calls.withColumn("answered", nth <= twice)
-
-
-def squashed(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+", "")
-
-
-def anchors(quotes: DataFrame, texts: DataFrame, grams: int = 12) -> DataFrame:
-    """Where quotes occur in texts once white space is left out: ``quote_id, text_id, position, n``.
-
-    Texts are cut into blocks of ``grams`` characters, quotes into all their runs of that length. A
-    quote of twice the length or more covers a whole block wherever it stands, so an equi-join
-    finds every candidate and no quote is tried against every text; candidates are verified.
-    Shorter quotes need context and are left out.
-    """
-    q = quotes.select("quote_id", squashed(F.col("text")).alias("quote")).filter(F.char_length("quote") >= 2 * grams)
-    starts = F.sequence(F.lit(1), F.char_length("quote") - grams + 1)
-    runs = q.select("quote_id", F.explode(F.transform(starts, lambda k: F.substr("quote", k, F.lit(grams)))).alias("run")).distinct()
-    t = texts.select("text_id", squashed(F.col("text")).alias("plain"))
-    blocks = t.select("text_id", F.explode(F.regexp_extract_all("plain", F.lit(f"(?s).{{{grams}}}"), F.lit(0))).alias("run"))
-    candidates = blocks.join(runs, "run").select("text_id", "quote_id").distinct()
-    met = candidates.join(q, "quote_id").join(t, "text_id").filter(F.contains("plain", "quote"))
-    n = (F.char_length("plain") - F.char_length(F.replace("plain", "quote", F.lit("")))) / F.char_length("quote")
-    return met.select("quote_id", "text_id", (F.position("quote", "plain") - 1).alias("position"), n.cast("long").alias("n"))

@@ -113,11 +113,6 @@ def answered_calls(spark, sf_dir):
     return T.answered(calls, "user_id", "event_type", "ord").groupBy("user_id", "event_type").agg(F.count_if("answered").alias("n_answered"), F.count("*").alias("n_calls"))
 
 
-def quote_anchors(spark, sf_dir):
-    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    return T.anchors(quotes, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
-
-
 def gists(spark, sf_dir):
     text = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", X.gist(text).alias("gist"), X.reading_minutes(text).alias("minutes"))
@@ -156,7 +151,7 @@ def storage_usage(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tag_counts, tagged_items, library_search, library_titles, effective_metadata, canonical_urls, identity_lookup, missing_relations, freed_images,
-    override_merge, artifact_versions, session_list, folded_turns, answered_calls, quote_anchors, gists, comparison_keys, text_windows, overlapping_spans, storage_usage,
+    override_merge, artifact_versions, session_list, folded_turns, answered_calls, gists, comparison_keys, text_windows, overlapping_spans, storage_usage,
 )}
 
 TAGS_SQL = f"""{ITEMS_SQL},
@@ -212,10 +207,6 @@ ORACLE_SQL = {
         r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c)
         SELECT conv_id, CAST(run AS BIGINT) AS run, long, min(turn) AS first, count(*) AS n FROM r GROUP BY conv_id, run, long""",
     "answered_calls": "SELECT user_id, event_type, least(count(*), 2) AS n_answered, count(*) AS n_calls FROM events GROUP BY user_id, event_type",
-    "quote_anchors": """WITH q AS (SELECT item_id AS quote_id, regexp_replace(text, '\\s+', '', 'g') AS q FROM benchmark),
-        t AS (SELECT doc_id AS text_id, regexp_replace(text, '\\s+', '', 'g') AS p FROM documents)
-        SELECT quote_id, text_id, CAST(strpos(p, q) - 1 AS INTEGER) AS position, CAST((length(p) - length(replace(p, q, ''))) // length(q) AS BIGINT) AS n
-        FROM q JOIN t ON contains(p, q) WHERE length(q) >= 24""",
     "comparison_keys": "SELECT doc_id, sha256(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')) AS key FROM documents",
     "text_windows": """WITH w AS (SELECT doc_id, text, length(text) AS total, unnest(range(0, greatest(length(text), 1), 24000)) AS start FROM documents)
         SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(length(substr(text, start + 1, 24000)) AS INTEGER) AS n_chars, md5(substr(text, start + 1, 24000)) AS md5,

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from papershed.functions import text
 from papershed.operators import inbox, library, reflow, turns
+from papershed.operators.quotes import anchors
 from papershed.streaming import library as streams
 
 
@@ -45,9 +46,9 @@ def test_upsert_keeps_decisions(spark):
 
 
 def test_anchors_ignore_white_space(spark):
-    quotes = spark.createDataFrame([(1, "quick brown fox jumps over it"), (2, "short")], "quote_id int, text string")
+    quotes = spark.createDataFrame([(1, "quick brown fox jumps over it"), (2, "shorts")], "quote_id int, text string")
     texts = spark.createDataFrame([(1, "A quick\nbrown  fox jumps over it. quick brownfox jumps over it"), (2, "none")], "text_id int, text string")
-    assert [tuple(r) for r in turns.anchors(quotes, texts).collect()] == [(1, 1, 1, 2)]
+    assert [tuple(r) for r in anchors(quotes, texts).collect()] == [(1, 1, 1, 2)]
 
 
 def test_folds_runs(spark):
