@@ -16,8 +16,6 @@ KEPT_SHARE, MATH_SPAN = 0.6, 16 * 1024
 FIRST_LEAST, FIRST_SHARE, SECOND_LEAST = 600, 0.5, 80
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 CHROME = ("nav", "footer", "aside", "form", "header", "menu", "dialog")
-TRAILING = r"(?i)^(?:related(?: posts| articles)?|read (?:more|next)|more from .*|comments?|discussion|share(?: this)?|subscribe|newsletter|about the author|leave a (?:reply|comment)|recommended.*)\W*$"
-TRAILING_FROM = 0.6
 MAX_IMAGES, MAX_EMBEDS, CONTEXT_CHARS = 80, 40, 160
 LAZY = ("data-src", "data-original", "data-lazy-src")
 
@@ -88,52 +86,6 @@ def article_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.join(article_roots(nodes), "page_id").filter((F.col("node") > F.col("root")) & (F.col("node") <= F.col("root_last"))).drop("root", "root_last", "rule")
 
 
-def pruned(nodes: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes without chrome, ``page_id, rule, n``): what goes, and by which rule.
-
-    Chrome elements go first. Of the rest go permalinks in headings; lists of links to the page itself; the first of three leading
-    headings that says the title (``page_id, title``); loading placeholders; and what follows a trailing heading ("Related posts") in the
-    last two fifths of the text, up to the next heading. The rules mark nodes of one table, so they don't depend on each other.
-    """
-    tag = F.col("tag")
-    is_chrome = tag.isin(*CHROME, *UNSEEN, "head")
-    base = without(nodes, is_chrome)
-    order = Window.partitionBy("page_id").orderBy("node")
-    headings = texts(owned(base, tag.isin(*HEADINGS)), ["page_id", "owner"])
-
-    in_heading = inside(base, tag.isin(*HEADINGS), "in_heading").filter("in_heading")
-    permalinks = texts(owned(in_heading, tag == "a"), ["page_id", "owner"]).filter(F.col("content").rlike(r"^[#¶§\s]*$")).select("page_id", F.col("owner").alias("node"))
-
-    lists = owned(base, tag.isin("ul", "ol")).groupBy("page_id", "owner").agg(
-        F.count_if(tag == "a").alias("links"), F.count_if((tag == "a") & F.coalesce(attr("href").startswith("#"), F.lit(False))).alias("own"), F.count_if(tag == "li").alias("items")
-    )
-    navigation = lists.filter("links > 0 and links = own and links >= items").select("page_id", F.col("owner").alias("node"))
-
-    same = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    leading = headings.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("owner"))).filter("nth <= 3")
-    repeated = leading.join(titles, "page_id").filter(same(F.col("content")) == same(F.col("title"))).groupBy("page_id").agg(F.min("owner").alias("node"))
-
-    loading = texts(base, ["page_id", "flow"]).filter(F.col("content").rlike(r"(?i)^(?:loading|please wait|加载中|正在加载)[.…]*$")).select("page_id", "flow")
-    placeholders = base.filter("tag = '#text'").join(loading, ["page_id", "flow"], "left_semi").select("page_id", "node")
-
-    size = F.when(tag == "#text", F.char_length(F.regexp_replace("text", r"\s+", " "))).otherwise(0)
-    placed = base.withColumn("before", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum(size).over(Window.partitionBy("page_id")))
-    said = placed.join(headings.withColumnRenamed("owner", "node"), ["page_id", "node"], "left")
-    trails = F.when(tag.isin(*HEADINGS), F.coalesce(F.col("content").rlike(TRAILING), F.lit(False)) & (F.col("before") >= TRAILING_FROM * F.col("all")))
-    tail = said.withColumn("tail", F.last(trails, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    trailing = tail.filter("tail").select("page_id", "node")
-
-    rules = {"permalink": permalinks, "navigation_list": navigation, "duplicate_title": repeated, "placeholder": placeholders, "trailing_chrome": trailing}
-    marks = None
-    for rule, found in rules.items():
-        named = found.select("page_id", "node", F.lit(rule).alias("rule"))
-        marks = named if marks is None else marks.unionByName(named)
-    one = marks.groupBy("page_id", "node").agg(F.min("rule").alias("rule"))
-    left = without(base.join(one, ["page_id", "node"], "left"), F.col("rule").isNotNull()).drop("rule")
-    report = marks.groupBy("page_id", "rule").agg(F.count("*").alias("n")).unionByName(nodes.filter(is_chrome).groupBy("page_id").agg(F.lit("chrome").alias("rule"), F.count("*").alias("n")))
-    return left, report
-
-
 def outline(nodes: DataFrame) -> DataFrame:
     """``page_id, nth, level, content, anchor``: headings 2 to 4 in order; anchors are slugs of the text, repeats numbered."""
     tag = F.col("tag")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape
+
 from pyspark.sql import functions as F
 
 from papershed.operators import content as C
+from papershed.operators import pruning, rewrites
 from papershed.sources import pages as P
 from papershed.sources.tables import read
 
@@ -29,7 +32,7 @@ def rich_pages(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
-    return P.page_nodes(rich_pages(spark, sf_dir))
+    return P.kept_nodes(P.page_nodes(rich_pages(spark, sf_dir)))
 
 
 def page_content_stats(spark, sf_dir):
@@ -50,13 +53,48 @@ def article_choices(spark, sf_dir):
     return rows.groupBy("rule", C.chosen_candidate(F.col("first"), F.col("second"), F.col("units")).alias("chosen")).agg(F.count("*").alias("n"))
 
 
+#: What stands at the beginning and the end of a page's article by its id, for the passes to take out or rewrite.
+PRUNED = (
+    ("", ""),
+    ('<h2>Contents</h2><ul><li><a href="#a">A</a></li><li><a href="#b">B</a></li></ul>', ""),
+    ("", '<h2>Related posts</h2><ul><li><a href="/x">X</a></li></ul>'),
+    ("<p>3 May 2024 — 4 min read</p>", '<p><a href="/plus">Plus</a></p>'),
+    ("<font>", '</font><ol><li id="fn1"><p><a href="#fnref1">↩</a></p></li></ol>'),
+)
+REWRITTEN = (
+    ("",),
+    ('<table><tr><td><span class="material-icons" aria-hidden="true">check</span></td></tr></table>',),
+    ('<div class="callout warn"><span class="sr-only">Warning</span>Mind the gap.</div>',),
+    ('<d-figure id="f"></d-figure><a href="#h"><h2>H</h2></a>',),
+)
+
+
+def _planted(variants: tuple[tuple[str, ...], ...], k: int):
+    """The k-th part of the variant that a page's id chooses."""
+    return F.get(F.array(*[F.lit(v[k]) for v in variants]), (F.col("page_id") % len(variants)).cast("int"))
+
+
+def _rules(nodes, prefix: str):
+    """Each page's rules and a digest of its text without the head."""
+    rules = nodes.filter("rules is not null").select("page_id", F.replace(F.array_join("rules", ","), F.lit(prefix), F.lit("")).alias("rules"))
+    return rules.join(P.texts(P.without(nodes, F.col("tag") == "head"), ["page_id"]), "page_id", "left").select("page_id", F.replace("rules", F.lit("@1"), F.lit("")).alias("rules"), F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"))
+
+
 def pruned_pages(spark, sf_dir):
-    """By which rules chrome goes from the pages, and the text that stays."""
-    pages = rich_pages(spark, sf_dir)
-    titles = pages.select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
-    left, report = C.pruned(P.page_nodes(pages), titles)
-    rules = report.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "rule", "n"))), ",").alias("rules"))
-    return rules.join(P.texts(left, ["page_id"]), "page_id").select("page_id", "rules", F.right("content", F.lit(40)).alias("ending"))
+    """The passes that take chrome out of every article, by their rules, and a digest of the text that stays."""
+    inner = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
+    title = F.regexp_extract(inner, r"^<h1>([^<]*)</h1>", 1)
+    rest = F.substr(inner, F.char_length(F.regexp_extract(inner, r"^(<h1>[^<]*</h1>)", 1)) + 1)
+    html = F.concat(F.lit("<h1>"), title, F.lit("</h1>"), _planted(PRUNED, 0), rest, F.lit("</b>" * 20), _planted(PRUNED, 1))
+    articles = read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"), title.alias("title"))
+    return _rules(P.kept_nodes(P.rewritten_nodes(articles, lambda row: pruning.passes(unescape(row["title"] or "")), context=("title",))), "article.prune.")
+
+
+def rewritten_pages(spark, sf_dir):
+    """The passes before extraction by their rules, and a digest of the text of every page."""
+    html = F.replace(F.col("html"), F.lit("</article>"), F.concat(_planted(REWRITTEN, 0), F.lit("</article>")))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    return _rules(P.kept_nodes(P.rewritten_nodes(pages, lambda row: rewrites.PREEXTRACTION)), "article.preextract.")
 
 
 def page_outlines(spark, sf_dir):
@@ -102,9 +140,17 @@ def decoded_pages(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_content_stats, article_choices, pruned_pages, page_outlines, page_images, page_embeds, footnote_index, page_representations, page_declarations, decoded_pages,
+    page_content_stats, article_choices, pruned_pages, rewritten_pages, page_outlines, page_images, page_embeds, footnote_index, page_representations, page_declarations, decoded_pages,
 )}
 
+def _plain_sql(html: str) -> str:
+    """The text of markup without comments, its white space collapsed; the references that pages have are decoded."""
+    text = f"regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+    for name, sign in (("copy", "'©'"), ("middot", "'·'"), ("quot", "chr(34)"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")):
+        text = f"replace({text}, '&{name};', {sign})"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
 DIGIT = "CAST(page_id % 9 + 1 AS VARCHAR)"
 ORACLE_SQL = {
     "page_content_stats": r"""WITH n AS (SELECT page_id, len(regexp_extract_all(html, '<a href')) AS a, len(regexp_extract_all(html, '<ul>')) AS l,
@@ -113,6 +159,13 @@ ORACLE_SQL = {
           1 + len(regexp_extract_all(regexp_replace(regexp_extract(replace(html, '</article>', ' $$y$$ </article>'), '(?s)<body>(.*)', 1), '<[^>]*>', '', 'g'), '(?s)\$\$.*?\$\$')) AS m,
           1 + len(regexp_extract_all(regexp_replace(regexp_extract(replace(html, '</article>', ' $$y$$ </article>'), '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'), '(?s)\$\$.*?\$\$')) AS am FROM pages)
         SELECT page_id, '1,1,1,2,1,' || m || ',0,1,' || (a + 8) || ',0,4,' || (l + 3) || ',0' AS all_units, CAST(body + more AS INTEGER) AS chars, '1,1,1,2,1,' || am || ',0,1,8,0,4,3,0' AS kept, am >= ceil(0.6 * m) AS retained FROM n""",
+    "pruned_pages": f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+        r AS (SELECT page_id, regexp_replace(a, '^<h1>[^<]*</h1>', '') AS rest FROM a)
+        SELECT page_id, (['duplicate-title', 'duplicate-title,table-of-contents', 'duplicate-title,trailing-chrome', 'duplicate-title,trailing-cards,leading-meta',
+                         'unwrap-font,footnote-backrefs,duplicate-title'])[page_id % 5 + 1] AS rules, md5({_plain_sql("rest")}) AS content_md5 FROM r""",
+    "rewritten_pages": f"""WITH v AS (SELECT page_id, replace(html, '</article>', (['', '<p>✓</p>', '<p>Mind the gap.</p>', '<p>Interactive figure — open in the originalH</p>'])[page_id % 4 + 1] || '</article>') AS html FROM pages),
+        b AS (SELECT page_id, regexp_extract(html, '(?s)<body>(.*)', 1) AS html FROM v)
+        SELECT page_id, (['', 'icon-cells', 'callouts', 'interactive-placeholders,anchor-headings'])[page_id % 4 + 1] AS rules, md5({_plain_sql("html")}) AS content_md5 FROM b""",
     "page_outlines": f"""SELECT page_id, CAST(k AS INTEGER) AS nth, CAST(CASE k WHEN 2 THEN 3 ELSE 2 END AS INTEGER) AS level, CASE k WHEN 3 THEN 'Related posts' WHEN 2 THEN 'Part ' || {DIGIT} || ' of it #' ELSE 'Part ' || {DIGIT} || ' of it' END AS content,
         CASE k WHEN 3 THEN 'related-posts' WHEN 2 THEN 'part-' || {DIGIT} || '-of-it-2' ELSE 'part-' || {DIGIT} || '-of-it' END AS anchor FROM pages, range(1, 4) r(k)""",
     "page_images": f"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_extract(url, '^https?://[^/?#]+([^?#]*/)', 1) AS f FROM pages)

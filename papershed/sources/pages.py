@@ -7,14 +7,18 @@ start or end of a block element between them. A node is inside an element if it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from html import unescape
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papershed.sources.folders import shared_folder
+
 # Elements without content; elements that end a paragraph; what a start tag closes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
@@ -27,89 +31,224 @@ COLUMNS = "node int, last int, parent int, depth int, tag string, attrs map<stri
 _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
 ROWS = 20_000
 
-
-class _Tree(HTMLParser):
-    """Collects rows [node, last, parent, depth, tag, attrs, text, flow]."""
+# Elements whose content is no markup; those of them whose character references count.
+RAW = ("script", "style", "xmp", "title", "textarea")
+READ = ("title", "textarea")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+
+
+class _Scan:
+    """The tags and texts of a page. Every search goes on from where the last one ended or is not made again, so time is linear."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.at, self.last = html, 0, html.rfind(">")
+        self.unclosed = {q for q in "\"'" if q not in html}
+
+    def events(self) -> Iterator[tuple[str, str, list | str]]:
+        """("open", tag, attributes), ("close", tag, ""), ("text", "", text) in order; comments and doctypes are left out."""
+        html, size = self.html, len(self.html)
+        while self.at < size:
+            start = html.find("<", self.at)
+            start = size if start < 0 else start
+            if start > self.at:
+                yield "text", "", unescape(html[self.at : start])
+                self.at = start
+                continue
+            if start > self.last:
+                yield "text", "", unescape(html[start:])
+                return
+            following = html[start + 1]
+            closing = following == "/"
+            name = _NAME.match(html, start + 1 + closing)
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                self.at = size if end < 0 else end + 3
+            elif name:
+                tag, self.at = name[0].lower(), name.end()
+                attrs = self._attributes()
+                yield ("close", tag, "") if closing else ("open", tag, attrs)
+                if tag in RAW and not closing:
+                    yield from self._raw(tag)
+            elif following in "!?/":
+                self.at = html.find(">", start) + 1
+            else:
+                yield "text", "", "<"
+                self.at += 1
+
+    def _attributes(self) -> list[tuple[str, str]]:
+        """The attributes of a tag; afterwards ``at`` stands behind it. A quote that never ends is part of a bare value."""
+        html, found = self.html, []
+        while True:
+            self.at = _GAP.match(html, self.at).end()
+            if self.at >= len(html) or html[self.at] == ">":
+                self.at += 1
+                return found
+            key = _KEY.match(html, self.at)
+            self.at, value = key.end(), ""
+            if equals := _EQUALS.match(html, self.at):
+                self.at = equals.end()
+                quote = html[self.at : self.at + 1]
+                end = html.find(quote, self.at + 1) if quote in ('"', "'") and quote not in self.unclosed else -1
+                if end >= 0:
+                    value, self.at = html[self.at + 1 : end], end + 1
+                else:
+                    self.unclosed |= {quote} & {'"', "'"}
+                    bare = _BARE.match(html, self.at)
+                    value, self.at = bare[0], bare.end()
+            found.append((key[0].lower(), unescape(value)))
+
+    def _raw(self, tag: str) -> Iterator[tuple[str, str, str]]:
+        end = _RAW_ENDS[tag].search(self.html, self.at)
+        stop = end.start() if end else len(self.html)
+        if stop > self.at:
+            text = self.html[self.at : stop]
+            yield "text", "", unescape(text) if tag in READ else text
+        self.at = stop
+
+
+class _Rows:
+    """Collects rows [node, last, parent, depth, tag, attrs, text, flow] of elements and texts in document order."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
         self.flow = 0
 
-    def _add(self, tag: str, attrs: list, text: str | None) -> int:
+    def add(self, tag: str, attrs: dict[str, str], text: str | None) -> int:
         if tag in BLOCKS:
             self.flow += 1
-        found = {k: v or "" for k, v in reversed(attrs)}
-        self.rows.append([len(self.rows), len(self.rows), self.open[-1] if self.open else None, len(self.open), tag, list(found.items()), text, self.flow])
+        self.rows.append([len(self.rows), len(self.rows), self.open[-1] if self.open else None, len(self.open), tag, list(attrs.items()), text, self.flow])
         return len(self.rows) - 1
 
-    def _close(self, depth: int) -> None:
-        for node in self.open[depth:]:
-            self.rows[node][1] = len(self.rows) - 1
-            if self.rows[node][4] in BLOCKS:
-                self.flow += 1
-        del self.open[depth:]
-
-    def _top(self) -> str:
-        return self.rows[self.open[-1]][4] if self.open else ""
+    def down(self, tag: str, attrs: dict[str, str]) -> None:
+        self.open.append(self.add(tag, attrs, None))
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        while self._top() in closes:
-            self._close(len(self.open) - 1)
-        node = self._add(tag, attrs, None)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, max(-1, len(self.open) - 64), -1):
-            if self.rows[self.open[depth]][4] == tag:
-                self._close(depth)
-                return
-
-    def handle_data(self, data: str) -> None:
-        self._add("#text", [], data)
+    def up(self) -> str:
+        node = self.open.pop()
+        self.rows[node][1] = len(self.rows) - 1
+        if self.rows[node][4] in BLOCKS:
+            self.flow += 1
+        return self.rows[node][4]
 
-    def close(self) -> None:
-        super().close()
-        self._close(0)
+    def top(self) -> str:
+        return self.rows[self.open[-1]][4] if self.open else ""
 
 
 def tree(html: str | None) -> list[list]:
-    """The rows of one page; none for null."""
-    parser = _Tree()
-    parser.feed(html or "")
-    parser.close()
-    return parser.rows
-
-
-def page_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The nodes of pages ``key, html``, parsed where they lie, one page at a time."""
+    """The rows of one page, whatever it holds; none for null. Of an attribute's values the first counts. Nothing is dropped: what is no markup is text."""
+    out, opened = _Rows(), Counter()
+    for kind, tag, rest in _Scan(html or "").events():
+        if kind == "text":
+            out.add("#text", {}, rest)
+        elif kind == "open":
+            closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
+            while out.top() in closes:
+                opened[out.up()] -= 1
+            attrs = dict(reversed(rest))
+            if tag in VOID:
+                out.add(tag, attrs, None)
+            else:
+                out.down(tag, attrs)
+                opened[tag] += 1
+        elif opened[tag]:
+            while True:
+                closed = out.up()
+                opened[closed] -= 1
+                if closed == tag:
+                    break
+    while out.open:
+        out.up()
+    return out.rows
+
+
+def _emitted(pages: DataFrame, key: str, columns: list[str], made: Callable[[dict], list[list]], extra: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """Rows that ``made`` gives for each page of ``columns``, one Arrow pass, some ROWS rows a batch; ``extra`` columns stand behind those of a node."""
     kind = pages.schema[key].dataType.simpleString()
-    names = [key, *(c.split()[0] for c in COLUMNS.split(", "))]
+    names = [key, *(c.split()[0] for c in COLUMNS.split(", ")), *(e[0] for e in extra)]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            types = [batch.schema.field(key).type, *_KINDS, *(e[2] for e in extra)]
             keys: list = []
             rows: list[list] = []
-            for page, html in zip(batch.column(key), batch.column("html")):
-                found = tree(html.as_py())
+
+            def out() -> pa.RecordBatch:
+                made_now = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([keys, *zip(*rows)], types)], names)
+                keys.clear()
+                rows.clear()
+                return made_now
+
+            for page in range(batch.num_rows):
+                row = {c: batch.column(c)[page].as_py() for c in columns}
+                found = made(row)
                 rows += found
-                keys += [page.as_py()] * len(found)
+                keys += [row[key]] * len(found)
                 if len(rows) >= ROWS:
-                    yield made(keys, rows, batch.schema.field(key).type)
-                    keys, rows = [], []
+                    yield out()
             if rows:
-                yield made(keys, rows, batch.schema.field(key).type)
+                yield out()
+
+    return pages.select(*columns).mapInArrow(run, ", ".join([f"{key} {kind}", COLUMNS, *(f"{n} {t}" for n, t, _ in extra)]))
 
-    def made(keys: list, rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, k) for c, k in zip(zip(*rows), _KINDS))], names)
 
-    return pages.select(key, "html").mapInArrow(parse, f"{key} {kind}, {COLUMNS}")
+def page_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The nodes of pages ``key, html``, parsed where they lie, one page at a time."""
+    return _emitted(pages, key, [key, "html"], lambda row: tree(row["html"]), [])
+
+
+#: Depth and characters beyond which pages aren't rewritten: passes look at what elements hold, level by level.
+DEEPEST, LONGEST = 512, 8 << 20
+
+
+def rewritten_nodes(pages: DataFrame, passes: Callable[[dict], tuple], key: str = "page_id", context: tuple[str, ...] = ()) -> DataFrame:
+    """The nodes of pages ``key, url, html`` after passes (see ``operators.rewrites``), with ``rules`` on each page's first node: what changed it.
+
+    ``passes`` gives the passes of a page by its row, in which the columns ``context`` are as well. Page and passes
+    share one parse. Pages deeper than DEEPEST levels or longer than LONGEST stay as they are and have the rule ``unchanged.too-large``; a page of which nothing is left has no rows.
+    """
+    from papershed.operators.rewrites import run
+    from papershed.sources.elements import grown
+
+    def made(row: dict) -> list[list]:
+        rows = tree(row["html"])
+        if len(row["html"] or "") > LONGEST or max((r[3] for r in rows), default=0) > DEEPEST:
+            rules = ["unchanged.too-large"]
+        else:
+            page = grown(rows)
+            rules = run(page, row["url"] or "", passes(row))
+            rows = regrown(page)
+        return [[*r, rules if k == 0 else None] for k, r in enumerate(rows)]
+
+    return _emitted(pages, key, [key, "url", "html", *context], made, [("rules", "array<string>", pa.list_(pa.string()))])
+
+
+def regrown(page) -> list[list]:
+    """The rows of a tree of elements (see ``elements``); texts that came to lie side by side stay texts of their own."""
+    out, stack = _Rows(), [(k, False) for k in reversed(page.kids)]
+    while stack:
+        node, leave = stack.pop()
+        if leave:
+            out.up()
+        elif node.tag == "#text" or node.tag in VOID and not node.kids:
+            out.add(node.tag, node.attrs, node.data)
+        else:
+            out.down(node.tag, node.attrs)
+            stack.append((node, True))
+            stack += [(k, False) for k in reversed(node.kids)]
+    return out.rows
+
+
+def kept_nodes(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """Nodes dealt by page and written to the shared folder, so that all that reads them shares one parse and one shuffle."""
+    spark = nodes.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return nodes.repartition(key).checkpoint()
 
 
 def _before(key: str) -> Window:

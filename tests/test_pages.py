@@ -32,9 +32,15 @@ def test_long_pages_take_linear_time():
     import time
 
     began = time.process_time()
-    for unit in ("<p>word ", "<div>", "<a href=x>", "</b>", "<b>"):
-        P.tree(unit * 40_000)
-    assert time.process_time() - began < 20
+    for unit in ("<p>word ", "<div>", "<a href=x>", "</b>", "<b>", "<a ", '<a x="', "<a x='", "<![", "<!--", "<title>", "<script>", "</script", "&", '<a x="y>', "</", "<a =", "< "):
+        for end in ("", '>"', "</div>"):
+            P.tree(unit * (1_000_000 // len(unit)) + end)
+    assert time.process_time() - began < 90
+
+
+def test_end_tags_reach_any_depth():
+    rows = P.tree("<div>" + "<b>" * 500 + "</div>after")
+    assert rows[-1][4:7] == ["#text", [], "after"] and rows[-1][3] == 0
 
 
 def test_inside_and_texts(pages):
@@ -68,12 +74,7 @@ def test_formulas(spark):
     assert [r[0] for r in df.select(C.math_count(F.col("t"))).collect()] == list(given.values())
 
 
-def test_pruning_and_outline(pages):
-    titles = pages.select("page_id", F.lit("A Story!").alias("title"))
-    left, report = C.pruned(P.page_nodes(pages), titles)
-    text = {r["page_id"]: r["content"] for r in P.texts(left, ["page_id"]).collect()}
-    assert text[1].startswith("One bold word.") and text[1].endswith("code Seen") and "#" not in text[1]
-    assert {(r["page_id"], r["rule"]) for r in report.collect()} == {(1, "chrome"), (1, "duplicate_title"), (1, "permalink"), (1, "trailing_chrome")}
+def test_outline(pages):
     heads = [(r["nth"], r["level"], r["content"], r["anchor"]) for r in C.outline(P.page_nodes(pages)).orderBy("page_id", "nth").collect()]
     assert heads == [(1, 2, "Next #", "next"), (2, 2, "Related posts", "related-posts")]
 
