@@ -124,8 +124,8 @@ def test_sections_of_chrome_at_the_end():
     assert rules == ["trailing-chrome"] * 2 and html.endswith(f"<h2>Results</h2>{body(10)}") and "Discussion" in html
     html, _ = pruned(f"{body(20)}<h3>Related</h3><p>links</p><h4>Sub</h4><p>more</p><h2>Appendix</h2><p>Real appendix.</p>")
     assert html.endswith("<h2>Appendix</h2><p>Real appendix.</p>") and "links" not in html and "<h4>" not in html
-    assert pruned(f"{body(30)}<h2>Written by hand</h2>{body(20)}")[1] == []  # long prose is the author's
-    assert pruned(f"{body(30)}<h2>Comments</h2>{body(20)}")[1] == ["trailing-chrome"]
+    assert pruned(f"{body(40)}<h2>Written by hand</h2>{body(20)}")[1] == []  # long prose is the author's
+    assert pruned(f"{body(40)}<h2>Comments</h2>{body(20)}")[1] == ["trailing-chrome"]
     assert "Knuth" in pruned(f'{body(20)}<h2>Sponsors</h2><div class="references"><ol><li>Knuth, 1968.</li></ol></div>')[0]
     assert pruned(f"{body(2)}<h2>Related</h2><p>x</p>{body(30)}")[1] == []  # too early
     assert pruned(f"{body(20)}<h2>Further reading</h2><p>Here is a list of papers that matter, by hand.</p>")[1] == []
