@@ -142,7 +142,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None
     ordered = loose.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "leaf")
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "chunks", "leaf").write.parquet(f"{path}/recipes")
     _manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
-    _head(_stored_manifest(spark, path)).write.parquet(f"{path}/head")
+    head = _head(_stored_manifest(spark, path), _chunks(spark, path))
+    spark.createDataFrame([head], HEAD).write.parquet(f"{path}/head")
     remove(spark, f"{path}/objects/kind=recipe")
 
 
@@ -210,21 +211,26 @@ def _stored_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
-def _head(manifest: DataFrame) -> DataFrame:
-    """``n_parts, root`` of the manifest, a row for each part."""
+HEAD = "n_parts long, root string, n_chunks long, chunk_keys long"
+
+
+def _head(manifest: DataFrame, chunks: DataFrame) -> tuple:
+    """Number of parts and digest of the manifest (a row for each part), number of chunks and a digest of their keys in any order."""
     row = F.array_sort(F.collect_list(F.struct("part", F.concat_ws(" ", "part", "n_docs", "n_tokens", F.hex("root")).alias("line"))))
-    return manifest.agg(F.count("*").alias("n_parts"), F.sha2(F.array_join(F.transform(row, lambda r: r["line"]), "\n"), 256).alias("root"))
+    parts = manifest.agg(F.count("*"), F.sha2(F.array_join(F.transform(row, lambda r: r["line"]), "\n"), 256))
+    keys = chunks.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(key))"), F.lit(0).cast("long")))
+    return (*parts.first(), *keys.first())
 
 
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with ``start``, the ids of all documents before.
 
-    Raises ValueError at once if the manifest isn't the one that the head names, or if a part is
+    Raises ValueError at once if the manifest or the chunks aren't those that the head names, or if a part is
     missing, added, or has other counts or another root than the manifest says.
     """
     recipes, manifest = _recipes(spark, path), _stored_manifest(spark, path)
-    if _head(manifest).first() != spark.read.schema("n_parts long, root string").parquet(f"{path}/head").first():
-        raise ValueError("the manifest differs from its head")
+    if _head(manifest, _chunks(spark, path)) != tuple(spark.read.schema(HEAD).parquet(f"{path}/head").first()):
+        raise ValueError("the manifest or the chunks differ from their head")
     now = _manifest(recipes).select("part", *(F.col(c).alias(f"now_{c}") for c in ("n_docs", "n_tokens", "root")))
     same = F.lit(True)
     for c in ("n_docs", "n_tokens", "root"):

@@ -73,6 +73,11 @@ DAMAGE = {
     "changed length": ("recipes", lambda d: d.withColumn("n_tokens", F.col("n_tokens") + 1)),
     "lost chunk": ("objects/kind=chunk", lambda d: d.orderBy("key").offset(1)),
     "all chunks lost": ("objects/kind=chunk", lambda d: d.limit(0)),
+    "added chunk": ("objects/kind=chunk", lambda d: d.union(d.limit(1).selectExpr("unhex(sha2('abcd', 256))", "cast('abcd' as binary)", *d.columns[2:]))),
+    "repeated chunk": ("objects/kind=chunk", lambda d: d.union(d.limit(1))),
+    "exchanged chunk": ("objects/kind=chunk", lambda d: d.orderBy("key").offset(1).union(d.limit(1).selectExpr("unhex(sha2('abcd', 256))", "cast('abcd' as binary)", *d.columns[2:]))),
+    "added recipe": ("recipes", lambda d: d.union(d.filter("doc_id = 3").withColumn("doc_id", F.lit(99).cast("long")).withColumn("leaf", F.udf(S.leaf_of, "binary")("doc_id", "n_tokens", "chunks")))),
+    "added part": ("recipes", lambda d: d.union(d.filter("part = 0").withColumn("part", F.lit(999)))),
     "changed chunk": ("objects/kind=chunk", lambda d: d.withColumn("body", F.when(F.octet_length("body") > 4, F.expr("substring(body, 3)")).otherwise(F.lit("ab").cast("binary")))),
 }
 
