@@ -4,9 +4,10 @@ A page is read as a sequence of words and tags. Words score above zero, tags bel
 weights learned from labelled pages, those of class and id names among them; one linear scan finds
 the contiguous run with the highest sum. Elements that by their nature hold no main text (menus, page
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are taken out
-first and leave a penalty behind. What their class, id or role says counts only if they hold no article,
-main or h1 element and, on a page without any of these, no more than half of its remaining words. The
-blocks that the region touches are the text.
+first. What their class, id or role says counts unless they hold the page's home: its largest article or main
+element, one outside such elements if there is any, or are the head of its title in it; on a page without either, unless they hold more than half of its remaining words.
+Outside of the home each element taken out leaves a penalty behind; inside it costs nothing, so that
+an advert in an article doesn't part it. The blocks that the region touches are the text.
 
 Reading a page takes time in proportion to its length, whatever it holds.
 """
@@ -51,8 +52,12 @@ PLACES = {
     "site", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "mobile", "desktop", "bar", "box", "block", "list", "area", "section",
     "container", "wrapper", "wrap", "inner", "outer", "item", "items", "link", "links", "button", "buttons", "icons", "panel", "form", "slot", "unit", "posts", "user", "reader",
 }
+#: Such elements hold an article's title if they are in it.
+HEADS = {"header", "masthead", "banner"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-NEVER_APART = {"html", "body", "main", "article", *HEADINGS}
+NEVER_APART = {"html", "body", *HEADINGS}
+#: The share of the largest article's or main's words from which one inside it is the home; without either, the share of a page's words that a home holds.
+HOME_SHARE = 0.6
 
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN_REST = re.compile(r"[^>\"']*")
@@ -144,49 +149,91 @@ def _says_apart(name: str, rest: str) -> bool:
     return False
 
 
-def without_apart(found: list[tuple[str, str, str]]) -> Iterator[tuple[str, str, str]]:
-    """The tokens with each element that holds no main text as one token of kind ``apart``.
+@dataclass
+class Layout:
+    """What a page's elements are: their ends by their starts, those without main text, and the home (first and last token)."""
 
-    An element reaches to its own end tag, nested elements of its name counted; if there is none, only its tag goes.
-    """
+    ends: dict[int, int]
+    apart: dict[int, int]
+    home: tuple[int, int] | None
+    declared: bool  # the home is an article or main element
+
+
+def _says_head(rest: str) -> bool:
+    """Whether class and id call an element the head of something, and no other thing without main text."""
+    return {w for n in names_of(rest)[0] for w in _WORD.findall(n)} & NAMES <= HEADS
+
+
+def _outermost(found: dict[int, int]) -> dict[int, int]:
+    """Of intervals by their starts those inside no other; intervals are nested or apart."""
+    kept, reach = {}, -1
+    for start in sorted(found):
+        if start > reach:
+            kept[start] = reach = found[start]
+    return kept
+
+
+def layout(found: list[tuple[str, str, str]]) -> Layout:
+    """An element reaches to its own end tag, nested elements of its name counted; if there is none, it is only its tag."""
     ends: dict[int, int] = {}
     open_at: dict[str, list[int]] = {}
     for i, (kind, name, _) in enumerate(found):
         if kind == "open" and name not in VOID:
+            ends[i] = i
             open_at.setdefault(name, []).append(i)
         elif kind == "close" and open_at.get(name):
             ends[open_at[name].pop()] = i
     # elements without main text whatever they hold
-    gone: dict[int, int] = {}
-    i, articles = 0, 0
-    while i < len(found):
-        kind, name, _ = found[i]
+    gone, articles, reach = {}, 0, -1
+    for i, (kind, name, _) in enumerate(found):
         if name in ("article", "main"):
             articles += {"open": 1, "close": -1}[kind]
-        if kind == "open" and (name in APART or name == "header" and articles <= 0):
-            gone[i] = ends.get(i, i)
-            i = gone[i]
-        i += 1
-    inside = np.zeros(len(found) + 1, dtype=np.int64)
-    for i, end in gone.items():
-        inside[i] += 1
+        if i > reach and kind == "open" and (name in APART or name == "header" and articles <= 0):
+            gone[i] = reach = ends.get(i, i)
+    words = [0, *accumulate(n * left for n, left in zip((len(rest.split()) if kind == "text" else 0 for kind, _, rest in found), _outside(gone, len(found))))]
+    count = lambda i: words[ends[i] + 1] - words[i]
+    named = {i: ends.get(i, i) for i, (kind, name, rest) in enumerate(found) if kind == "open" and name not in NEVER_APART and _says_apart(name, rest)}
+    # the home
+    free = _outside(_outermost(gone | named), len(found))
+    bodies = [i for i in ends if found[i][1] in ("article", "main") and count(i)]
+    bodies = [i for i in bodies if free[i]] or bodies
+    home = None
+    if bodies:
+        largest = max(bodies, key=lambda i: (count(i), -i))
+        within = [i for i in bodies if largest <= i and ends[i] <= ends[largest] and count(i) >= HOME_SHARE * count(largest)]
+        home = max(within, key=lambda i: (i, 0))
+        kept = [i for i in named if i <= home and named[i] >= ends[home]]
+        title = next((i for i, (kind, name, _) in enumerate(found) if kind == "open" and name == "h1"), -1)
+        kept += [i for i in named if home < i < title <= named[i] and _says_head(found[i][2])]
+    else:
+        kept = [i for i in named if 2 * (words[named[i] + 1] - words[i]) > words[-1]]
+        holders = [i for i in ends if words[-1] and count(i) >= HOME_SHARE * words[-1]]
+        home = max(holders, default=None)
+    for i in kept:
+        del named[i]
+    return Layout(ends, _outermost(gone | named), None if home is None else (home, ends[home]), bool(bodies))
+
+
+def _outside(intervals: dict[int, int], size: int) -> list[bool]:
+    """Of each token, whether it is outside all the intervals."""
+    inside = np.zeros(size + 1, dtype=np.int64)
+    for start, end in intervals.items():
+        inside[start] += 1
         inside[end + 1] -= 1
-    left = np.cumsum(inside[:-1]) == 0
-    words = [0, *accumulate(len(rest.split()) if kind == "text" and on else 0 for (kind, _, rest), on in zip(found, left))]
-    marks = [0, *accumulate(int(kind == "open" and on and name in ("article", "main", "h1")) for (kind, name, _), on in zip(found, left))]
+    return (np.cumsum(inside[:-1]) == 0).tolist()
+
+
+def without_apart(found: list[tuple[str, str, str]]) -> Iterator[tuple[str, str, str]]:
+    """The tokens with each element that holds no main text as one token: of kind ``inner`` in the page's home, else ``apart``."""
+    page = layout(found)
+    first, last = page.home or (0, -1)
     i = 0
     while i < len(found):
-        kind, name, rest = found[i]
-        end = gone.get(i)
-        if end is None and kind == "open" and name not in NEVER_APART and _says_apart(name, rest):
-            end = ends.get(i, i)
-            if marks[end + 1] > marks[i] or not marks[-1] and 2 * (words[end + 1] - words[i]) > words[-1]:
-                end = None
-        if end is None:
-            yield found[i]
+        if i in page.apart:
+            yield "inner" if first <= i <= last else "apart", found[i][1], ""
+            i = page.apart[i]
         else:
-            yield "apart", name, ""
-            i = end
+            yield found[i]
         i += 1
 
 
@@ -224,14 +271,14 @@ class Weights:
                     scores.append(n * self.word)
                     owner.append(len(blocks) - 1)
                 continue
-            if kind == "apart":
-                scores.append(REMOVED)
+            if kind in ("apart", "inner"):
+                scores.append(REMOVED if kind == "apart" else 0.0)
             else:
                 scores.append(max(TAG_RANGE[0], sum(self.tags.get(f, 0.0 if f[0] == "." else self.other) for f in features(kind, name, rest))))
             owner.append(-1)
             if name == "br":
                 blocks[-1].append(" ")
-            elif name in BLOCKS or kind == "apart" and name in BLOCKS | APART:
+            elif name in BLOCKS or kind in ("apart", "inner") and name in BLOCKS | APART:
                 blocks.append([])
         if not scores:
             return ""
@@ -247,29 +294,32 @@ class Weights:
 
 
 def label(html: str | None) -> tuple[Counter, Counter] | None:
-    """Words ("") and tags inside and outside of main text, if the page labels it: with exactly one article element."""
+    """Words ("") and tags inside and outside of main text, if the page labels it: its home is an article element. What is apart in it counts nowhere."""
     found = tokens(html or "")
-    marks = [i for i, t in enumerate(found) if t[1] == "article"]
-    if len(marks) != 2 or [found[i][0] for i in marks] != ["open", "close"]:
+    page = layout(found)
+    if not page.declared or found[page.home[0]][1] != "article":
         return None
-    counts = Counter(), Counter()
+    counts, left = (Counter(), Counter()), _outside(page.apart, len(found))
     for i, (kind, name, rest) in enumerate(found):
-        side = counts[0 if marks[0] < i < marks[1] else 1]
+        inside = page.home[0] < i < page.home[1]
+        if inside and not left[i] or i in page.home:
+            continue
+        side = counts[0 if inside else 1]
         if kind == "text":
             side[""] += len(rest.split())
-        elif i not in marks:
+        else:
             side.update(features(kind, name, rest))
     return counts
 
 
 def fit(pages: DataFrame) -> Weights:
-    """Weights from pages whose main text is labelled by a single article element.
+    """Weights from pages whose main text is labelled by an article element.
 
-    Pages enter by a hash of their html, SAMPLE in the mean or all if there are fewer; repeated pages enter
-    together. Without a labelled page the default weights stay. Columns besides html are ignored.
+    Pages enter by a hash of their rows, SAMPLE in the mean or all if there are fewer; equal pages with ids of their own enter
+    on their own. Without a labelled page the default weights stay. Only html is learned from.
     """
     share = min(1.0, SAMPLE / max(1, pages.count()))
-    draw = F.pmod(F.xxhash64("html"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(*pages.columns), F.lit(1_000_000)) / 1_000_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
@@ -291,7 +341,7 @@ def fit(pages: DataFrame) -> Weights:
 
 
 def main_text(weights: Weights, html: Column) -> Column:
-    """The main text of an html column; empty for null, for empty pages and for pages without words. Equal pages have equal texts."""
+    """The main text of an html column; empty for null, for empty pages and for pages without words. Pages of any length are read whole, equal pages have equal texts."""
     shared = SparkSession.active().sparkContext.broadcast(weights)
 
     @F.pandas_udf("string")

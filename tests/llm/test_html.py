@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from papershed.llm import html_extract as H
 from papershed.llm.queries import op9_html_text
@@ -41,6 +43,60 @@ def test_no_article_is_lost_to_a_name(name):
     assert H.Weights().extract(WRAPPED[name]) == want
 
 
+COMMENT = "<article class='comment-body'><p>Nice post, I liked it a lot and I will come back for more of the same soon.</p></article>"
+#: Reader comments and sidebars with elements of their own that otherwise hold main text, and articles parted by adverts.
+PARTED = {
+    "comments with articles": f"<body>{MENU}<article>{TEXT}</article><div id='comments' class='comments-area'>{COMMENT * 9}</div></body>",
+    "comments with a title": f"<body>{MENU}<article>{TEXT}</article><section id='comments'><h1>Comments</h1><p>Nice post.</p></section></body>",
+    "comments inside": f"<body>{MENU}<article>{TEXT}<section class='comments'>{COMMENT * 9}</section></article></body>",
+    "comments in main": f"<body>{MENU}<main><article>{TEXT}</article><div class='comments'>{COMMENT}</div></main></body>",
+    "loose comments": f"<body>{MENU}<article>{TEXT}</article><article class='comment'><p>Nice post.</p></article></body>",
+    "sidebar with a title": f"<body>{MENU}<article>{TEXT}</article><div class='sidebar'><h1>About</h1><p>I write here about all that comes to my mind.</p></div></body>",
+    "sidebar and plain text": f"<body>{MENU}<div id=content>{TEXT}</div><div class='sidebar'><h1>About</h1><p>Me.</p></div></body>",
+    "article in a named element": f"<body>{MENU}<div class='widget'><article>{TEXT}</article></div></body>",
+    "adverts before the end": f"<body>{MENU}<article>{TEXT}<div class=ad>Buy!</div><div class=ad>Buy!</div><div class=ad>Buy!</div><p>The end.</p></article></body>",
+    "adverts in plain text": f"<body>{MENU}<div id=content>{TEXT}<div class=ad>Buy!</div><aside>x</aside><div class=ad>Buy!</div><p>The end.</p></div></body>",
+}
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return H.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html"))
+
+
+@pytest.mark.parametrize("name", PARTED)
+def test_comments_go_and_ends_stay(fitted, name):
+    want = WANT + "\nThe end." * ("The end." in PARTED[name])
+    assert H.Weights().extract(PARTED[name]) == want
+    assert fitted.extract(PARTED[name]) == want
+
+
+def test_pages_with_comments_teach_as_well(spark):
+    page = PARTED["comments with articles"]
+    weights = H.fit(spark.createDataFrame([(k, page) for k in range(9)], "page_id long, html string"))
+    assert weights.tags["nav"] < 0 and H.label(page)[0][""] == len(WANT.split()) and H.label("<main>x</main>") is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "a ", "b c d ", "<br>", "<nav>x</nav>", "<ul>", "<li>", "</ul>"]), max_size=14))
+def test_region_is_the_best_of_all_intervals(parts):
+    """No interval of tokens scores higher than the blocks that were taken."""
+    html, weights = "".join(parts), H.Weights(1.0, {"p": -0.5, "div": -1.5, "li": -2.0, "nav": -3.0}, -0.7)
+    scores, words = [], []
+    for kind, name, rest in H.without_apart(H.tokens(html)):
+        if kind == "text":
+            if rest.split():
+                scores.append(float(len(rest.split())))
+                words.append(rest.split())
+        else:
+            scores.append({"apart": H.REMOVED, "inner": 0.0}.get(kind, weights.tags.get(name, weights.other)))
+            words.append([])
+    best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+    fits = [[w for part in words[i:j] for w in part] for i in range(len(scores)) for j in range(i + 1, len(scores) + 1) if abs(sum(scores[i:j]) - best) < 1e-9]
+    got = weights.extract(html).split()
+    assert not any(words) and not got or any(all(w in got for w in f) and len(f) <= len(got) for f in fits)
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<a \"", "<a '>\" ", "<a \">\"", "<!--", "<div class=a", "</p", "<p>", "<script>", "<", "x=\"", "<b id=\"", "<p>word ", "<div class=ad>", "&lt;"])
 def test_time_is_linear(unit):
     import time
