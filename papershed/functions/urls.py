@@ -44,22 +44,28 @@ def on_site(host: Column, *sites: str) -> Column:
 def canonical_url(url: Column) -> Column:
     """Without fragment and tracking parameters; what is kept stays as written, scheme and host in lower case."""
     bare = F.regexp_replace(url, "#.*$", "")
-    base, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1)
-    host, origin = host_of(bare), origin_of(bare)
-    params = F.split(query, "&")
+    parts = F.struct(
+        bare.alias("bare"), F.regexp_extract(bare, r"^([^?]*)", 1).alias("base"), host_of(bare).alias("host"), origin_of(bare).alias("origin"),
+        F.split(F.regexp_extract(bare, r"^[^?]*\?(.*)$", 1), "&").alias("params"),
+    )
+    return let(parts, _canonical)
 
-    def tracking(pair: Column) -> Column:
-        name = F.regexp_extract(pair, "^([^=]*)", 1)
-        found = name.isin(*TRACKING) | F.startswith(name, F.lit(TRACKING_START)) | ((name == "ref") & ~on_site(host, *REF_IS_CONTENT))
+
+def _canonical(p: Column) -> Column:
+    def tracking(name: Column) -> Column:
+        found = name.isin(*TRACKING) | F.startswith(name, F.lit(TRACKING_START)) | ((name == "ref") & ~on_site(p["host"], *REF_IS_CONTENT))
         for short, sites in SITE_TRACKING.items():
-            found |= (name == short) & on_site(host, *sites)
+            found |= (name == short) & on_site(p["host"], *sites)
         return found
 
-    kept = F.filter(params, lambda p: ~tracking(p))
-    tail = F.when(F.size(kept) == F.size(params), F.substr(bare, F.char_length(base) + 1)).when(F.array_join(kept, "&") == "", "").otherwise(F.concat(F.lit("?"), F.array_join(kept, "&")))
-    path = F.substr(base, F.char_length(origin) + 1)
-    rooted = F.when((path == "") & (origin != ""), "/").otherwise(path)
-    return F.concat(F.when(origin != "", origin).otherwise(""), rooted, tail)
+    def joined(kept: Column) -> Column:
+        query = F.array_join(kept, "&")
+        tail = F.when(F.size(kept) == F.size(p["params"]), F.substr(p["bare"], F.char_length(p["base"]) + 1)).when(query == "", "").otherwise(F.concat(F.lit("?"), query))
+        path = F.substr(p["base"], F.char_length(p["origin"]) + 1)
+        rooted = F.when((path == "") & (p["origin"] != ""), "/").otherwise(path)
+        return F.concat(F.when(p["origin"] != "", p["origin"]).otherwise(""), rooted, tail)
+
+    return let(F.filter(p["params"], lambda pair: ~tracking(F.substring_index(pair, "=", 1))), joined)
 
 
 def same_site(a: Column, b: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papershed.functions.text import let
+
 
 # Tolerances of lines, columns and blocks, in shares of sizes and widths.
 BASELINE, CELL_GAP, WORD_GAP, BOLD_SHARE = 0.4, 1.0, 0.25, 0.9
@@ -63,10 +65,18 @@ def pages_of(rows: DataFrame, width: float) -> DataFrame:
     sized = grouped.withColumn("n", narrow).withColumn("bin", text_width / BINS)
     height = F.array_max(F.transform("n", lambda e: e["bottom"])) - F.array_min(F.transform("n", lambda e: e["y"]))
     median = F.get(F.array_sort(F.transform("n", h)), F.floor(F.size("n") / 2).cast("int"))
-    covers = lambda e, b: (b >= F.greatest(F.lit(0), F.round((e["x"] - F.col("left")) / F.col("bin")))) & (b <= F.least(F.lit(BINS - 1), F.round((e["right"] - F.col("left")) / F.col("bin")) - 1))
+    first = lambda e: F.greatest(F.lit(0.0), F.round((e["x"] - F.col("left")) / F.col("bin")))
+    last = lambda e: F.least(F.lit(BINS - 1.0), F.round((e["right"] - F.col("left")) / F.col("bin")) - 1)
     bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    coverage = F.transform(bins, lambda b: F.aggregate(F.col("n"), F.lit(0.0), lambda acc, e: acc + F.when(covers(e, b), h(e)).otherwise(0.0)))
-    measured = sized.withColumn("height", height).withColumn("median", median).withColumn("coverage", coverage)
+    spans = F.transform("n", lambda e: F.struct(first(e).alias("first"), last(e).alias("last"), h(e).alias("h")))
+
+    def covered(spans: Column) -> Column:
+        """The height over each bin; lines of one extent are summed before bins are looked at."""
+        extents = F.array_distinct(F.transform(spans, lambda e: F.struct(e["first"], e["last"])))
+        heights = F.transform(extents, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), F.aggregate(spans, F.lit(0.0), lambda acc, e: acc + F.when((e["first"] == x["first"]) & (e["last"] == x["last"]), e["h"]).otherwise(0.0)).alias("h")))
+        return let(heights, lambda known: F.transform(bins, lambda b: F.aggregate(known, F.lit(0.0), lambda acc, e: acc + F.when((b >= e["first"]) & (b <= e["last"]), e["h"]).otherwise(0.0))))
+
+    measured = sized.withColumn("height", height).withColumn("median", median).withColumn("coverage", let(spans, covered))
     is_gap = F.transform("coverage", lambda v: v <= F.least(GAP_COVERAGE * F.col("height"), GAP_LINES * F.col("median")))
     dense = F.transform("coverage", lambda v: v >= F.greatest(COLUMN_COVERAGE * F.col("height"), COLUMN_LINES * F.col("median")))
     flagged = measured.withColumn("gap", is_gap).withColumn("dense", dense)

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papershed.functions.text import let
+
 MAX_TAGS, TAG_CHARS, MAX_WORDS = 20, 40, 8
 
 
 def normal_tags(tags: Column) -> Column:
     """Trimmed to 40 characters, blanks dropped, the first spelling of each kept, 20 at most."""
     clean = F.filter(F.transform(tags, lambda t: F.trim(F.substring(F.trim(t), 1, TAG_CHARS))), lambda t: t != "")
-    lower = F.transform(clean, F.lower)
-    return F.transform(F.slice(F.array_distinct(lower), 1, MAX_TAGS), lambda t: F.get(clean, (F.array_position(lower, t) - 1).cast("int")))
+
+    def first_spellings(clean: Column) -> Column:
+        return let(F.transform(clean, F.lower), lambda low: F.transform(F.slice(F.array_distinct(low), 1, MAX_TAGS), lambda t: F.get(clean, (F.array_position(low, t) - 1).cast("int"))))
+
+    return let(clean, first_spellings)
 
 
 def has_tag(tags: Column, wanted: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papershed.functions.text import let
+
 LAYERS = ("content", "metadata", "rendering")
 NAMES = ("PASS", "MINOR", "MAJOR")
 
@@ -98,7 +100,7 @@ def matched_issues(cases: DataFrame) -> DataFrame:
         def rank(i: Column) -> Column:
             s = F.get("screen", i)
             closest = F.when((s["kind"] == c["kind"]) & (s["layer"] == c["layer"]), 0).when(s["kind"] == c["kind"], 1).otherwise(2)
-            return F.when(match(c, s) & ~F.array_contains(F.transform(acc, lambda p: p["s"]), i), F.struct(closest.alias("rank"), i.alias("i")))
+            return F.when(match(c, s) & ~F.exists(acc, lambda p: p["s"] == i), F.struct(closest.alias("rank"), i.alias("i")))
 
         best = F.array_min(F.transform(_places("screen"), rank))
         return F.when(best.isNull(), acc).otherwise(F.array_append(acc, F.struct(k.alias("c"), best["i"].alias("s"))))
@@ -130,11 +132,13 @@ def cross_confirmed(cases: DataFrame, supported: Callable[[Column], Column]) ->
         minor, fact = issue["severity"] == "minor", supported(issue)
         return out(issue, F.when(minor | ~fact, "minor").otherwise("major"), F.when(minor, "one-sided").when(fact, "one-sided-fact").otherwise("one-sided-downgraded"))
 
-    def rest(name: str, side: str) -> Column:
-        left = F.filter(_places(name), lambda i: ~F.array_contains(F.transform("pairs", lambda p: p[side]), i))
+    def rest(pairs: Column, name: str, side: str) -> Column:
+        left = F.filter(_places(name), lambda i: ~F.exists(pairs, lambda p: p[side] == i))
         return F.transform(left, lambda i: alone(F.get(name, i)))
 
-    every = F.concat(F.transform("pairs", paired), rest("confirm", "c"), rest("screen", "s"))
-    key = lambda e: F.struct(e["layer"], e["kind"], e["evidence"])
-    first = F.filter(F.col("every"), lambda e, i: F.array_position(F.transform("every", key), key(e)) == i + 1)
-    return matched.withColumn("every", every).withColumn("merged", first).drop("every")
+    def distinct(every: Column) -> Column:
+        keys = F.transform(every, lambda e: F.struct(e["layer"], e["kind"], e["evidence"]))
+        return let(keys, lambda known: F.filter(every, lambda e, i: F.array_position(known, F.get(known, i)) == i + 1))
+
+    merged = let(F.col("pairs"), lambda pairs: let(F.concat(F.transform(pairs, paired), rest(pairs, "confirm", "c"), rest(pairs, "screen", "s")), distinct))
+    return matched.withColumn("merged", merged)

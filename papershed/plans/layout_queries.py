@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papershed.operators import layout as L
+from papershed.sources.folders import kept
 from papershed.sources.tables import read
 
 #: A page of 600 by 800 points: two columns of 30 lines of six words.
@@ -41,6 +42,11 @@ def _runs(spark, sf_dir):
     return runs_of(read(spark, sf_dir, "documents"))
 
 
+def _pages(runs):
+    """Pages with lines and gaps, kept: blocks and reports read them several times."""
+    return kept(L.pages_of(kept(L.lines(runs), "doc", "page"), WIDTH), "doc")
+
+
 def layout_lines(spark, sf_dir):
     """Lines from baselines that differ a little and gaps between columns."""
     rows = L.lines(_runs(spark, sf_dir))
@@ -49,19 +55,19 @@ def layout_lines(spark, sf_dir):
 
 def layout_columns(spark, sf_dir):
     """The number of columns of each document by its pages' gaps."""
-    return L.dominant_columns(L.pages_of(L.lines(_runs(spark, sf_dir)), WIDTH))
+    return L.dominant_columns(_pages(_runs(spark, sf_dir)))
 
 
 def reading_order(spark, sf_dir):
     """Each document's text as its lines are read, page by page, the left column first."""
-    placed = L.placed_lines(L.pages_of(L.lines(_runs(spark, sf_dir)), WIDTH))
+    placed = L.placed_lines(_pages(_runs(spark, sf_dir)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("page", "nth", "text"))), lambda p: p["text"])
     return placed.groupBy("doc").agg(F.md5(F.array_join(parts, " ")).alias("md5"), F.count_if(F.col("column") == -1).alias("n_full"))
 
 
 def _blocks(spark, sf_dir):
     runs = _runs(spark, sf_dir)
-    pages = L.pages_of(L.lines(runs), WIDTH)
+    pages = _pages(runs)
     return runs, pages, L.certain(L.blocks(L.placed_lines(pages)))
 
 

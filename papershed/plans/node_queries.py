@@ -69,6 +69,11 @@ REWRITTEN = (
 )
 
 
+#: Prose that stands between a page's own words and what is planted; ends of what pages leave open.
+FIRST, LAST = "<p>The first line is plain prose of its author that no rule takes out.</p>", "<p>The closing line is plain prose of its author that no rule takes out.</p>"
+ENDS = "</b>" * 20 + "</p>"
+
+
 def _planted(variants: tuple[tuple[str, ...], ...], k: int):
     """The k-th part of the variant that a page's id chooses."""
     return F.get(F.array(*[F.lit(v[k]) for v in variants]), (F.col("page_id") % len(variants)).cast("int"))
@@ -85,14 +90,14 @@ def pruned_pages(spark, sf_dir):
     inner = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
     title = F.regexp_extract(inner, r"^<h1>([^<]*)</h1>", 1)
     rest = F.substr(inner, F.char_length(F.regexp_extract(inner, r"^(<h1>[^<]*</h1>)", 1)) + 1)
-    html = F.concat(F.lit("<h1>"), title, F.lit("</h1>"), _planted(PRUNED, 0), rest, F.lit("</b>" * 20), _planted(PRUNED, 1))
+    html = F.concat(F.lit("<h1>"), title, F.lit("</h1>"), _planted(PRUNED, 0), F.lit(FIRST), rest, F.lit(ENDS + LAST), _planted(PRUNED, 1))
     articles = read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"), title.alias("title"))
     return _rules(P.kept_nodes(P.rewritten_nodes(articles, lambda row: pruning.passes(unescape(row["title"] or "")), context=("title",))), "article.prune.")
 
 
 def rewritten_pages(spark, sf_dir):
     """The passes before extraction by their rules, and a digest of the text of every page."""
-    html = F.replace(F.col("html"), F.lit("</article>"), F.concat(_planted(REWRITTEN, 0), F.lit("</article>")))
+    html = F.replace(F.col("html"), F.lit("</article>"), F.concat(F.lit(ENDS), _planted(REWRITTEN, 0), F.lit("</article>")))
     pages = read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
     return _rules(P.kept_nodes(P.rewritten_nodes(pages, lambda row: rewrites.PREEXTRACTION)), "article.preextract.")
 
@@ -160,7 +165,7 @@ ORACLE_SQL = {
           1 + len(regexp_extract_all(regexp_replace(regexp_extract(replace(html, '</article>', ' $$y$$ </article>'), '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'), '(?s)\$\$.*?\$\$')) AS am FROM pages)
         SELECT page_id, '1,1,1,2,1,' || m || ',0,1,' || (a + 8) || ',0,4,' || (l + 3) || ',0' AS all_units, CAST(body + more AS INTEGER) AS chars, '1,1,1,2,1,' || am || ',0,1,8,0,4,3,0' AS kept, am >= ceil(0.6 * m) AS retained FROM n""",
     "pruned_pages": f"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
-        r AS (SELECT page_id, regexp_replace(a, '^<h1>[^<]*</h1>', '') AS rest FROM a)
+        r AS (SELECT page_id, '{FIRST}' || regexp_replace(a, '^<h1>[^<]*</h1>', '') || '{LAST}' AS rest FROM a)
         SELECT page_id, (['duplicate-title', 'duplicate-title,table-of-contents', 'duplicate-title,trailing-chrome', 'duplicate-title,trailing-cards,leading-meta',
                          'unwrap-font,footnote-backrefs,duplicate-title'])[page_id % 5 + 1] AS rules, md5({_plain_sql("rest")}) AS content_md5 FROM r""",
     "rewritten_pages": f"""WITH v AS (SELECT page_id, replace(html, '</article>', (['', '<p>✓</p>', '<p>Mind the gap.</p>', '<p>Interactive figure — open in the originalH</p>'])[page_id % 4 + 1] || '</article>') AS html FROM pages),

@@ -8,7 +8,6 @@ start or end of a block element between them. A node is inside an element if it
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papershed.sources.folders import shared_folder
+from papershed.sources.folders import kept
 
 # Elements without content; elements that end a paragraph; what a start tag closes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -25,7 +24,13 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What the start of an element ends, and the elements across which it doesn't.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES |= dict.fromkeys(("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot", "tr", "td", "th"))
+ACROSS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)} | dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot"), ("table",))
+ACROSS_P = ("button", "caption", "html", "object", "table", "td", "template", "th")
+#: Elements of form that go on in the next block when a block ends them, each three times at most.
+FORM = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
 
 COLUMNS = "node int, last int, parent int, depth int, tag string, attrs map<string,string>, text string, flow int"
 _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
@@ -117,6 +122,7 @@ class _Rows:
     def __init__(self) -> None:
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.at: dict[str, list[int]] = {}  # the depths of open elements by tag
         self.flow = 0
 
     def add(self, tag: str, attrs: dict[str, str], text: str | None) -> int:
@@ -126,41 +132,50 @@ class _Rows:
         return len(self.rows) - 1
 
     def down(self, tag: str, attrs: dict[str, str]) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(self.add(tag, attrs, None))
 
-    def up(self) -> str:
-        node = self.open.pop()
-        self.rows[node][1] = len(self.rows) - 1
-        if self.rows[node][4] in BLOCKS:
+    def up(self) -> list:
+        row = self.rows[self.open.pop()]
+        self.at[row[4]].pop()
+        row[1] = len(self.rows) - 1
+        if row[4] in BLOCKS:
             self.flow += 1
-        return self.rows[node][4]
+        return row
 
-    def top(self) -> str:
-        return self.rows[self.open[-1]][4] if self.open else ""
+    def deepest(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def end(self, tags: tuple[str, ...], across: tuple[str, ...]) -> list[list]:
+        """Closes the open elements with these tags that no element of ``across`` parts from here; the rows of elements of form that went with them."""
+        wall, gone = self.deepest(across), []
+        while self.deepest(tags) > wall:
+            row = self.up()
+            if row[4] in FORM and sum(g[4] == row[4] for g in gone) < 3:
+                gone.append(row)
+        return gone[::-1]
 
 
 def tree(html: str | None) -> list[list]:
     """The rows of one page, whatever it holds; none for null. Of an attribute's values the first counts. Nothing is dropped: what is no markup is text."""
-    out, opened = _Rows(), Counter()
+    out = _Rows()
     for kind, tag, rest in _Scan(html or "").events():
         if kind == "text":
             out.add("#text", {}, rest)
         elif kind == "open":
-            closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-            while out.top() in closes:
-                opened[out.up()] -= 1
+            form = out.end(CLOSES[tag], ACROSS[tag]) if tag in CLOSES else []
+            form = [] if "table" in ACROSS.get(tag, ()) else form  # what is set in a cell ends with it
+            form += out.end(("p",), ACROSS_P) if tag in BLOCKS else []
             attrs = dict(reversed(rest))
             if tag in VOID:
                 out.add(tag, attrs, None)
             else:
                 out.down(tag, attrs)
-                opened[tag] += 1
-        elif opened[tag]:
-            while True:
-                closed = out.up()
-                opened[closed] -= 1
-                if closed == tag:
-                    break
+            for row in form:
+                out.down(row[4], dict(row[5]))
+        elif out.at.get(tag):
+            while out.up()[4] != tag:
+                pass
     while out.open:
         out.up()
     return out.rows
@@ -244,11 +259,8 @@ def regrown(page) -> list[list]:
 
 
 def kept_nodes(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Nodes dealt by page and written to the shared folder, so that all that reads them shares one parse and one shuffle."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return nodes.repartition(key).checkpoint()
+    """Nodes dealt by page and kept, so that a query parses its pages once."""
+    return kept(nodes, key)
 
 
 def _before(key: str) -> Window:
