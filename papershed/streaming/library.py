@@ -50,7 +50,7 @@ def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, key: list[str]) -> None:
-    """Saves each micro-batch into the table at ``path`` by its key; only buckets that a batch touches are written. A batch that is run again gives the same rows."""
+    """Saves each micro-batch into the table at ``path`` by its key; only buckets that a batch touches are written, each batch a version. A batch that is run again gives the same rows."""
 
     def write(batch: DataFrame, number: int) -> None:
         save(batch.withColumn("saved_at", F.lit(number)), path, key)
