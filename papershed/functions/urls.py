@@ -115,17 +115,28 @@ def slug(url: Column) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(plain, "^-+", ""), 1, 80), "-+$", "")
 
 
-# Endings of picture files, endings of names that say a size or variant, names that say nothing.
-EXTENSIONS = r"(?:\.(?:jpe?g|png|gif|webp|avif|svg|bmp|jxl|tiff?))+$"
-SIZES = r"(?:[-_](?:\d{2,5}x\d{2,5}|\d{2,5}w|scaled|small|medium|large|thumb(?:nail)?|@[23]x)|@[23]x)+$"
-GENERIC = ("", "image", "img", "picture", "default", "cover", "index", "unnamed")
+# Endings of picture files, endings of names that say a size or variant, names that say nothing, query parameters that carry a picture.
+EXTENSIONS = r"(?:\.(?:png|jpe?g|gif|webp|avif|jxl|svg|bmp|tiff?|ico|heic|heif))+$"
+SIZES = r"(?:(?<=.)(?:[-_]\d{1,5}x\d{1,5}|@\d(?:\.\d+)?x|[-_]\d(?:\.\d+)?x|-scaled|[-_]thumb(?:nail)?|-e\d{10,13}|=[swh]\d+(?:-[a-z0-9]+)*))+$"
+GENERIC = (
+    "", "image", "img", "images", "photo", "picture", "default", "index", "thumbnail", "thumb", "download", "file", "original", "full", "large", "medium", "small", "unnamed", "media", "fetch",
+)
+CARRIES = "url|href|src|u|image"
+#: Segments of a path that only say how a picture is served: options joined by commas, or a version.
+OPTION = r"(?:\$s_![^!]*!|[a-z]{1,4}_[\w.:!%-]+|[a-z]+=[\w.:%-]+)"
+TRANSFORMS = rf"^(?:(?:resize|format|fit|crop|quality|q|w|h):.*|{OPTION}(?:,{OPTION})*|v\d)$"
+
+
+def decoded_path(path: Column) -> Column:
+    """A path with its escapes decoded; as it is if one is broken."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
 def inner_image(url: Column) -> Column:
     """The picture behind a proxy URL that carries it in its path or in ``url=``, up to four levels."""
     def inner(url: Column) -> Column:
         in_path = F.regexp_extract(url, r"^(?i)https?://[^/?#]+/[^?#]*?(https?(?:://?|%3a)[^?#]*)", 1)
-        in_query = F.regexp_extract(url, r"[?&](?:url|src|image)=((?i:https?)(?:%3[aA]|:)[^&#]*)", 1)
+        in_query = F.regexp_extract(url, rf"[?&](?:{CARRIES})=((?i:https?)(?:%3[aA]|:)[^&#]*)", 1)
         found = F.coalesce(F.nullif(in_path, F.lit("")), F.nullif(in_query, F.lit("")))
         plain = F.regexp_replace(F.replace(F.replace(F.replace(found, F.lit("%3A"), F.lit(":")), F.lit("%3a"), F.lit(":")), F.lit("%2F"), F.lit("/")), "%2f", "/")
         return F.coalesce(F.regexp_replace(plain, r"^(?i)(https?):/+", "$1://"), url)
@@ -136,18 +147,23 @@ def inner_image(url: Column) -> Column:
 
 
 def image_path(url: Column) -> Column:
-    """Host and path of a picture, without www., sizes in the path and query."""
+    """Host and path of a picture, decoded and in lower case, without www., what says how it is served, and query."""
 
     def key(inner: Column) -> Column:
-        path = F.regexp_replace(F.lower(path_of(inner)), r"/max/\d+(?=/)|/size/w\d+(?:h\d+)?(?=/)|/cdn-cgi/image/[^/]+(?=/)", "")
-        return F.concat(F.regexp_replace(host_of(inner), r"^www\.", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
+        path = F.regexp_replace(F.lower(decoded_path(path_of(inner))), r"/max/\d+(?=/)|/size/w\d+(?:h\d+)?(?=/)|/cdn-cgi/image/[^/]+(?=/)", "")
+
+        def told(parts: Column) -> Column:
+            return F.array_join(F.filter(parts, lambda p, i: (i == F.size(parts) - 1) | ~p.rlike(TRANSFORMS)), "/")
+
+        segments = F.filter(F.split(path, "/"), lambda p: p != "")
+        return F.concat(F.regexp_replace(host_of(inner), r"^www\.", ""), F.lit("/"), let(segments, told))
 
     return let(inner_image(url), key)
 
 
 def image_stem(url: Column) -> Column:
     """The file's name in lower case without endings and sizes; null if it says nothing."""
-    name = F.regexp_extract(F.lower(path_of(inner_image(url))), r"([^/]*)/*$", 1)
+    name = F.regexp_extract(F.lower(decoded_path(path_of(inner_image(url)))), r"([^/]*)/*$", 1)
     return let(F.regexp_replace(F.regexp_replace(name, EXTENSIONS, ""), SIZES, ""), lambda stem: F.when(~stem.isin(*GENERIC), stem))
 
 

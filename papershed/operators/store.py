@@ -1,14 +1,16 @@
-"""The library's tables as they are kept: records, captures, views, sessions, pictures, source health; written by bucket of the id."""
+"""The library's tables as they are kept: records, captures, views, sessions, pictures, source health."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papershed.operators.library import normal_tags
+from papershed.sources import versions
 
 ID = r"^[0-9a-f]{16}$"
-BUCKETS = 64
 SCHEMA_VERSION = 4
 LONGEST_TEXT, LONGEST_ABSTRACT, MAX_RELATED = 2000, 20_000, 50
 MAX_IMAGE_BYTES = 20 * 1024 * 1024
@@ -19,42 +21,20 @@ ISO_DATE = r"^\d{4}(?:-\d{2}(?:-\d{2}(?:T\S+)?)?)?$"
 ARTICLE_KINDS, PAPER_KINDS = ("webpage", "blogPost", "newsletter", "newsArticle"), ("preprint", "journalArticle", "conferencePaper")
 
 
-def bucket_of(id: Column) -> Column:
-    return F.pmod(F.xxhash64(id), F.lit(BUCKETS)).cast("int")
-
-
 def save(rows: DataFrame, path: str, key: list[str]) -> None:
-    """Writes rows over the stored ones with the same key, whole rows at a time.
+    """Puts rows over the stored ones with the same key, whole rows at a time; of several with one key the last by ``saved_at`` counts.
 
-    Rows lie in folders by a bucket of the first key. Only buckets that the new rows touch are read and written again, each
-    in one dynamic overwrite; the last of several rows with one key (by ``saved_at``) counts. The folder is a Parquet table.
+    The table is kept in versions (``sources.versions``): a save that is lost half way changes nothing, and readers never see half of one.
     """
-    spark = rows.sparkSession
-    new = rows.withColumn("bucket", bucket_of(F.col(key[0])))
-    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
-    if not touched:
-        return
-    try:
-        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-        new = old.unionByName(new, allowMissingColumns=True)
-    except Exception as e:  # the first save finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    last = Window.partitionBy(*key).orderBy(F.desc("saved_at"))
-    merged = new.withColumn("_nth", F.row_number().over(last)).filter("_nth = 1").drop("_nth")
-    # The overwritten buckets are read too, so the merged rows are written beside the table first.
-    staged = f"{path}-staged"
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    versions.save(rows, path, key)
 
 
 def load(spark: SparkSession, path: str, id: str | None = None) -> DataFrame:
-    """The stored rows, or those of one id; a malformed id has none. The bucket prunes the folders that are read."""
-    rows = spark.read.parquet(path)
+    """The stored rows, or those of one id; a malformed id has none. Of one id only its bucket is read."""
     if id is None:
-        return rows.drop("bucket")
-    known = F.lit(id).rlike(ID)
-    return rows.filter(known & (F.col("bucket") == bucket_of(F.lit(id))) & (F.col("id") == id)).drop("bucket")
+        return versions.load(spark, path)
+    found = versions.load(spark, path, key=("id", id))
+    return found if re.fullmatch(r"[0-9a-f]{16}", id) else found.limit(0)
 
 
 def with_capture(records: DataFrame, pages: DataFrame, keep_html: bool) -> DataFrame:
@@ -121,12 +101,13 @@ def patched_tags(tags: Column) -> Column:
 def health(syncs: DataFrame, by: str, order: str) -> DataFrame:
     """A source's state after its syncs (``ok, error``): failures in a row since the last success, the last success, the last error unless a success cleared it."""
     good = F.col("ok")
-    facts = syncs.groupBy(by).agg(
-        F.max(order).alias("last_sync"), F.max(F.when(good, F.col(order))).alias("last_success"), F.max_by("error", order).alias("error_now"), F.max_by("ok", order).alias("ok_now"),
-        F.collect_set(F.when(~good, F.col(order))).alias("_failed"),
+    since = F.max(F.when(good, F.col(order))).over(Window.partitionBy(by))
+    told = syncs.withColumn("_since", since)
+    failures = F.count_if(~good & (F.col("_since").isNull() | (F.col(order) > F.col("_since")))).cast("int")
+    facts = told.groupBy(by).agg(
+        F.max(order).alias("last_sync"), F.max("_since").alias("last_success"), F.max_by("error", order).alias("error_now"), F.max_by("ok", order).alias("ok_now"), failures.alias("failure_count"),
     )
-    failures = F.size(F.filter("_failed", lambda t: F.col("last_success").isNull() | (t > F.col("last_success"))))
-    return facts.select(by, "last_sync", "last_success", F.when(~F.col("ok_now"), F.col("error_now")).alias("last_error"), failures.alias("failure_count"))
+    return facts.select(by, "last_sync", "last_success", F.when(~F.col("ok_now"), F.col("error_now")).alias("last_error"), "failure_count")
 
 
 def views_after(views: Column, view: Column) -> Column:

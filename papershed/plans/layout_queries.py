@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papershed.operators import figures as G
 from papershed.operators import layout as L
 from papershed.sources.folders import kept
 from papershed.sources.tables import read
@@ -84,11 +85,35 @@ def layout_reports(spark, sf_dir):
     return L.report(L.judged(blocks, verdicts), pages, L.degraded_pages(runs))
 
 
-QUERIES = {f.__name__: f for f in (layout_lines, layout_columns, reading_order, layout_blocks, layout_reports)}
+def _with_figures(runs):
+    """Pages with a whole left column lose its lines 11 to 18 to a figure and have its caption as line 19."""
+    left = (F.col("seq") >= 0) & (F.col("x") < COLUMNS[1][0])
+    whole = runs.groupBy("doc", "page").agg(F.count_if(left).alias("n_left")).filter(F.col("n_left") == WORDS * LINES).select("doc", "page", F.lit(True).alias("whole"))
+    marked = runs.join(whole, ["doc", "page"], "left")
+    kept_runs = marked.filter(~(F.coalesce("whole", F.lit(False)) & left & F.col("y").between(60 + 10 * LEADING, 60 + 18 * LEADING))).drop("whole")
+    y = 60 + 18 * LEADING
+    caption = whole.select(
+        "doc", "page", F.lit(-2).alias("seq"), F.lit("Figure 1: What this page shows").alias("text"), F.lit(40.0).alias("x"), F.lit(y).alias("y"), F.lit(150.0).alias("w"), F.lit(SIZE).alias("h"),
+        F.lit(y + 8).alias("baseline"), F.lit(SIZE).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("rotated"),
+    )
+    return kept_runs.unionByName(caption)
+
+
+def figure_regions(spark, sf_dir):
+    """How many figures every document shows, each found by its caption and the empty space above it."""
+    placed = kept(L.placed_lines(_pages(_with_figures(_runs(spark, sf_dir)))), "doc", "page")
+    sizes = placed.groupBy("doc", F.col("size")).agg(F.sum(F.char_length("text")).alias("n")).groupBy("doc").agg(F.max_by("size", "n").alias("body_size"))
+    found = G.figure_regions(placed, sizes, WIDTH, 800.0)
+    return found.filter("kind = 'figure'").groupBy("doc").agg(F.count("*").alias("figures"), F.min(F.round("x", 3)).alias("x"), F.max(F.round(F.col("y") + F.col("h"), 3)).alias("bottom"))
+
+
+QUERIES = {f.__name__: f for f in (layout_lines, layout_columns, reading_order, layout_blocks, layout_reports, figure_regions)}
 
 WORDS_SQL = """w AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
     p AS (SELECT doc, w, unnest(range(0, (len(w) - 1) // 360 + 1)) AS page FROM w WHERE len(w) > 0), q AS (SELECT doc, page, w[page * 360 + 1 : page * 360 + 360] AS w FROM p)"""
 ORACLE_SQL = {
     "layout_lines": f"""WITH {WORDS_SQL} SELECT doc, CAST(page AS INTEGER) AS page, CAST(1 + (len(w) + 5) // 6 AS BIGINT) AS n_lines,
         CAST(length(array_to_string(w, '')) + len(w) - (len(w) + 5) // 6 + length('Part ' || (page + 1)) AS BIGINT) AS n_chars, 20.0::DOUBLE AS largest FROM q""",
+    "figure_regions": r"""WITH w AS (SELECT doc_id AS doc, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents)
+        SELECT doc, count(*) AS figures, 28.0::DOUBLE AS x, 292.0::DOUBLE AS bottom FROM w, range(0, 1000) r(p) WHERE n >= 360 * p + 180 GROUP BY doc""",
 }

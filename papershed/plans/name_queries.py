@@ -109,6 +109,7 @@ def image_keys(spark, sf_dir):
     src = _one_of(
         i, F.concat(plain, F.lit(".jpg")), F.concat(plain, F.lit("-1024x768.PNG?w=9")), F.concat(F.lit("https://img.example/image/fetch/w_9,c_limit/https%3A%2F%2Fwww.cdn.example.org%2Fa%2F"), word, F.lit("-"), i.cast("string"), F.lit(".webp")),
         F.concat(F.lit("https://next.example/_next/image?url=https%3A%2F%2Fcdn.example.org%2Fa%2F"), word, F.lit("-"), i.cast("string"), F.lit(".jpg&w=640")), "https://cdn.example.org/max/1400/image.png",
+        F.concat(F.lit("https://cdn.example.org/w_640,c_limit/v1/A/resize:fit/"), word, F.lit("-"), i.cast("string"), F.lit("%C3%89@2x.jpg")),
     )
     return read(spark, sf_dir, "pages").select("page_id", U.image_path(src).alias("path"), U.image_stem(src).alias("stem"))
 
@@ -227,8 +228,8 @@ ORACLE_SQL = {
         SELECT i AS page_id, CASE i % 7 WHEN 0 THEN 'https://www.' || lower(h) || '/story?id=' || i WHEN 2 THEN lower(folder) || '../a' WHEN 3 THEN regexp_extract(folder, '^([a-z]+:)', 1) || '//amp.' || lower(h) || '/x' END AS canonical FROM p""",
     "safe_links": """SELECT page_id, CASE page_id % 7 WHEN 0 THEN regexp_replace(url, '\\?.*$', '') WHEN 2 THEN 'mailto:' || regexp_extract(url, '//([^?]*)', 1) WHEN 4 THEN 'https://ex.org/?q=1' END AS link FROM pages""",
     "image_keys": """WITH p AS (SELECT page_id AS i, lower(regexp_extract(html, '<title>([A-Za-z]+)', 1)) || '-' || page_id AS w FROM pages)
-        SELECT i AS page_id, CASE i % 5 WHEN 0 THEN 'cdn.example.org/a/' || w || '.jpg' WHEN 1 THEN 'cdn.example.org/a/' || w || '-1024x768.png' WHEN 2 THEN 'cdn.example.org/a/' || w || '.webp' WHEN 3 THEN 'cdn.example.org/a/' || w || '.jpg'
-               ELSE 'cdn.example.org/image.png' END AS path, CASE WHEN i % 5 < 4 THEN w END AS stem FROM p""",
+        SELECT i AS page_id, CASE i % 6 WHEN 0 THEN 'cdn.example.org/a/' || w || '.jpg' WHEN 1 THEN 'cdn.example.org/a/' || w || '-1024x768.png' WHEN 2 THEN 'cdn.example.org/a/' || w || '.webp' WHEN 3 THEN 'cdn.example.org/a/' || w || '.jpg'
+               WHEN 5 THEN 'cdn.example.org/a/' || w || 'é@2x.jpg' ELSE 'cdn.example.org/image.png' END AS path, CASE WHEN i % 6 < 4 THEN w WHEN i % 6 = 5 THEN w || 'é' END AS stem FROM p""",
     "srcset_picks": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'b' || page_id || '.jpg' WHEN 1 THEN 'b' || page_id || '.png' WHEN 2 THEN 'https://x/w_1456,c_limit/a' || page_id END AS src FROM pages""",
     "embed_kinds": """SELECT page_id, (['video', 'video', 'audio', 'noise', 'frame'])[page_id % 5 + 1] AS kind, CASE page_id % 5 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, 'a')
         WHEN 1 THEN 'https://vimeo.com/' || page_id WHEN 2 THEN 'https://open.spotify.com/track/' || lpad(CAST(page_id AS VARCHAR), 11, 'a') WHEN 4 THEN url END AS page,
