@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HEAD_CHARS = 256 * 1024
-
 
 def meta_tags(html: Column) -> Column:
-    """array<struct<name, content>> of the meta tags in the first 256 Ki characters, in order."""
-    tags = F.regexp_extract_all(F.substring(html, 1, HEAD_CHARS), F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    """array<struct<name, content>> of a page's meta tags, in order."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
     attribute = lambda t, n: F.coalesce(*[F.nullif(F.regexp_extract(t, rf"(?is)\s{n}\s*=\s*{q}([^{e}]*){q}", 1), F.lit("")) for q, e in (('"', '"'), ("'", "'"))])
     pairs = F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"))).alias("name"), attribute(t, "content").alias("content")))
     return F.filter(pairs, lambda p: p["name"].isNotNull() & p["content"].isNotNull())
@@ -26,17 +24,17 @@ def first_meta(tags: Column, *names: str) -> Column:
 
 
 def title_of(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(F.substring(html, 1, HEAD_CHARS), r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
 def canonical_link(html: Column) -> Column:
-    tag = F.regexp_extract(F.substring(html, 1, HEAD_CHARS), r"(?is)<link\s[^>]*rel\s*=\s*[\"']canonical[\"'][^>]*>", 0)
+    tag = F.regexp_extract(html, r"(?is)<link\s[^>]*rel\s*=\s*[\"']canonical[\"'][^>]*>", 0)
     return F.nullif(F.regexp_extract(tag, r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
 
 
 def json_ld(html: Column) -> Column:
     """The JSON-LD blocks of a page, as text."""
-    return F.regexp_extract_all(F.substring(html, 1, HEAD_CHARS), F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
 
 
 def article_region(html: Column) -> Column:

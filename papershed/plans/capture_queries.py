@@ -92,7 +92,7 @@ def repaired_layers(spark, sf_dir):
 def annotations_export(spark, sf_dir):
     """Highlights of pages' words as Markdown."""
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("material"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), canonical_url(F.col("url")).alias("url"), F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), " ").alias("w"))
-    notes = pages.select("material", F.posexplode("w").alias("start", "quote")).filter("quote <> '' and start < 5").withColumn("id", -F.col("start")).withColumn("note", F.when(F.col("start") % 2 == 0, F.concat(F.lit("n"), F.col("start").cast("string"))))
+    notes = pages.select("material", F.posexplode("w").alias("start", "quote")).filter("quote <> ''").withColumn("id", -F.col("start")).withColumn("note", F.when(F.col("start") % 2 == 0, F.concat(F.lit("n"), F.col("start").cast("string"))))
     return C.annotations_markdown(pages, notes).select("material", F.md5("markdown").alias("md5"))
 
 

@@ -13,8 +13,8 @@ PHRASE_LIMIT = 2000
 def best_candidates(spark, sf_dir):
     """Each page address's best candidate: full before summary before external, then the first."""
     rows = read(spark, sf_dir, "documents").select("source", "doc_id", (F.col("doc_id") % 4 + 1).alias("rank"))
-    first = Window.partitionBy("source").orderBy(F.desc("rank"), "doc_id")
-    return rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("source", "doc_id", "rank")
+    best = F.max_by(F.struct("doc_id", "rank"), F.struct("rank", -F.col("doc_id")))
+    return rows.groupBy("source").agg(best.alias("b")).select("source", "b.doc_id", "b.rank")
 
 
 def occurrences(spark, sf_dir):

@@ -148,10 +148,10 @@ def judge_inputs(spark, sf_dir):
 def found_evidence(spark, sf_dir):
     """Quotes of documents with other white space and markup, true and made-up ones, looked up in the texts."""
     i = F.col("doc_id")
-    words = F.split("text", r"\s+")
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
     part = F.array_join(F.slice(words, 2, 8), "  ")
     quote = F.when(i % 3 == 0, part).when(i % 3 == 1, F.concat(F.lit("**"), part, F.lit("** …"))).otherwise(F.concat(part, F.lit(" never")))
-    docs = read(spark, sf_dir, "documents").filter(F.size(words) > 12)
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", R.evidence_occurs(quote, F.col("text")).alias("occurs"), R.find_text(quote).alias("find"), (F.char_length(R.prompt_context(F.col("text"), F.get(words, F.lit(5)), 100)) > 0).alias("has_context"), R.beyond_article(F.lit("missing_content"), F.concat(quote, F.when(i % 7 == 0, " © 2024").otherwise(""))).alias("beyond"))
 
 

@@ -100,11 +100,11 @@ def numbered(rows: DataFrame, by: str, order: str, parts: int = 64) -> DataFrame
     """Rows with ``nth``, their place (from 0) in their group, ``order`` being an integer that tells them apart.
 
     Only keys are ranked: in ranges of ``order`` within a group, with the counts of earlier ranges added. So no task
-    sorts a whole group, however large, and other columns don't travel.
+    sorts a whole group, however large, and other columns don't travel. Ranges end at quantiles, so that numbers far off don't put all in one.
     """
-    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    width = max(1, ((span["high"] or 0) - (span["low"] or 0)) // parts + 1)
-    dealt = rows.select(by, order).withColumn("_range", F.floor((F.col(order) - (span["low"] or 0)) / width))
+    ends = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 0.002)))
+    nth_range = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e < F.col(order))) if ends else F.lit(0)
+    dealt = rows.select(by, order).withColumn("_range", nth_range)
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy(by, "_range").agg(F.count("*").alias("n")).select(by, "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     nth = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)) - 1
