@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from papershed.functions import text
-from papershed.operators import inbox, library, reflow, turns
+from papershed.operators import inbox, library, reflow, store, turns
 from papershed.operators.quotes import anchors
 from papershed.streaming import library as streams
 
@@ -97,7 +97,7 @@ def test_stream_upserts_by_batch(spark, tmp_path):
         spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema("id int, v string").parquet(f"{tmp_path}/in")
         streams.upsert_batches(stream, f"{tmp_path}/out", ["id"])
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("id", "v").collect())) == [(1, "a"), (2, "B"), (3, "c")]
+    assert sorted(map(tuple, store.load(spark, f"{tmp_path}/out").select("id", "v").collect())) == [(1, "a"), (2, "B"), (3, "c")]
 
 
 def test_requests_stay_in_their_budget(spark):
