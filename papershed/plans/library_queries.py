@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from papershed.functions import text as X
 from papershed.functions import urls as U
+from papershed.operators import identity as I
 from papershed.operators import library as L
 from papershed.operators import turns as T
 from papershed.sources.tables import ITEMS_SQL, items, items_of, read
@@ -73,6 +74,18 @@ def identity_lookup(spark, sf_dir):
     return L.resolve(asked, known)
 
 
+def identified_pages(spark, sf_dir):
+    """Fetched pages, half of them under other URLs, found among every second one by URL, declared link, DOI or arXiv id."""
+    i = F.col("page_id")
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    doi, arxiv = F.concat(F.lit("10.1000/"), F.floor(i / 3).cast("string")), F.when(i % 5 == 1, F.concat(F.lit("2401."), F.lpad(F.floor(i / 10).cast("string"), 5, "0")))
+    none = F.lit(None).cast("string")
+    stored = pages.filter("page_id % 2 = 0").select(i.alias("id"), (i * 37 % 1009).alias("fetched_s"), I.record_keys(F.col("url"), none, F.array(F.concat(F.lit("https://alias.org/"), i.cast("string"))), none, doi, arxiv).alias("keys"))
+    final = F.when(i % 4 < 2, F.col("url")).otherwise(F.concat(F.lit("https://moved.org/"), i.cast("string")))
+    declared = F.when(i % 7 == 3, F.concat(F.lit("https://alias.org/"), (i - 1).cast("string")))
+    return I.identified(pages.select(i.alias("request_id"), I.page_keys(final, declared, F.when(i % 3 > 0, doi), arxiv).alias("keys")), stored)
+
+
 def missing_relations(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array(F.col("doc_id") * 3, F.col("doc_id") + F.col("doc_id") % 2).alias("related"))
     return L.missing_references(docs, "related", docs)
@@ -150,7 +163,7 @@ def storage_usage(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    tag_counts, tagged_items, library_search, library_titles, effective_metadata, canonical_urls, identity_lookup, missing_relations, freed_images,
+    tag_counts, tagged_items, library_search, library_titles, effective_metadata, canonical_urls, identity_lookup, identified_pages, missing_relations, freed_images,
     override_merge, artifact_versions, session_list, folded_turns, answered_calls, gists, comparison_keys, text_windows, overlapping_spans, storage_usage,
 )}
 
@@ -191,6 +204,11 @@ ORACLE_SQL = {
         r AS (SELECT page_id AS request_id, 0 AS p, 'url:' || CASE WHEN page_id % 3 <> 0 THEN canonical ELSE 'none' END AS key FROM c
               UNION ALL SELECT page_id, 1, 'slug:' || slug FROM c)
         SELECT request_id, id FROM r JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY p, f, id) = 1""",
+    "identified_pages": """WITH p AS (SELECT page_id AS i, url, '10.1000/' || (page_id // 3) AS doi, CASE WHEN page_id % 5 = 1 THEN '2401.' || lpad(CAST(page_id // 10 AS VARCHAR), 5, '0') END AS arxiv FROM pages),
+        k AS (SELECT i AS id, i * 37 % 1009 AS f, unnest(['url:' || url, 'url:https://alias.org/' || i, 'doi:' || doi, 'arxiv:' || arxiv]) AS key FROM p WHERE i % 2 = 0),
+        r AS (SELECT i, unnest([0, 3, 4, 5]) AS o, unnest(['url:' || CASE WHEN i % 4 < 2 THEN url ELSE 'https://moved.org/' || i END, CASE WHEN i % 7 = 3 THEN 'url:https://alias.org/' || (i - 1) END,
+                 CASE WHEN i % 3 > 0 THEN 'doi:' || doi END, 'arxiv:' || arxiv]) AS key FROM p)
+        SELECT r.i AS request_id, id FROM r JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY r.i ORDER BY o, f, id) = 1""",
     "missing_relations": """WITH d AS (SELECT doc_id AS id, unnest([doc_id * 3, doc_id + doc_id % 2]) AS ref FROM documents)
         SELECT DISTINCT id, ref FROM d WHERE id = ref OR ref NOT IN (SELECT doc_id FROM documents)""",
     "freed_images": """SELECT DISTINCT doc_id % 701 AS ref FROM documents WHERE doc_id % 3 = 0
