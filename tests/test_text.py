@@ -119,7 +119,7 @@ def test_bibtex(spark):
 
 
 def test_pictures(spark):
-    given = {"https://www.a.org/p/Photo-1024x768.JPG?w=1": ("a.org/p/photo-1024x768.jpg", "photo"), "https://s.com/image/fetch/w_1,c_2/https%3A%2F%2Fa.org%2Fp%2Fx.png": ("a.org/p/x.png", "x"), "https://n.com/_next/image?url=https%3A%2F%2Fa.org%2Fy.webp&w=9": ("a.org/y.webp", "y"), "https://a.org/max/1400/image.png": ("a.org/image.png", None)}
+    given = {"https://www.a.org/p/Photo-1024x768.JPG?w=1": ("a.org/p/photo-1024x768.jpg", None), "https://cdn.org/w_640,c_limit/v1/A%20b/resize:fit:9/Cat-300x200@2x.jpg": ("cdn.org/a b/cat-300x200@2x.jpg", "cat"), "https://a.org/%E0%A4%A/dog_thumb-scaled.png": ("a.org/%e0%a4%a/dog_thumb-scaled.png", "dog"), "https://s.com/image/fetch/w_1,c_2/https%3A%2F%2Fa.org%2Fp%2Fx.png": ("a.org/p/x.png", "x"), "https://n.com/_next/image?url=https%3A%2F%2Fa.org%2Fy.webp&w=9": ("a.org/y.webp", "y"), "https://a.org/max/1400/image.png": ("a.org/image.png", None)}
     assert list(zip(one(spark, U.image_path, *given), one(spark, U.image_stem, *given))) == list(given.values())
     sets = {"a.jpg 320w, b.jpg 640w": "b.jpg", "a.jpg, b.jpg 2x, c.jpg 2x": "b.jpg", "w_1,c_2/a.jpg 5w": "w_1,c_2/a.jpg", "a.jxl 9w, data:x 99w, b.png 1w": "b.png", "a.png 0w": None, "": None}
     assert one(spark, U.largest_in_srcset, *sets) == list(sets.values())
