@@ -37,7 +37,7 @@ def _atom(spark, sf_dir):
     )
     docs = read(spark, sf_dir, "documents").filter("text is not null and doc_id % 50 < 30")
     feeds = docs.groupBy("source", F.floor(i / 3000).alias("k")).agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("x")))).alias("e"))
-    return feeds.select(F.concat_ws("/", "source", "k").alias("feed_id"), F.concat(F.lit('<feed xml:lang="en-GB"><link href="https://e.org/" rel="alternate"/>'), F.array_join(F.transform("e", lambda e: e["x"]), ""), F.lit("</feed>")).alias("xml"))
+    return feeds.select(F.concat_ws("/", "source", "k").alias("feed_id"), F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom" xml:lang="en-GB"><link href="https://e.org/" rel="alternate"/>'), F.array_join(F.transform("e", lambda e: e["x"]), ""), F.lit("</feed>")).alias("xml"))
 
 
 def release_list(spark, sf_dir):

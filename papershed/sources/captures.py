@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papershed.functions.dates import atom_millis
-from papershed.functions.text import arxiv_id, collapsed, entities_decoded
+from papershed.functions.text import arxiv_id, collapsed
+from papershed.sources.feeds import ATOM, parsed
 
 HEAD_CHARS = 64 * 1024
 NEWEST_PAPERS, PAPER_MINUTES = 50, 20
@@ -35,35 +41,67 @@ def dropped_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return marked.select("id", "f.file", "f.media_type", F.coalesce("_known", F.lit(False)).alias("existing"))
 
 
-def _tag(entry: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(entry, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)), F.lit(""))
+ARXIV_SPACE = "{http://arxiv.org/schemas/atom}"
+
+
+def _from_entries(feeds: DataFrame, of: Callable[[ElementTree.Element], tuple], columns: str, most: int | None = None) -> DataFrame:
+    """``feed_id, problem, ord`` and what ``of`` gives for each entry of Atom documents ``feed_id, xml``, read strictly where they lie; a document
+    that can't be read, or is no Atom feed, is one row with its problem."""
+    kind = feeds.schema["feed_id"].dataType.simpleString()
+    names = ["feed_id", "problem", "ord", *(c.split()[0] for c in columns.split(", "))]
+    types = [pa.string(), pa.int32(), *(pa.list_(pa.string()) if c.split()[1].startswith("array") else pa.string() for c in columns.split(", "))]
+
+    def rows(xml: bytes | None) -> list[tuple]:
+        nothing = (None,) * (len(types) - 1)
+        try:
+            root = parsed(xml or b"")
+        except (expat.ExpatError, ValueError) as e:
+            return [("dtd" if "dtd" in str(e) else "malformed", *nothing)]
+        if root.tag != f"{ATOM}feed":
+            return [("no feed", *nothing)]
+        return [(None, k, *of(e)) for k, e in enumerate(root.findall(f"{ATOM}entry")[:most])]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i.as_py(), *r) for i, xml in zip(batch.column("feed_id"), batch.column("xml")) for r in rows(xml.as_py())]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * len(names), [batch.schema.field("feed_id").type, *types])]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return feeds.select("feed_id", F.col("xml").cast("binary").alias("xml")).mapInArrow(read, f"feed_id {kind}, problem string, ord int, {columns}")
+
+
+def _said(entry: ElementTree.Element, name: str) -> str:
+    node = entry.find(name)
+    return "".join(node.itertext()).strip() if node is not None else ""
 
 
-def _entries(xml: Column) -> Column:
-    return F.regexp_extract_all(xml, F.lit(r"(?s)<entry(?:\s[^>]*)?>(.*?)</entry>"), F.lit(1))
+def _release(entry: ElementTree.Element) -> tuple:
+    link = next((x.get("href") for x in entry.findall(f"{ATOM}link") if x.get("href")), None)
+    return _said(entry, f"{ATOM}id").rsplit("/", 1)[-1] or None, link, _said(entry, f"{ATOM}content"), _said(entry, f"{ATOM}updated")
 
 
 def releases(feeds: DataFrame) -> DataFrame:
-    """``feed_id, problem, tag, url, notes, published_ms`` of release lists ``feed_id, xml``; a list whose entries are all of no use is one row with its problem."""
-    listed = feeds.select("feed_id", _entries(F.col("xml")).alias("e"))
+    """``feed_id, problem, tag, url, notes, published_ms`` of release lists ``feed_id, xml``; a list that can't be read or whose entries are all of no use is one row with its problem."""
+    read = _from_entries(feeds, _release, "tag string, url string, notes string, updated string")
+    usable = F.col("tag").isNotNull() & F.col("url").isNotNull()
+    useless = read.groupBy("feed_id").agg(F.count_if(F.col("ord").isNotNull()).alias("n"), F.count_if(usable).alias("good")).filter("n > 0 and good = 0")
+    rows = read.filter(usable | F.col("problem").isNotNull()).select("feed_id", "problem", "tag", "url", "notes", atom_millis(F.col("updated")).alias("published_ms"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("tag", "string"), ("url", "string"), ("notes", "string"), ("published_ms", "bigint"))]
+    return rows.union(useless.select("feed_id", F.lit("no usable entry").alias("problem"), *none))
 
-    def release(e: Column) -> Column:
-        tag = F.nullif(F.regexp_extract(_tag(e, "id"), r"([^/]+)$", 1), F.lit(""))
-        link = F.nullif(F.regexp_extract(e, r'<link\b[^>]*\bhref="([^"]+)"', 1), F.lit(""))
-        return F.struct(tag.alias("tag"), link.alias("url"), entities_decoded(F.coalesce(_tag(e, "content"), F.lit(""))).alias("notes"), atom_millis(_tag(e, "updated")).alias("published_ms"))
 
-    found = listed.withColumn("r", F.filter(F.transform("e", release), lambda r: r["tag"].isNotNull() & r["url"].isNotNull()))
-    problem = F.when((F.size("e") > 0) & (F.size("r") == 0), "no usable entry")
-    return found.select("feed_id", problem.alias("problem"), F.explode_outer("r").alias("r")).select("feed_id", "problem", "r.*").filter("problem is not null or tag is not null")
+def _paper(entry: ElementTree.Element) -> tuple:
+    names = [" ".join(_said(a, f"{ATOM}name").split()) for a in entry.findall(f"{ATOM}author")]
+    category = entry.find(f"{ARXIV_SPACE}primary_category")
+    text = (" ".join(_said(entry, f"{ATOM}{n}").split()) for n in ("title", "summary"))
+    return _said(entry, f"{ATOM}id"), *text, [n for n in names if n], category.get("term") if category is not None else None
 
 
 def papers(listings: DataFrame) -> DataFrame:
-    """``feed_id, ord, arxiv_id, title, authors, abstract, category, minutes, math`` of the 50 newest entries of paper listings; ids without version."""
-    entries = listings.select("feed_id", F.posexplode(F.slice(_entries(F.col("xml")), 1, NEWEST_PAPERS)).alias("ord", "e"))
-    text = lambda name: collapsed(entities_decoded(_tag(F.col("e"), name)))
-    authors = F.filter(F.transform(F.regexp_extract_all("e", F.lit(r"(?s)<author(?:\s[^>]*)?>.*?<name>([^<]+)</name>.*?</author>"), F.lit(1)), lambda n: collapsed(entities_decoded(n))), lambda n: n != "")
-    category = F.nullif(F.regexp_extract("e", r'<arxiv:primary_category\b[^>]*\bterm="([^"]+)"', 1), F.lit(""))
-    return entries.select("feed_id", "ord", arxiv_id(_tag(F.col("e"), "id")).alias("arxiv_id"), text("title").alias("title"), authors.alias("authors"), text("summary").alias("abstract"), category.alias("category"), F.lit(PAPER_MINUTES).alias("minutes"), F.lit(True).alias("math"))
+    """``feed_id, ord, arxiv_id, title, authors, abstract, category, minutes, math`` of the 50 newest entries of paper listings; ids without version. A listing that can't be read has none."""
+    read = _from_entries(listings, _paper, "link string, title string, abstract string, authors array<string>, category string", NEWEST_PAPERS)
+    fixed = [F.lit(PAPER_MINUTES).alias("minutes"), F.lit(True).alias("math")]
+    return read.filter("problem is null").select("feed_id", "ord", arxiv_id(F.col("link")).alias("arxiv_id"), "title", "authors", "abstract", F.nullif("category", F.lit("")).alias("category"), *fixed)
 
 
 def feed_language(text: Column) -> Column:
