@@ -154,7 +154,7 @@ def fit(docs: DataFrame, held_out: Column) -> Filters:
 
 
 def language(filters: Filters, text: Column) -> Column:
-    """struct<lang_pred, score> of a text column; ``und`` and 0 for null and for texts without a letter. Equal texts have equal results."""
+    """struct<lang_pred, score> of a text column; ``und`` and 0 for null and for texts without a letter. Texts of any length are read whole; equal texts have equal results."""
     from pyspark.sql import SparkSession
 
     shared = SparkSession.active().sparkContext.broadcast(filters)

@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> Lexicon:
 
 
 def toxicity(lexicon: Lexicon, text: Column) -> Column:
-    """The score of a text column, 0 to 1; a null or empty text has the score of a text without any entry. Equal texts score the same."""
+    """The score of a text column, 0 to 1; a null or empty text has the score of a text without any entry. Texts of any length are read whole; equal texts score the same."""
     shared = SparkSession.active().sparkContext.broadcast(Lexicon(lexicon.entries, lexicon.exceptions, lexicon.curve))
 
     @F.pandas_udf("double")
