@@ -1,4 +1,4 @@
-"""Every query with SQL gives DuckDB's rows; every other one runs and has a brute-force test."""
+"""Every query with SQL gives DuckDB's rows; of every other one only that it runs is tested here, its operators are in the other files."""
 
 import duckdb
 import pandas as pd
