@@ -204,7 +204,7 @@ ORACLE_SQL = {
         r AS (SELECT page_id AS request_id, 0 AS p, 'url:' || CASE WHEN page_id % 3 <> 0 THEN canonical ELSE 'none' END AS key FROM c
               UNION ALL SELECT page_id, 1, 'slug:' || slug FROM c)
         SELECT request_id, id FROM r JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY p, f, id) = 1""",
-    "identified_pages": """WITH p AS (SELECT page_id AS i, url, '10.1000/' || (page_id // 3) AS doi, CASE WHEN page_id % 5 = 1 THEN '2401.' || lpad(CAST(page_id // 10 AS VARCHAR), 5, '0') END AS arxiv FROM pages),
+    "identified_pages": """WITH p AS (SELECT page_id AS i, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](utm_[a-z]+|ref)=[^&]*', '', 'g') AS url, '10.1000/' || (page_id // 3) AS doi, CASE WHEN page_id % 5 = 1 THEN '2401.' || lpad(CAST(page_id // 10 AS VARCHAR), 5, '0') END AS arxiv FROM pages),
         k AS (SELECT i AS id, i * 37 % 1009 AS f, unnest(['url:' || url, 'url:https://alias.org/' || i, 'doi:' || doi, 'arxiv:' || arxiv]) AS key FROM p WHERE i % 2 = 0),
         r AS (SELECT i, unnest([0, 3, 4, 5]) AS o, unnest(['url:' || CASE WHEN i % 4 < 2 THEN url ELSE 'https://moved.org/' || i END, CASE WHEN i % 7 = 3 THEN 'url:https://alias.org/' || (i - 1) END,
                  CASE WHEN i % 3 > 0 THEN 'doi:' || doi END, 'arxiv:' || arxiv]) AS key FROM p)
