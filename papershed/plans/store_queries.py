@@ -97,7 +97,7 @@ def image_cache(spark, sf_dir):
     types = F.get(F.array(F.lit("image/png"), F.lit("text/html"), F.lit("image/svg+xml"), F.lit("image/x-icon")), (i % 4).cast("int"))
     fetched = read(spark, sf_dir, "pages").select("page_id", "url", types.alias("media_type"), F.encode("html", "UTF-8").alias("bytes"))
     left = S.forgotten(S.cached_images(fetched), fetched.filter("page_id % 8 = 0").select("url"))
-    return left.select("key", "media_type", F.octet_length("bytes").alias("n_bytes"))
+    return left.select("key", "media_type", F.octet_length("bytes").alias("n_bytes")).distinct()
 
 
 def captures(spark, sf_dir):
