@@ -26,3 +26,8 @@ PAGES, DOCUMENTS = "page_id long, url string, html string", "doc_id long, text s
 def test_an_address_with_several_pictures_keeps_each(spark, tmp_path):
     pages = [(2, "http://a.org/x", "one"), (6, "http://a.org/x", "three"), (10, "http://a.org/x", "three"), (4, "http://a.org/y", "é"), (8, "http://a.org/z", "z"), (14, "http://a.org/z", "zz")]
     assert len(same_rows(spark, tmp_path, "image_cache", pages=(PAGES, pages))) == 3
+
+
+def test_releases_under_one_tag_stay_releases(spark, tmp_path):
+    docs = [(i, "text", "en", "s", 4) for i in (10000, 100000, 100001, 100002, 7)]
+    assert len(same_rows(spark, tmp_path, "release_list", documents=(DOCUMENTS, docs))) == 5
