@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s   -     　﻿]+"
 GIST_MOST, GIST_LEAST = 300, 100
 WORDS_A_MINUTE, CJK_A_MINUTE = 240, 400
+#: Characters whose capitals are several characters, and the one that stands for each.
+WIDENED = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1}
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
@@ -19,6 +21,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def capitals(text: Column) -> Column:
+    """The text in capitals, a character for each, so that places in it stay."""
+    wide = "".join(WIDENED)
+    parts = F.split(text, f"(?<=[{wide}])|(?=[{wide}])")
+    each = F.transform(parts, lambda p: F.when(p.rlike(f"[{wide}]"), F.translate(p, wide, "".join(WIDENED.values()))).otherwise(F.upper(p)))
+    return F.when(text.rlike(f"[{wide}]"), F.array_join(each, "")).otherwise(F.upper(text))
+
+
 def collapsed(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE, " "))

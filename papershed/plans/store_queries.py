@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from papershed.functions.text import capitals
 from papershed.operators import review as R
 from papershed.operators import store as S
 from papershed.sources.folders import new_folder
@@ -193,7 +194,7 @@ def mirrored_notes(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("material"), "text", words.alias("w"))
     quote = F.array_join(F.slice("w", 3, 3), " ")
     notes = docs.filter(F.size("w") >= 6).select("material", F.lit(1).alias("id"), F.lit("reader").alias("view"), quote.alias("quote"), F.lit(7).alias("start"), F.lit(9).alias("stop"))
-    other = F.when(F.col("material") % 2 == 0, F.array_join(F.slice("w", 2, 9), " ")).otherwise(F.upper("text"))
+    other = F.when(F.col("material") % 2 == 0, F.array_join(F.slice("w", 2, 9), " ")).otherwise(capitals(F.col("text")))
     views = docs.select("material", F.lit("reader").alias("view"), "text").unionByName(docs.select("material", F.lit("text").alias("view"), other.alias("text")))
     return R.mirrored(notes, views).select("material", "shown", "start", "stop")
 

@@ -31,3 +31,9 @@ def test_an_address_with_several_pictures_keeps_each(spark, tmp_path):
 def test_releases_under_one_tag_stay_releases(spark, tmp_path):
     docs = [(i, "text", "en", "s", 4) for i in (10000, 100000, 100001, 100002, 7)]
     assert len(same_rows(spark, tmp_path, "release_list", documents=(DOCUMENTS, docs))) == 5
+
+
+def test_notes_keep_their_places_in_capitals(spark, tmp_path):
+    texts = ["straße süß 1 2 3 x", "ﬁ ß AB CD EF g", "ŉ ᾳ ǰ Ω 2 ΐ", "a b ẞ 1 2 c", "ß b c d e f"]
+    rows = same_rows(spark, tmp_path, "mirrored_notes", documents=(DOCUMENTS, [(2 * k + 1, t, "de", "s", len(t)) for k, t in enumerate(texts)]))
+    assert len([r for r in rows if "text" in r]) == 4 and any({"text", 11, 16} < set(r) for r in rows)
