@@ -37,3 +37,10 @@ def test_notes_keep_their_places_in_capitals(spark, tmp_path):
     texts = ["straße süß 1 2 3 x", "ﬁ ß AB CD EF g", "ŉ ᾳ ǰ Ω 2 ΐ", "a b ẞ 1 2 c", "ß b c d e f"]
     rows = same_rows(spark, tmp_path, "mirrored_notes", documents=(DOCUMENTS, [(2 * k + 1, t, "de", "s", len(t)) for k, t in enumerate(texts)]))
     assert len([r for r in rows if "text" in r]) == 4 and any({"text", 11, 16} < set(r) for r in rows)
+
+
+CUT = (28, "http://a.org/c", "<html><head><title>A &amp</title></head><body><article><h1>A &amp</h1><p>One &amp; two &copy; AT&T &lt;b&gt;.</p></article></body></html>")
+
+
+def test_references_cut_short_are_text(spark, tmp_path):
+    same_rows(spark, tmp_path / "s", "page_content_stats", pages=(PAGES, [CUT]))
