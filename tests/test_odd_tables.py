@@ -44,3 +44,7 @@ CUT = (28, "http://a.org/c", "<html><head><title>A &amp</title></head><body><art
 
 def test_references_cut_short_are_text(spark, tmp_path):
     same_rows(spark, tmp_path / "s", "page_content_stats", pages=(PAGES, [CUT]))
+
+
+def test_references_cut_short_are_text_in_rewritten_pages(spark, tmp_path):
+    same_rows(spark, tmp_path / "r", "rewritten_pages", pages=(PAGES, [CUT]))
