@@ -6,6 +6,11 @@ each page, so a document's runs are shuffled once by page and its pages once by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,35 +34,100 @@ def degraded_pages(runs: DataFrame) -> DataFrame:
     return sums.filter((F.col("chars") == 0) | (F.col("bad") > REPLACED * F.col("chars")) | ((F.col("chars") >= CHECKED_CHARS) & (F.col("chars") > LONG_TOKENS * F.greatest("tokens", F.lit(1))))).select("doc", "page")
 
 
-def lines(runs: DataFrame) -> DataFrame:
-    """``doc, page, text, x, y, right, bottom, baseline, size, bold``: runs whose baselines are within 0.4 of their size, cut where a gap is wider than a cell's."""
-    page = Window.partitionBy("doc", "page")
-    upright = runs.filter("not rotated and trim(text) <> ''")
-    order = page.orderBy("baseline", "x", "seq")
-    apart = F.abs(F.col("baseline") - F.lag("baseline").over(order)) > BASELINE * F.greatest("size", F.lag("size").over(order))
-    clustered = upright.withColumn("cluster", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
-    across = Window.partitionBy("doc", "page", "cluster").orderBy("x", "seq")
-    reached = F.max(F.col("x") + F.col("w")).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    cut = F.col("x") - reached > CELL_GAP * F.greatest("size", F.lag("size").over(across))
-    cells = clustered.withColumn("gap", F.col("x") - reached).withColumn("cell", F.sum(F.coalesce(cut, F.lit(True)).cast("int")).over(across))
-    by_size = F.max_by("size", F.struct("chars", "size"))
-    sized = cells.withColumn("chars", F.sum(F.char_length("text")).over(Window.partitionBy("doc", "page", "cluster", "cell", "size")))
-    part = F.struct("x", "seq", F.concat(F.when(F.col("gap") > WORD_GAP * F.col("size"), " ").otherwise(""), F.col("text")).alias("text"))
-    joined = F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), ""), r"\s+", " "))
-    return sized.groupBy("doc", "page", "cluster", "cell").agg(
-        joined.alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"),
-        F.min_by("baseline", F.struct("x", "seq")).alias("baseline"), by_size.alias("size"), (F.sum(F.when(F.col("bold"), F.char_length("text")).otherwise(0)) >= BOLD_SHARE * F.sum(F.char_length("text"))).alias("bold"),
-    ).drop("cluster", "cell")
+LINE = "array<struct<y: double, x: double, right: double, bottom: double, baseline: double, size: double, bold: boolean, text: string>>"
+
+
+def _starts(*columns: pa.Array) -> np.ndarray:
+    """Where rows begin that agree in all columns with those after them; nulls are equal."""
+    return np.unique(np.concatenate([np.r_[0, pc.run_end_encode(c).run_ends.to_numpy()[:-1]] for c in columns])).astype(np.int64)
+
+
+def _lines(runs: pa.Table) -> pa.RecordBatch:
+    """The lines of whole pages of runs, an array for each page."""
+    first = _starts(*(runs.column(c).combine_chunks() for c in ("doc", "page")))
+    page = np.repeat(np.arange(len(first)), np.diff(np.r_[first, runs.num_rows]))
+    number = {c: runs.column(c).to_numpy() for c in ("seq", "x", "y", "w", "h", "baseline", "size", "bold")}
+    edge = lambda key: np.r_[True, key[1:] != key[:-1]]
+    larger = lambda v: np.maximum(v, np.r_[v[:1], v[:-1]])
+    # Runs on one baseline
+    order = np.lexsort((number["seq"], number["x"], number["baseline"], page))
+    base, size = number["baseline"][order], number["size"][order]
+    cluster = np.empty(len(order), np.int64)
+    cluster[order] = np.cumsum(edge(page[order]) | (np.abs(np.diff(base, prepend=base[:1])) > BASELINE * larger(size)))
+    # Cells of a line, from left to right: the farthest that runs before reach is found by ranks, so that it stays exact
+    order = np.lexsort((number["seq"], number["x"], cluster))
+    v = {c: a[order] for c, a in number.items()} | {"page": page[order]}
+    right, new = v["x"] + v["w"], edge(cluster[order])
+    by_right = np.argsort(right, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[by_right] = np.arange(len(order))
+    reach = right[by_right[np.maximum.accumulate(np.cumsum(new) * len(order) + rank) % len(order)]]
+    gap = v["x"] - np.r_[reach[:1], reach[:-1]]
+    cut = new | (gap > CELL_GAP * larger(v["size"]))
+    at, cell = np.flatnonzero(cut), np.cumsum(cut) - 1
+    # What a line is
+    text = runs.column("text").combine_chunks().take(pa.array(order))
+    chars = pc.utf8_length(text).to_numpy().astype(np.int64)
+    parts = pc.binary_join_element_wise(pa.array(np.where(~new & (gap > WORD_GAP * v["size"]), " ", "")), text, "")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, len(order)], pa.int32()), parts), "")
+    joined = pc.utf8_trim(pc.replace_substring_regex(joined, "[ \\t\\n\\x0b\\f\\r]+", " "), " ")
+    sized = np.lexsort((v["size"], cell))
+    group = np.flatnonzero(edge(cell[sized]) | edge(v["size"][sized]))
+    weight, of, height = np.add.reduceat(chars[sized], group), cell[sized][group], v["size"][sized][group]
+    heaviest = np.lexsort((height, weight, of))
+    of_cell = height[heaviest][np.r_[np.flatnonzero(edge(of[heaviest]))[1:], len(of)] - 1]
+    bold = np.add.reduceat(np.where(v["bold"].astype(bool), chars, 0), at) >= BOLD_SHARE * np.add.reduceat(chars, at)
+    line = {
+        "y": np.minimum.reduceat(v["y"], at), "x": np.minimum.reduceat(v["x"], at), "right": np.maximum.reduceat(right, at), "bottom": np.maximum.reduceat(v["y"] + v["h"], at),
+        "baseline": v["baseline"][at], "size": of_cell, "bold": bold,
+    }
+    down = np.lexsort((*reversed(list(line.values())), v["page"][at]))
+    fields = [pa.array(a[down]) for a in line.values()] + [joined.take(pa.array(down))]
+    ends = np.r_[np.flatnonzero(edge(v["page"][at][down])), len(down)]
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, [*line, "text"]))
+    own = pa.array(first)
+    return pa.RecordBatch.from_arrays([*(runs.column(c).combine_chunks().take(own) for c in ("doc", "page")), lists], ["doc", "page", "l"])
+
+
+def page_lines(runs: DataFrame, together: bool = False) -> DataFrame:
+    """``doc, page, l``: the lines of each page, top down (fields of LINE): runs whose baselines are within 0.4 of their size, cut where a gap is wider than a cell's.
+
+    Runs are dealt by page, unless those of a page lie ``together`` already, one after the other. A task holds the runs of a batch and of one page. Positions aren't null.
+    """
+    upright = runs.filter("not rotated and trim(text) <> ''").select("doc", "page", "seq", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "baseline", "size")], F.coalesce("bold", F.lit(False)).alias("bold"))
+    dealt = upright if together else upright.repartition("doc", "page").sortWithinPartitions("doc", "page")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []
+        for batch in batches:
+            now = pa.concat_tables([*rest, pa.Table.from_batches([batch])]) if batch.num_rows else None
+            if now is None:
+                continue
+            last = int(_starts(*(now.column(c).combine_chunks() for c in ("doc", "page")))[-1])
+            if last:
+                yield _lines(now.slice(0, last))
+            rest = [now.slice(last)]
+        if rest:
+            yield _lines(rest[0])
+
+    kind = {c: runs.schema[c].dataType.simpleString() for c in ("doc", "page")}
+    return dealt.mapInArrow(run, f"doc {kind['doc']}, page {kind['page']}, l {LINE}")
+
+
+def lines(runs: DataFrame, together: bool = False) -> DataFrame:
+    """``doc, page, text, x, y, right, bottom, baseline, size, bold``: the lines of ``page_lines``, a row each."""
+    return page_lines(runs, together).select("doc", "page", F.inline("l")).select("doc", "page", "text", "x", "y", "right", "bottom", "baseline", "size", "bold")
 
 
 def pages_of(rows: DataFrame, width: float) -> DataFrame:
     """``doc, page, l, gaps, left, right, columns``: the lines of a page, top down, and the gaps between its columns.
 
     A gap is a run of 1/200 parts of the text's width that narrow lines hardly cover, with parts that they cover well on both sides;
-    the two widest count.
+    the two widest count. Rows are lines or, with ``l``, the pages of ``page_lines``.
     """
     line = F.struct("y", "x", "right", "bottom", "baseline", "size", "bold", "text")
-    grouped = rows.groupBy("doc", "page").agg(F.array_sort(F.collect_list(line)).alias("l"), F.min("x").alias("left"), F.max("right").alias("right"))
+    grouped = rows if "l" in rows.columns else rows.groupBy("doc", "page").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    grouped = grouped.withColumn("left", F.array_min(F.transform("l", lambda e: e["x"]))).withColumn("right", F.array_max(F.transform("l", lambda e: e["right"])))
     text_width = F.col("right") - F.col("left")
     w = lambda e: e["right"] - e["x"]
     h = lambda e: e["bottom"] - e["y"]

@@ -78,3 +78,17 @@ def test_no_word_is_lost_in_blocks(spark, set_texts):
     for doc, w in words.items():
         heads = sum(len(f"Part{k + 1}") for k in range(-(-len(w) // 360)))
         assert found.get(doc, 0) == len("".join(w).replace("-", "")) + heads
+
+
+def test_runs_that_lie_together_stay_where_they_are(spark, set_texts):
+    docs, _ = set_texts
+    there = L.page_lines(Q.runs_of(docs), together=True)
+    assert "Exchange hashpartitioning" not in there._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r["doc"], r["page"], r["text"], r["x"], r["y"]) for r in L.lines(Q.runs_of(docs).repartition(3)).collect())
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # pages of 361 runs span batches
+    try:
+        found = sorted((r["doc"], r["page"], r["text"], r["x"], r["y"]) for r in there.select("doc", "page", F.inline("l")).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert found == want and len(found) > 500
