@@ -198,6 +198,14 @@ def ends_sentence(text: Column) -> Column:
     return text.rlike(SENTENCE_END)
 
 
+def glued(texts: Column) -> Column:
+    """Texts of lines as one, each looked at once: a hyphen at a line's end goes where a small letter follows, and joins without a space elsewhere."""
+    hyphen = "[-‐]$"
+    small = lambda t: t.rlike(r"^\p{Ll}")
+    part = lambda t, after: F.when(after.isNull(), t).when(~t.rlike(hyphen), F.concat(t, F.lit(" "))).when(small(after), F.regexp_replace(t, hyphen, "")).otherwise(t)
+    return let(texts, lambda known: F.array_join(F.transform(known, lambda t, i: part(t, F.get(known, i + 1))), ""))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """``doc, block, page, kind, depth, text, size, bold, n_lines``: paragraphs, list items and headings in reading order, paragraphs that stop
     in the middle of a sentence at a column's or page's foot joined with what goes on.
@@ -205,10 +213,11 @@ def blocks(rows: DataFrame) -> DataFrame:
     A paragraph starts at a wide leading, another size or weight, a list mark, an indent or after a short line that ends a sentence, and in
     another column or page. A heading is set 1.15 times the body's size, or numbered and 1.05 times, or bold, short and without a full stop.
     """
-    body = rows.withColumn("half", F.floor(F.col("size") * 2 + 0.5) / 2).groupBy("doc", "half").agg(F.sum(F.char_length("text")).alias("weight")).groupBy("doc").agg(F.max_by("half", F.struct("weight", "half")).alias("body"))
     flow = Window.partitionBy("doc").orderBy("page", "nth")
     column = Window.partitionBy("doc", "page", "column")
-    known = rows.join(body, "doc").withColumn("l_left", F.min("x").over(column)).withColumn("l_right", F.max("right").over(column))
+    halves = rows.withColumn("half", F.floor(F.col("size") * 2 + 0.5) / 2).withColumn("weight", F.sum(F.char_length("text")).over(Window.partitionBy("doc", "half")))
+    body = F.max_by("half", F.struct("weight", "half")).over(Window.partitionBy("doc"))
+    known = halves.withColumn("body", body).drop("half", "weight").withColumn("l_left", F.min("x").over(column)).withColumn("l_right", F.max("right").over(column))
     before = lambda c: F.lag(c).over(flow)
     same_place = (before("page") == F.col("page")) & (before("column") == F.col("column")) & (before("band") == F.col("band"))
     close = lambda a, b: F.abs(a - b) <= SIZE_TOLERANCE * F.greatest(a, b)
@@ -220,10 +229,9 @@ def blocks(rows: DataFrame) -> DataFrame:
     new = ~F.coalesce(same_place, F.lit(False)) | set_apart | (plain & ended & (indented | short))
     cut = known.withColumn("piece", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(flow))
     parts = F.array_sort(F.collect_list(F.struct("page", "nth", "text")))
-    glued = F.aggregate(F.transform(parts, lambda p: p["text"]), F.lit(""), lambda acc, t: F.when(acc == "", t).when(acc.rlike("[-‐]$") & t.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(acc, "[-‐]$", ""), t)).when(acc.rlike("[-‐]$"), F.concat(acc, t)).otherwise(F.concat(acc, F.lit(" "), t)))
     first, last = F.struct("page", "nth"), F.struct("page", "nth")
     pieces = cut.groupBy("doc", "piece").agg(
-        glued.alias("text"), F.min("page").alias("page"), F.max("size").alias("size"), F.bool_and("bold").alias("bold"), F.count("*").alias("n_lines"), F.any_value("body").alias("body"),
+        glued(F.transform(parts, lambda p: p["text"])).alias("text"), F.min("page").alias("page"), F.max("size").alias("size"), F.bool_and("bold").alias("bold"), F.count("*").alias("n_lines"), F.any_value("body").alias("body"),
         F.min_by(F.col("x") - F.col("l_left") >= INDENT_EMS * F.col("size"), first).alias("indented"), F.max_by(F.col("right") >= F.col("l_right") - SHORT_EMS * F.col("size"), last).alias("full_last"),
     )
     order = Window.partitionBy("doc").orderBy("piece")
@@ -239,8 +247,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     dotted = F.regexp_extract("text", NUMBERED, 1)
     depth = F.when(dotted != "", F.least(F.size(F.split(dotted, r"\.")), F.lit(3))).otherwise(2)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"])
-    whole = F.aggregate(texts, F.lit(""), lambda acc, t: F.when(acc == "", t).when(acc.rlike("[-‐]$") & t.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(acc, "[-‐]$", ""), t)).otherwise(F.concat(acc, F.lit(" "), t)))
-    grouped = merged.groupBy("doc", "block").agg(F.min("page").alias("page"), F.min_by("kind", "piece").alias("kind"), whole.alias("text"), F.max("size").alias("size"), F.bool_and("bold").alias("bold"), F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_pieces"))
+    grouped = merged.groupBy("doc", "block").agg(F.min("page").alias("page"), F.min_by("kind", "piece").alias("kind"), glued(texts).alias("text"), F.max("size").alias("size"), F.bool_and("bold").alias("bold"), F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_pieces"))
     return grouped.withColumn("depth", F.when(F.col("kind") == "heading", depth))
 
 
