@@ -6,8 +6,6 @@ each page, so a document's runs are shuffled once by page and its pages once by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papershed.functions.text import let
+from papershed.operators.batches import edge, starts, whole
 
 
 # Tolerances of lines, columns and blocks, in shares of sizes and widths.
@@ -37,17 +36,11 @@ def degraded_pages(runs: DataFrame) -> DataFrame:
 LINE = "array<struct<y: double, x: double, right: double, bottom: double, baseline: double, size: double, bold: boolean, text: string>>"
 
 
-def _starts(*columns: pa.Array) -> np.ndarray:
-    """Where rows begin that agree in all columns with those after them; nulls are equal."""
-    return np.unique(np.concatenate([np.r_[0, pc.run_end_encode(c).run_ends.to_numpy()[:-1]] for c in columns])).astype(np.int64)
-
-
 def _lines(runs: pa.Table) -> pa.RecordBatch:
     """The lines of whole pages of runs, an array for each page."""
-    first = _starts(*(runs.column(c).combine_chunks() for c in ("doc", "page")))
+    first = starts(runs, ("doc", "page"))
     page = np.repeat(np.arange(len(first)), np.diff(np.r_[first, runs.num_rows]))
     number = {c: runs.column(c).to_numpy() for c in ("seq", "x", "y", "w", "h", "baseline", "size", "bold")}
-    edge = lambda key: np.r_[True, key[1:] != key[:-1]]
     larger = lambda v: np.maximum(v, np.r_[v[:1], v[:-1]])
     # Runs on one baseline
     order = np.lexsort((number["seq"], number["x"], number["baseline"], page))
@@ -97,21 +90,8 @@ def page_lines(runs: DataFrame, together: bool = False) -> DataFrame:
     upright = runs.filter("not rotated and trim(text) <> ''").select("doc", "page", "seq", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "baseline", "size")], F.coalesce("bold", F.lit(False)).alias("bold"))
     dealt = upright if together else upright.repartition("doc", "page").sortWithinPartitions("doc", "page")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.Table] = []
-        for batch in batches:
-            now = pa.concat_tables([*rest, pa.Table.from_batches([batch])]) if batch.num_rows else None
-            if now is None:
-                continue
-            last = int(_starts(*(now.column(c).combine_chunks() for c in ("doc", "page")))[-1])
-            if last:
-                yield _lines(now.slice(0, last))
-            rest = [now.slice(last)]
-        if rest:
-            yield _lines(rest[0])
-
     kind = {c: runs.schema[c].dataType.simpleString() for c in ("doc", "page")}
-    return dealt.mapInArrow(run, f"doc {kind['doc']}, page {kind['page']}, l {LINE}")
+    return dealt.mapInArrow(lambda batches: whole(batches, ("doc", "page"), _lines), f"doc {kind['doc']}, page {kind['page']}, l {LINE}")
 
 
 def lines(runs: DataFrame, together: bool = False) -> DataFrame:

@@ -2,52 +2,69 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papershed.operators.batches import edge, starts, whole
+
 PAGE_LINES, LINE_WORDS = 40, 8
 
 
 def runs_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One run for each word of a document on a grid, with a running head and page numbers.
+    """One run for each word of a document on a grid, with a running head and page numbers; the runs of a page lie together.
 
-    ``doc, page, seq, text, x, y, size``; y grows downwards, from 0 to 1 on each page.
+    ``doc, page, seq, text, x, y, size``; y grows downwards, from 0 to 1 on each page. Splitting can leave an empty first or last part.
     """
-    words = docs.select("doc_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "text")).filter("text != ''")
     per_page = PAGE_LINES * LINE_WORDS
-    line = F.floor(F.col("i") % per_page / LINE_WORDS)
-    body = words.select(
-        F.col("doc_id").alias("doc"), F.floor(F.col("i") / per_page).cast("int").alias("page"), F.col("i").alias("seq"), "text",
-        (F.col("i") % LINE_WORDS).cast("int").alias("x"), (line + 2).cast("int").alias("y"),
-        F.when(line % 10 == 0, 14.0).otherwise(10.0).alias("size"),
-    )
-    heads = _pages(docs, per_page)
-    head = heads.select("doc", "page", F.lit(-2).alias("seq"), F.lit("Head").alias("text"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(8.0).alias("size"))
-    number = heads.select("doc", "page", F.lit(-1).alias("seq"), F.col("page").cast("string").alias("text"), F.lit(4).alias("x"), F.lit(PAGE_LINES + 3).alias("y"), F.lit(8.0).alias("size"))
-    return body.unionByName(head).unionByName(number)
-
-
-def _pages(docs: DataFrame, per_page: int) -> DataFrame:
-    """``doc, page`` of every page, from the number of words; splitting can leave an empty first or last part."""
     parts = docs.select("doc_id", F.split(F.trim("text"), r"\s+").alias("w"))
     first = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0)
     last = F.size("w") - 1 - F.when(F.get("w", F.size("w") - 1) == "", 1).otherwise(0)
-    some = parts.select(F.col("doc_id").alias("doc"), first.alias("first"), last.alias("last")).filter("last >= first")
-    return some.select("doc", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / per_page).cast("int"))).alias("page"))
+    some = parts.select(F.col("doc_id").alias("doc"), "w", first.alias("first"), last.alias("last")).filter("last >= first")
+    pages = some.select("doc", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / per_page).cast("int"))).alias("page"), "w")
+    shown = pages.select("doc", "page", F.posexplode(F.concat(F.array(F.lit("Head"), F.col("page").cast("string")), F.slice("w", F.col("page") * per_page + 1, F.lit(per_page)))).alias("k", "text"))
+    # Place 0 is the head, place 1 the number, then come the words
+    at, head, number = F.col("k") - 2, F.col("k") == 0, F.col("k") == 1
+    line = F.floor(at / LINE_WORDS).cast("int")
+    by = lambda of_head, of_number, of_word: F.when(head, of_head).when(number, of_number).otherwise(of_word)
+    return shown.filter((F.col("k") < 2) | (F.col("text") != "")).select(
+        "doc", "page", by(-2, -1, F.col("page") * per_page + at).alias("seq"), "text", by(0, 4, at % LINE_WORDS).alias("x"), by(0, PAGE_LINES + 3, line + 2).alias("y"),
+        by(8.0, 8.0, F.when(line % 10 == 0, 14.0).otherwise(10.0)).alias("size"),
+    )
 
 
-def lines(runs: DataFrame) -> DataFrame:
+def _lines(runs: pa.Table) -> pa.RecordBatch:
+    """The lines of whole pages of runs."""
+    first = starts(runs, ("doc", "page"))
+    page = np.repeat(np.arange(len(first)), np.diff(np.r_[first, runs.num_rows]))
+    x, y, seq, size = (runs.column(c).to_numpy() for c in ("x", "y", "seq", "size"))
+    order = np.lexsort((seq, x, y, page))
+    text, y, size = runs.column("text").combine_chunks().take(pa.array(order)), y[order], size[order]
+    new = edge(page[order]) | edge(y)
+    at, line = np.flatnonzero(new), np.cumsum(new) - 1
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, len(order)], pa.int32()), text), " ")
+    chars = pc.utf8_length(text).to_numpy().astype(np.int64)
+    sized = np.lexsort((size, line))
+    group = np.flatnonzero(edge(line[sized]) | edge(size[sized]))
+    weight, of, height = np.add.reduceat(chars[sized], group), line[sized][group], size[sized][group]
+    heaviest = np.lexsort((height, weight, of))
+    sizes = height[heaviest][np.r_[np.flatnonzero(edge(of[heaviest]))[1:], len(of)] - 1]
+    own = pa.array(order[at])
+    kept = [runs.column(c).combine_chunks().take(own) for c in ("doc", "page", "y")]
+    return pa.RecordBatch.from_arrays([*kept, pa.array(sizes, runs.schema.field("size").type), joined], ["doc", "page", "y", "size", "text"])
+
+
+def lines(runs: DataFrame, together: bool = False) -> DataFrame:
     """Runs on one baseline joined from left to right; the size is the one with most characters.
 
-    Runs are dealt by document once; all that follows, here and in the other operators, groups by document and more, so nothing is dealt again.
+    Runs are dealt by document, unless those of a page lie ``together`` already, one after the other. A task holds the runs of a batch and of one page. Texts and positions aren't null.
     """
-    by_size = runs.repartition("doc").groupBy("doc", "page", "y", "size").agg(
-        F.sum(F.char_length("text")).alias("chars"), F.collect_list(F.struct("x", "seq", "text")).alias("parts")
-    )
-    whole = by_size.groupBy("doc", "page", "y").agg(
-        F.max_by("size", F.struct("chars", "size")).alias("size"), F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts")
-    )
-    return whole.select("doc", "page", "y", "size", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
+    rows = runs.select("doc", "page", "seq", "text", "x", "y", "size")
+    dealt = rows if together else rows.repartition("doc").sortWithinPartitions("doc", "page")
+    kind = {c: runs.schema[c].dataType.simpleString() for c in ("doc", "page", "y", "size")}
+    return dealt.mapInArrow(lambda batches: whole(batches, ("doc", "page"), _lines), ", ".join([*(f"{c} {t}" for c, t in kind.items()), "text string"]))
 
 
 def furniture(rows: DataFrame) -> DataFrame:

@@ -116,3 +116,12 @@ def test_feeds_with_faults():
     assert feeds.entries("f", atom) == [("f", True, None, "T", 0, "1", "E", "u", None, "2024-01-01", "s")]
     many = b"<rss><channel>" + b"<item><guid>1</guid></item>" * 201 + b"</channel></rss>"
     assert feeds.entries("f", many)[0][2] == "too_many_entries"
+
+
+def test_reflow_makes_lines_where_the_runs_lie(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
+    runs = reflow.runs_of(spark, docs)
+    there = reflow.lines(runs, together=True)
+    assert "Exchange hashpartitioning" not in there._jdf.queryExecution().executedPlan().toString()
+    order = ["doc", "page", "y", "size", "text"]
+    assert sorted(map(tuple, there.select(order).collect())) == sorted(map(tuple, reflow.lines(runs.repartition(3)).select(order).collect()))
