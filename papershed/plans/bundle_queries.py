@@ -5,8 +5,9 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papershed.sources import bundles as B
@@ -15,23 +16,30 @@ from papershed.sources.folders import new_folder
 from papershed.sources.tables import read
 
 
-def _bundles(spark, sf_dir):
-    """A feedback bundle for every page: its report and its html; some name another view, have no report, or are cut short."""
+#: Pages that are packed at a time.
+ROWS = 64
 
-    @F.pandas_udf("binary")
-    def packed(ids: pd.Series, urls: pd.Series, pages: pd.Series) -> pd.Series:
-        def of(i: int, url: str, html: str) -> bytes:
-            out, top = io.BytesIO(), "" if i % 2 else "report-1/"
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                if i % 11 != 5:
-                    z.writestr(f"{top}report.json", json.dumps({"url": url, "view": ["web", "pdf", "feed"][i % 3], "kinds": ["layout", "text"][: i % 3]}))
-                z.writestr(f"{top}page.html", html)
-                z.writestr("__MACOSX/x", b"")
-            return out.getvalue()[: -7 if i % 13 == 4 else None]
 
-        return pd.Series([of(*row) for row in zip(ids, urls, pages)], dtype=object)
+def _bundles(spark, sf_dir):
+    """A feedback bundle for every page: its report and its html; some name another view, have no report, or are cut short."""
 
-    return read(spark, sf_dir, "pages").select("page_id", packed("page_id", "url", "html").alias("content"))
+    def of(i: int, url: str, html: str) -> bytes:
+        out, top = io.BytesIO(), "" if i % 2 else "report-1/"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            if i % 11 != 5:
+                z.writestr(f"{top}report.json", json.dumps({"url": url, "view": ["web", "pdf", "feed"][i % 3], "kinds": ["layout", "text"][: i % 3]}))
+            z.writestr(f"{top}page.html", html)
+            z.writestr("__MACOSX/x", b"")
+        return out.getvalue()[: -7 if i % 13 == 4 else None]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # a few pages at a time are there twice
+                rows = batch.slice(at, ROWS)
+                made = [of(*row.values()) for row in rows.to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("page_id"), pa.array(made, pa.binary())], ["page_id", "content"])
+
+    return read(spark, sf_dir, "pages").select("page_id", "url", "html").mapInArrow(packed, "page_id long, content binary")
 
 
 def bundle_entries(spark, sf_dir):

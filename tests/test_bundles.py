@@ -150,3 +150,12 @@ def test_rebuilt_artifacts(spark):
     assert {r["id"]: r["candidates"] for r in asked.collect()} == {a: [c, d, b], b: []}
     records = spark.createDataFrame([(c, "web", [a]), (d, "agent", [c]), (b, "agent", [a])], "id string, origin string, lineage array<string>")
     assert [tuple(r) for r in L.rebuilt(asked, records, L.ancestors(records)).collect()] == [(a, d)]
+
+
+def test_bundles_are_packed_a_few_pages_at_a_time(spark, tmp_path):
+    from papershed.plans import bundle_queries as Q
+
+    spark.createDataFrame([(i, f"http://a.org/{i}", f"<p>{i}</p>") for i in range(200)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    made = Q._bundles(spark, str(tmp_path))
+    assert "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()  # which holds a whole batch of pages twice
+    assert made.count() == 200 and Q.bundle_entries(spark, str(tmp_path)).filter("not refused").count() == len([i for i in range(200) if i % 13 != 4])
