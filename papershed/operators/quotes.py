@@ -2,14 +2,17 @@
 
 Texts and quotes are compared without white space. A quote with at most k edits, cut into k + 1
 pieces, holds one of them unchanged; so pieces found by plain search bound the stretches of a
-text that can hold the quote, and only these are searched by Myers' bit-parallel edit distance.
+text that can hold the quote. Most such pieces are there by chance. Two rules that lose no place tell them: one of the unchanged
+pieces is the last or has half of its next piece behind it, and an edit changes four runs of four characters at most, so a
+stretch with too few of the quote's runs can't hold it. Only the others are searched by Myers' bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -22,6 +25,8 @@ SHORT_QUOTE, CONTEXT_AGREES = 32, 0.5
 QUOTE_WEIGHT, CONTEXT_WEIGHT, POSITION_WEIGHT, EQUAL_SCORES = 50, 20, 2, 1e-9
 CONTEXT_CHARS = 32
 
+#: Characters of the runs that a stretch must share with a quote; CHARS_PER_EDIT is more, so every quote has to share some.
+RUN = 4
 #: Characters of quotes that travel to the executors at a time, and the number of such blocks from which long quotes meet the texts in a join.
 BLOCK_CHARS, MOST_BLOCKS = 1_000_000, 4
 #: Quotes of one text that are placed together.
@@ -95,6 +100,27 @@ def _pieces(quote: str) -> list[tuple[int, str]]:
     return [(a, quote[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
+def _followed(quote: str) -> list[tuple[str, tuple[int, str, str]]]:
+    """The pieces, each with where it ends and the halves of the next one.
+
+    With k edits in k + 1 pieces, some piece begins a round of all pieces of which the first n have less than n edits for every n. So it
+    is unchanged, and the next one has an edit at most: a half of it is unchanged, and stands at most one place off. Nothing is asked of what follows the last piece.
+    """
+    pieces = _pieces(quote)
+    halves = [(p[: len(p) // 2], p[len(p) // 2 :]) for _, p in pieces[1:]] + [("", "")]
+    return [(piece, (at + len(piece), *half)) for (at, piece), half in zip(pieces, halves)]
+
+
+def _starts(text: str, ends: Iterable[tuple[int, tuple[int, str, str]]]) -> list[int]:
+    """Where a quote would start of which pieces (see ``_followed``) end at ``ends``, without those that what stands behind them rules out."""
+    out = []
+    for end, (reach, first, second) in ends:
+        behind = text[end : end + len(first) + len(second) + 1]
+        if first in behind or second in behind:
+            out.append(end - reach)
+    return out
+
+
 def _stretches(text: str, quote: str, hits: list[int]) -> list[tuple[int, int]]:
     """Where a quote may lie whose first character would be near each of ``hits``, joined where they overlap."""
     slack, out = min(MOST_EDITS, len(quote) // CHARS_PER_EDIT), []
@@ -107,6 +133,20 @@ def _stretches(text: str, quote: str, hits: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(text: str) -> list[str]:
+    return [text[k : k + RUN] for k in range(len(text) - RUN + 1)]
+
+
+def _may_hold(text: str, quote: str, runs: set[str], most: int) -> bool:
+    """Whether some part of ``text``, as long as ``quote`` with ``most`` edits can be, has so many of its ``runs`` as that many edits must leave. False only where no such place is."""
+    least, length = len(quote) - RUN + 1 - RUN * most, len(quote) - RUN + 1 + most
+    shared = [r in runs for r in _runs(text)]
+    if sum(shared) < least:
+        return False
+    upto = [0, *accumulate(shared)]
+    return len(shared) <= length or any(z - a >= least for a, z in zip(upto, upto[length:]))
+
+
 def _places(text: str, piece: str) -> Iterator[int]:
     at = text.find(piece)
     while at >= 0:
@@ -138,9 +178,12 @@ def approximate_place(text: str, quote: str, prefix: str = "", suffix: str = "",
     if most < 1 or not text:
         return None
     if hits is None:
-        hits = [at - offset for offset, piece in _pieces(quote) for at in _places(text, piece)]
+        hits = _starts(text, ((at + len(piece), follow) for piece, follow in _followed(quote) for at in _places(text, piece)))
     found: list[tuple[int, int, int]] = []
+    runs = set(_runs(quote)) if hits else set()
     for a, z in _stretches(text, quote, hits):
+        if not _may_hold(text[a:z], quote, runs, most):
+            continue
         new = [(a + s, a + e, edits) for s, e, edits in _closest(text[a:z], quote, most)]
         if new and new[0][2] < most:
             most, found = new[0][2], []
@@ -226,7 +269,7 @@ def _scanned(block: DataFrame, texts: DataFrame, keys: Callable, found: Callable
     ``keys(quote row)`` are (word, value) pairs; ``ends`` the (end, value) pairs of the words of this quote that the text holds.
     """
     spark, rows = texts.sparkSession, block.collect()  # of some BLOCK_CHARS characters
-    words: dict[str, list[tuple[int, int]]] = {}
+    words: dict[str, list[tuple]] = {}
     for k, row in enumerate(rows):
         for word, value in keys(row):
             words.setdefault(word, []).append((k, value))
@@ -241,7 +284,7 @@ def _scanned(block: DataFrame, texts: DataFrame, keys: Callable, found: Callable
         for batch in batches:
             out: list[tuple] = []
             for text_id, text in zip(*(batch.column(c).to_pylist() for c in ("text_id", "plain"))):
-                ends: dict[int, list[tuple[int, int]]] = {}
+                ends: dict[int, list[tuple]] = {}
                 for end, owners in automaton.iter(text or "") if words else ():
                     for k, value in owners:
                         ends.setdefault(k, []).append((end + 1, value))
@@ -315,11 +358,12 @@ def approximate_anchors(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     q = quotes.select("quote_id", squashed(F.col("text")).alias("quote"), *context).filter(F.char_length("quote") >= CHARS_PER_EDIT)
     schema = f"{_ids(quotes, texts)}, start int, end int, edits int"
 
-    def keys(row) -> list[tuple[str, int]]:
-        return [(piece, offset + len(piece)) for offset, piece in _pieces(row["quote"])]
+    def keys(row) -> list[tuple[str, tuple[int, str, str]]]:
+        return _followed(row["quote"])
 
-    def found(row, text: str, ends: list[tuple[int, int]]) -> tuple[int, int, int] | None:
-        place = approximate_place(text, row["quote"], row["prefix"] or "", row["suffix"] or "", hits=[end - reach for end, reach in ends])
+    def found(row, text: str, ends: list[tuple[int, tuple[int, str, str]]]) -> tuple[int, int, int] | None:
+        hits = _starts(text, ends)
+        place = hits and approximate_place(text, row["quote"], row["prefix"] or "", row["suffix"] or "", hits=hits)
         return (place.start, place.end, place.edits) if place else None
 
     return _union([_scanned(b, texts, keys, found, schema) for b in _blocks(q)])

@@ -98,6 +98,27 @@ def test_long_quotes_in_long_texts_end_soon():
     assert (place.start, place.end) == (text.index(original), text.index(original) + len(original)) and time.perf_counter() - began < 10
 
 
+def test_pieces_that_are_there_by_chance_cost_no_search(monkeypatch):
+    draw = random.Random(5)
+    letters = lambda n: "".join(draw.choice("etaoinshrdlu") for _ in range(n))
+    quote, searched, own = letters(240), [], Q._ends
+    text = "".join(letters(400) + piece for _, piece in Q._pieces(quote))
+    monkeypatch.setattr(Q, "_ends", lambda *a: searched.append(len(a[0])) or own(*a))
+    assert Q.approximate_place(text, quote) is None and sum(searched) < len(text) // 10
+    edited = "".join("~" if k % 8 == 7 else c for k, c in enumerate(quote[:232])) + quote[232:]  # 29 of 30 edits
+    assert Q.approximate_place(text + edited + text, quote) == Q.Place(len(text), len(text) + 240, 29)
+    runs = set(Q._runs(quote))
+    for most in (1, 7, 30):
+        for _ in range(200):
+            other, at = list(quote), draw.sample(range(240), most)
+            for k in at:
+                other[k] = draw.choice(["", "~", other[k] + "~"])
+            part = text[:300] * draw.randint(0, 1) + "".join(other) + text[:300] * draw.randint(0, 1)
+            assert Q._may_hold(part, quote, runs, most)
+            hits = Q._starts(part, ((at + len(p), f) for p, f in Q._followed(quote) for at in Q._places(part, p)))
+            assert any(a <= part.find("".join(other)) and part.find("".join(other)) + len("".join(other)) <= z for a, z in Q._stretches(part, quote, hits))
+
+
 def test_exact_places():
     text = "aXbaXbaXc"
     assert Q.exact_place(text, "aX", 1, "", "").start == 3
