@@ -25,12 +25,12 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, kind string, id long")
+        self.waiting = handle.getListState("waiting", "events string")  # those of a batch in one text: a row of state for each would cost more than its fold
         self.folded = handle.getValueState("folded", "state string")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         events = [(r["us"], r["kind"], r["id"]) for r in rows]
-        self.waiting.appendList(events)
+        self.waiting.appendValue((json.dumps(events),))
         self.handle.registerTimer(min(events)[0] // 1000 + 1)
         return iter(())
 
@@ -38,17 +38,18 @@ class InOrder(StatefulProcessor):
         """Folds all that the watermark has passed, and asks to be woken for the first event that it hasn't."""
         until, state = timerValues.getCurrentWatermarkInMs(), self.folded.get()
         state = json.loads(state[0]) if state else {}
-        events = sorted((e[0], e[2], e[1]) for e in self.waiting.get())
+        events = sorted((us, id_, kind) for packed in self.waiting.get() for us, kind, id_ in json.loads(packed[0]))
         left = [(us, kind, id_) for us, id_, kind in events if us // 1000 >= until]
         if len(left) < len(events):
-            self.waiting.put(left) if left else self.waiting.clear()
+            self.waiting.put([(json.dumps(left),)]) if left else self.waiting.clear()
         out: list[tuple] = []
         for us, id_, kind in events[: len(events) - len(left)]:
             out += self.step(state, us, kind, id_)
         out += self.at(state, until)
         self.folded.update((json.dumps(state),))
-        if left:
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        wakes = ([left[0][0] // 1000] if left else []) + self.wakes(state)
+        if wakes:
+            self.handle.registerTimer(min(wakes) + 1)  # one timer a key: what is settled or replaced needs none
         return iter([Row(**dict(zip(self.columns, (*key, *row)))) for row in out])
 
     def step(self, state: dict, us: int, kind: str, id_: int) -> list[tuple]:
@@ -59,6 +60,10 @@ class InOrder(StatefulProcessor):
         """Rows that are settled because all before ``ms`` has passed."""
         return []
 
+    def wakes(self, state: dict) -> list[int]:
+        """When ``at`` has to be asked again (ms), if ever."""
+        return []
+
     def close(self) -> None:
         pass
 
@@ -104,8 +109,6 @@ class Polls(InOrder):
     def step(self, state: dict, us: int, kind: str, id_: int) -> list[tuple]:
         found = self.at(state, us // 1000)
         state["due"] = None if kind == self.pauses else us // 1000 + self.interval_ms
-        if state["due"]:
-            self.handle.registerTimer(state["due"] + 1)
         return found
 
     def at(self, state: dict, ms: int) -> list[tuple]:
@@ -115,6 +118,9 @@ class Polls(InOrder):
         state["due"] = None
         return [(due,)]
 
+    def wakes(self, state: dict) -> list[int]:
+        return [state["due"]] if state.get("due") is not None else []
+
 
 def _run(log: DataFrame, processor: InOrder, columns: str, late: str) -> DataFrame:
     spark = log.sparkSession

@@ -65,3 +65,51 @@ def test_streams_equal_their_batch_queries_after_batches_and_a_restart(spark, lo
     whole = T.passed(spark.read.schema(SCHEMA).parquet(log), 2 * 86_400_000)
     expect = rows_of(batch(whole), columns)
     assert rows_of(found, columns) == expect and len(expect) >= 40
+
+
+class Handle:
+    """A key's state and timers in plain Python, with counts of what went in."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers = [], None, []
+        self.getListState = self.getValueState = lambda *a: self
+        self.put_in = 0
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.put_in += len(rows)
+
+    def put(self, rows):
+        self.rows = []
+        self.appendList(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_fold_costs_few_rows_of_state_and_one_timer():
+    handle, polls = Handle(), T.Polls(1000, "error")
+    polls.columns = ["key", "due_ms"]
+    handle.get = lambda: handle.value
+    polls.init(handle)
+    polls.waiting = type("L", (), {"get": lambda self: iter(handle.rows), **{n: (lambda self, *a, n=n: getattr(handle, n)(*a)) for n in ("appendList", "appendValue", "put", "clear")}})()
+    polls.handleInputRows((1,), iter([{"us": t * 500_000, "kind": None if t == 7 else "view" if t < 300 else "click", "id": t} for t in range(400, -1, -1)]), None)
+    assert handle.put_in == 1 and handle.timers == [1]
+    assert list(polls.handleExpiredTimer((1,), Watermark(150_250), None)) == []
+    assert handle.timers == [1, 150_501] and handle.put_in == 2  # not one for each event
+    found = list(polls.handleExpiredTimer((1,), Watermark(999_999), None))
+    assert [r["due_ms"] for r in found] == [201_000] and handle.timers == [1, 150_501] and handle.rows == []
