@@ -66,7 +66,21 @@ def carried(rows: DataFrame, by: str, order: str, value: Column, name: str) -> D
 def citation_numbers(cited: DataFrame) -> DataFrame:
     """Numbers of a document's cited ids in order of first appearance: ``doc, ref, number``."""
     first = cited.groupBy("doc", "ref").agg(F.min("pos").alias("pos"))
-    return first.select("doc", "ref", F.row_number().over(Window.partitionBy("doc").orderBy("pos")).alias("number"))
+    return first.select("doc", "ref", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "ref")).alias("number"))
+
+
+def listed_citations(lists: DataFrame) -> DataFrame:
+    """``citation_numbers`` of documents ``doc, refs`` that hold their ids as a list in order.
+
+    A document with a row of its own is numbered where it lies; no id of it is shuffled. Documents of several rows, whose places compete, go the long way.
+    """
+    several = lists.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias("_doc"))
+    numbered = lambda rows: rows.select("doc", F.posexplode(F.array_distinct("refs")).alias("pos", "ref")).select("doc", "ref", (F.col("pos") + 1).alias("number"))
+    if several.isEmpty():
+        return numbered(lists)
+    of_several = F.col("doc").eqNullSafe(F.col("_doc"))
+    parted = lists.join(several, of_several, "left_semi")
+    return numbered(lists.join(several, of_several, "left_anti")).union(citation_numbers(parted.select("doc", F.posexplode("refs").alias("pos", "ref"))))
 
 
 def hyphens_joined(text: Column) -> Column:

@@ -46,8 +46,7 @@ def carried_system_text(spark, sf_dir):
 
 
 def citation_numbers(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\s+")).alias("pos", "ref"))
-    return D.citation_numbers(docs)
+    return D.listed_citations(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.split("text", r"\s+").alias("refs")))
 
 
 def joined_hyphens(spark, sf_dir):

@@ -125,3 +125,13 @@ def test_reflow_makes_lines_where_the_runs_lie(spark, sf_dir):
     assert "Exchange hashpartitioning" not in there._jdf.queryExecution().executedPlan().toString()
     order = ["doc", "page", "y", "size", "text"]
     assert sorted(map(tuple, there.select(order).collect())) == sorted(map(tuple, reflow.lines(runs.repartition(3)).select(order).collect()))
+
+
+def test_listed_citations_move_no_list_of_a_single_row(spark):
+    from papershed.operators import details as D
+
+    lists = spark.createDataFrame([(1, ["b", "a", "b", ""]), (2, None), (3, []), (4, ["x", "y"]), (4, ["z", "x", "w"]), (None, ["q"]), (None, ["p", "q"])], "doc long, refs array<string>")
+    expect = {(1, "b", 1), (1, "a", 2), (1, "", 3), (4, "x", 1), (4, "z", 2), (4, "y", 3), (4, "w", 4), (None, "p", 1), (None, "q", 2)}
+    rows = [tuple(r) for r in D.listed_citations(lists).collect()]
+    assert set(rows) == expect and len(rows) == len(expect)
+    assert "Exchange" not in D.listed_citations(lists.filter("doc < 4"))._jdf.queryExecution().executedPlan().toString()
