@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import random
 import struct
 import zipfile
 
@@ -141,6 +142,22 @@ def test_lineage_ends_and_is_found_soon(spark, monkeypatch):
     assert L.ancestors(cycle.limit(0)).count() == 0
 
 
+def test_lineage_of_any_shape_in_small_tasks(spark):
+    draw = random.Random(4)
+    edges = {k: sorted(draw.sample(range(40), draw.choice((0, 1, 1, 2)))) for k in range(40)} | {0: [0], 41: [42], 42: [43], 43: [44], 44: [41]}
+    expect = {(k, a) for k, made_from in edges.items() for a in made_from}
+    while True:
+        more = expect | {(a, d) for a, b in expect for c, d in expect if b == c}
+        if more == expect:
+            break
+        expect = more
+    found = L.ancestors(spark.createDataFrame([*edges.items()], "id long, lineage array<long>"))
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == expect and len(rows) == len(expect)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism  # a task's pairs grow no faster than the cluster is small
+    assert {tuple(r) for r in L.ancestors(spark.createDataFrame([(1, [2, None]), (2, [3])], "id long, lineage array<long>")).collect()} == {(1, 2), (1, None), (1, 3), (2, 3)}
+
+
 def test_rebuilt_artifacts(spark):
     a, b, c, d = (ch * 16 for ch in "abcd")
     tool = lambda name, status, summary: {"name": name, "status": status, "summary": summary}
