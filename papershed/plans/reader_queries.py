@@ -12,13 +12,14 @@ from papershed.sources.tables import read
 COUNTED = {"headings": "heading", "items": "listItem", "links": "link", "cells": "tableCell", "codes": "code", "notes": "footnoteDefinition", "refs": "footnoteReference"}
 
 
-def _documents(spark, sf_dir):
-    return kept(R.reader_nodes(rich_pages(spark, sf_dir)), "page_id")
+def _documents(spark, sf_dir, *only):
+    """A page's nodes come from one task, so groups by page are all but made there; nothing is dealt or kept."""
+    return R.reader_nodes(rich_pages(spark, sf_dir), only=only)
 
 
 def reader_documents(spark, sf_dir):
     """How many nodes of each kind every page's document has, and how often something was lost."""
-    nodes = _documents(spark, sf_dir)
+    nodes = _documents(spark, sf_dir, "kind", "losses")
     counts = [F.count_if(F.col("kind") == kind).alias(name) for name, kind in COUNTED.items()]
     dropped = F.max(F.size(F.filter("losses", lambda x: x["fallback"] == "omitted"))).cast("long").alias("omitted")
     return nodes.groupBy("page_id").agg(*counts, dropped)
@@ -34,7 +35,7 @@ def _damaged(spark, sf_dir):
         F.when((rest == 1) & (kind == "link"), put("url", "javascript:x")).when((rest == 2) & (kind == "heading"), put("depth", "7")).when((rest == 3) & (kind == "tableCell"), put("colSpan", "0"))
         .when((rest == 4) & (kind == "footnoteDefinition"), put("identifier", ""))
     )
-    return _documents(spark, sf_dir).withColumn("props", F.coalesce(broken, "props")).withColumn("kind", F.when((rest == 5) & (kind == "listItem"), "paragraph").otherwise(kind))
+    return _documents(spark, sf_dir, "node", "last", "parent", "kind", "role", "value", "props", "losses").withColumn("props", F.coalesce(broken, "props")).withColumn("kind", F.when((rest == 5) & (kind == "listItem"), "paragraph").otherwise(kind))
 
 
 def reader_violations(spark, sf_dir):
@@ -45,7 +46,7 @@ def reader_violations(spark, sf_dir):
 
 def reader_limits(spark, sf_dir):
     """Documents with their size, and whether a reader shows them."""
-    return R.within_limits(_documents(spark, sf_dir), most_nodes=120)
+    return R.within_limits(_documents(spark, sf_dir, "depth", "value", "props"), most_nodes=120)
 
 
 def page_markdown(spark, sf_dir):

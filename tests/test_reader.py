@@ -154,3 +154,16 @@ def test_limits(nodes):
     n = nodes.filter("page_id = 1").count()
     fits = lambda **kw: {r["page_id"]: r["fits"] for r in R.within_limits(nodes, **kw).collect()}
     assert fits() == {1: True, 2: True} and fits(most_nodes=n - 1) == fits(deepest=3) == fits(most_bytes=20) == {1: False, 2: True}
+
+
+def test_only_the_wanted_columns_are_made_and_nothing_is_dealt(spark, monkeypatch):
+    from papershed.plans import reader_queries as Q
+
+    monkeypatch.setattr(R, "flow_markdown", lambda *a: pytest.fail("unwanted markdown"))
+    assert R.document_rows(R.reader_document("<p>a</p>", "http://a.org/"), markdown=False)[0][9] is None
+    pages = spark.createDataFrame([(k, "http://a.org/", f"<h1>{k}</h1><p>a <b>b</b></p>" if k else None) for k in range(50)], "page_id long, url string, html string").coalesce(1)
+    some = R.reader_nodes(pages, only=("kind", "node"))
+    assert some.columns == ["page_id", "node", "kind"]
+    assert sorted(map(tuple, some.collect())) == sorted((r["page_id"], r["node"], r["kind"]) for r in R.reader_nodes(pages, only=("node", "kind", "value", "props")).collect())
+    monkeypatch.setattr(Q, "kept", lambda *a: pytest.fail("kept"))
+    assert Q.reader_documents(spark, "/root/testdata/sf0.001").count() == Q.reader_limits(spark, "/root/testdata/sf0.001").count() > 0
