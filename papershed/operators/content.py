@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from papershed.sources.pages import attr, inside, owned, texts, without
 UNSEEN = ("script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "canvas")
 UNITS = ("pre", "figure", "picture", "image", "table", "math", "noteref", "endnotes", "link", "citation", "heading", "list", "details")
 OF_NAVIGATION = (8, 10, 11)
+MATH = UNITS.index("math")
+ROOTS = ("article", "main", "articleBody")
 KEPT_SHARE, MATH_SPAN = 0.6, 16 * 1024
 FIRST_LEAST, FIRST_SHARE, SECOND_LEAST = 600, 0.5, 80
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -21,7 +25,7 @@ LAZY = ("data-src", "data-original", "data-lazy-src")
 
 
 def has_class(*names: str) -> Column:
-    return F.arrays_overlap(F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), F.array(*[F.lit(n) for n in names]))
+    return F.when(attr("class").isNotNull(), F.arrays_overlap(F.split(attr("class"), r"\s+"), F.array(*[F.lit(n) for n in names]))).otherwise(False)
 
 
 def math_count(text: Column) -> Column:
@@ -36,31 +40,71 @@ def math_count(text: Column) -> Column:
 
 def content_stats(nodes: DataFrame) -> DataFrame:
     """``page_id, units`` (13 counts in the order of UNITS), ``chars``: of what readers see; text is counted with white space squeezed."""
-    seen = inside(without(nodes, F.col("tag").isin(*UNSEEN, "head")), F.col("tag") == "picture", "in_picture")
+    return region_stats(nodes, {"page": (False, None)}).select("page_id", "page.units", "page.chars")
+
+
+def _units() -> tuple[Column, ...]:
+    """Which of UNITS an element is; whether a picture holds an img is told by where it lies."""
     role, tag = attr("role"), F.col("tag")
-    rules = (
-        tag == "pre", tag == "figure", tag == "picture", (tag == "img") & ~F.col("in_picture"), tag == "table", (tag == "math") | has_class("math", "katex"),
+    return (
+        tag == "pre", tag == "figure", tag == "picture", tag == "img", tag == "table", (tag == "math") | has_class("math", "katex"),
         (role == "doc-noteref") | ((tag == "a") & (has_class("footnote-ref") | attr("data-footnote-ref").isNotNull())), (role == "doc-endnotes") | has_class("footnotes") | (attr("id") == "footnotes"),
         (tag == "a") & attr("href").isNotNull(), (tag == "cite") | role.isin("doc-bibliography", "doc-biblioentry") | has_class("bibliography", "references") | attr("id").isin("bibliography", "references"),
         tag.isin(*HEADINGS), tag.isin("ul", "ol", "dl"), tag == "details",
     )
-    counts = seen.groupBy("page_id").agg(F.array(*[F.count_if(F.coalesce(r, F.lit(False))).cast("int") for r in rules]).alias("u"))
-    body = texts(seen.filter("tag = '#text'"), ["page_id"])
-    text = F.coalesce("content", F.lit(""))
-    units = F.transform("u", lambda n, i: F.when(i == 5, F.greatest(n, math_count(text).cast("int"))).otherwise(n))
-    return counts.join(body, "page_id", "left").select("page_id", units.alias("units"), F.char_length(text).alias("chars"))
 
 
-def union_of_units(rows: DataFrame, by: str) -> DataFrame:
-    """``by, units``: the largest count of each unit over the candidates of a page."""
-    largest = [F.max(F.get("units", F.lit(k))) for k in range(len(UNITS))]
-    return rows.groupBy(by).agg(F.array(*largest).alias("units"))
+def region_stats(nodes: DataFrame, regions: dict[str, tuple[bool, Column | None]]) -> DataFrame:
+    """``page_id, rule`` (see ``article_roots``) and for each region struct<units, chars> (see ``content_stats``), for pages that have something to see in every region.
+
+    A region is the page or (True) the inside of its article root, without the elements for which the condition holds. Nodes are
+    cut down to what counts, then dealt and sorted once, whatever the number of regions.
+    """
+    tag, node, none = F.col("tag"), F.col("node"), F.lit(False)
+    marks = reduce(Column.bitwiseOR, [F.when(unit, 1 << k).otherwise(0) for k, unit in enumerate(_units())])
+    slim = nodes.select(
+        "page_id", "node", "last", _root_kind().alias("kind"), F.coalesce(tag.isin(*UNSEEN, "head"), none).alias("unseen"), F.coalesce(tag == "picture", none).alias("picture"),
+        *[F.coalesce(gone if gone is not None else none, none).alias(f"{name}_gone") for name, (_, gone) in regions.items()],
+        F.when(tag == "#text", 0).otherwise(marks).alias("marks"), F.when(tag == "#text", F.col("text")).alias("text"),
+    )
+    before = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    roots = [F.when(F.count_if(F.col("kind") == k).over(whole) == 1, F.min(F.when(F.col("kind") == k, F.struct("kind", "node", "last"))).over(whole)) for k in range(len(ROOTS))]
+    rooted = slim.withColumn("root", F.coalesce(*roots))
+    placed, seen = [], []
+    for name, (article, _) in regions.items():
+        within = (node > F.col("root.node")) & (node <= F.col("root.last")) if article else F.lit(True)
+        holds = lambda owner, w=within: F.coalesce(F.max(F.when(w & owner, F.col("last"))).over(before) >= node, none)
+        gone = F.col("unseen") | F.col(f"{name}_gone")
+        placed += [F.coalesce(within, none).alias(f"{name}_in"), gone.alias(f"{name}_out"), holds(gone).alias(f"{name}_hidden"), holds(F.col("picture")).alias(f"{name}_framed")]
+        seen.append((F.col(f"{name}_in") & ~F.col(f"{name}_out") & ~F.col(f"{name}_hidden")).alias(name))
+    shown = rooted.select("page_id", "node", "root", "marks", "text", *placed).select("page_id", "node", "root.kind", "marks", "text", *seen, *[f"{name}_framed" for name in regions])
+    sums = [F.max("kind").alias("kind"), F.collect_list(F.when(F.col("text").isNotNull() & F.array_contains(F.array(*regions), True), F.struct("node", "text", *regions))).alias("texts")]
+    for name in regions:
+        counted = [F.col(name) & (F.col("marks").bitwiseAND(1 << k) != 0) & (~F.col(f"{name}_framed") if unit == "image" else F.lit(True)) for k, unit in enumerate(UNITS)]
+        sums += [F.max(name).alias(f"{name}_any"), F.array(*[F.count_if(c).cast("int") for c in counted]).alias(f"{name}_units")]
+    pages = shown.groupBy("page_id").agg(*sums).filter(reduce(Column.__and__, [F.col(f"{name}_any") for name in regions])).withColumn("texts", F.sort_array("texts"))
+    joined = lambda name: F.array_join(F.transform(F.filter("texts", lambda t: t[name]), lambda t: t["text"]), "")
+    squeezed = pages.select("*", *[F.trim(F.regexp_replace(joined(name), r"\s+", " ")).alias(f"{name}_text") for name in regions])
+    stats = []
+    for name in regions:
+        units = [F.get(f"{name}_units", F.lit(k)) for k in range(len(UNITS))]
+        units[MATH] = F.greatest(units[MATH], math_count(F.col(f"{name}_text")).cast("int"))
+        stats.append(F.struct(F.array(*units).alias("units"), F.char_length(f"{name}_text").alias("chars")).alias(name))
+    return squeezed.select("page_id", F.get(F.array(*[F.lit(r) for r in ROOTS]), F.col("kind")).alias("rule"), *stats)
+
+
+def union_of_units(*candidates: Column) -> Column:
+    """The largest count of each unit over the units of a page's candidates."""
+    return reduce(lambda a, b: F.zip_with(a, b, lambda m, n: F.greatest(m, n)), candidates)
 
 
 def keeps_units(kept: Column, source: Column) -> Column:
     """Whether every kind of content of the source is kept to 60 percent, one at least; links, headings and lists don't count."""
-    fine = lambda n, i: (n == 0) | i.isin(*OF_NAVIGATION) | (F.coalesce(F.get(kept, i), F.lit(0)) >= F.greatest(F.lit(1), F.ceil(n * KEPT_SHARE)))
-    return F.forall(F.transform(source, fine), lambda f: f)
+    pairs = F.zip_with(F.transform(source, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), F.coalesce(kept, F.array().cast("array<int>")), lambda s, k: F.struct(s.alias("s"), k.alias("k")))  # no array is made anew for each kind
+    n, i = (lambda p: p["s"]["n"]), (lambda p: p["s"]["i"])
+    fine = lambda p: p["s"].isNull() | (n(p) == 0) | i(p).isin(*OF_NAVIGATION) | (F.coalesce(p["k"], F.lit(0)) >= F.greatest(F.lit(1), F.ceil(n(p) * KEPT_SHARE)))
+    return F.forall(pairs, fine)
 
 
 def chosen_candidate(first: Column, second: Column, source: Column) -> Column:
@@ -72,13 +116,17 @@ def chosen_candidate(first: Column, second: Column, source: Column) -> Column:
     return F.when(first_fine, "first").when((second["chars"] >= SECOND_LEAST) & keeps_units(second["units"], source), "second")
 
 
+def _root_kind() -> Column:
+    """The place in ROOTS of what an element may be the root of."""
+    tag = F.col("tag")
+    return F.when(tag == "article", 0).when(tag == "main", 1).when(attr("itemprop") == "articleBody", 2)
+
+
 def article_roots(nodes: DataFrame) -> DataFrame:
     """``page_id, root, root_last, rule``: a page's only article element, else its only main, else its only articleBody."""
-    tag = F.col("tag")
-    kind = F.when(tag == "article", 0).when(tag == "main", 1).when(attr("itemprop") == "articleBody", 2)
-    found = nodes.withColumn("kind", kind).filter("kind is not null").groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.min("node").alias("root"), F.min("last").alias("root_last"))
+    found = nodes.withColumn("kind", _root_kind()).filter("kind is not null").groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.min("node").alias("root"), F.min("last").alias("root_last"))
     best = found.filter("n = 1").groupBy("page_id").agg(F.min(F.struct("kind", "root", "root_last")).alias("b"))
-    return best.select("page_id", "b.root", "b.root_last", F.get(F.array(F.lit("article"), F.lit("main"), F.lit("articleBody")), F.col("b.kind")).alias("rule"))
+    return best.select("page_id", "b.root", "b.root_last", F.get(F.array(*[F.lit(r) for r in ROOTS]), F.col("b.kind")).alias("rule"))
 
 
 def article_nodes(nodes: DataFrame) -> DataFrame:

@@ -68,6 +68,42 @@ def test_statistics_and_gates(pages):
     assert [choose(*c) for c in ((600, 1200), (600, 1201), (599, 80), (10, 79))] == ["first", "second", "second", None]
 
 
+REGIONS = {
+    1: "<nav><picture><img></picture><ul><li>menu</ul></nav><article><h1>A</h1><nav><a href=x>skip</a><script>no</script></nav><picture><img><p>p</p></picture><img> b </article><img>tail",
+    2: "<picture><noscript><nav><article><img>\\(x\\) \\(y\\)<iframe><pre>hid</pre></iframe></article></nav></noscript></picture><p>rest <math>z</math></p>",
+    3: "<article>one</article><article>two</article><main><div itemprop=articleBody><ul></ul></div></main>",
+    4: "<p>no root</p>", 5: "<article></article>all", 6: "<article><p></p></article><i>x</i>", 7: "<article><script>x</script></article>y", 8: "<nav><article>only chrome</article></nav>", 9: None,
+    10: "<header itemprop=articleBody><b class='x katex'>f</b><a class=footnote-ref>1</a></header><details>d</details>",
+}
+
+
+def test_regions_are_told_in_one_pass(spark):
+    pages = spark.createDataFrame(list(REGIONS.items()), "page_id long, html string")
+    nodes = P.page_nodes(pages, only=("node", "last", "tag", "attrs", "text"))
+    assert nodes.columns == ["page_id", "node", "last", "tag", "attrs", "text"]
+    rows = C.region_stats(nodes, {"first": (True, None), "second": (False, F.col("tag").isin(*C.CHROME))})
+    named = lambda r: ({k: v for k, v in zip(C.UNITS, r["units"]) if v}, r["chars"])
+    assert {r["page_id"]: (r["rule"], named(r["first"]), named(r["second"])) for r in rows.collect()} == {
+        1: ("article", ({"picture": 1, "image": 1, "link": 1, "heading": 1}, len("Askipp b")), ({"picture": 1, "image": 2, "heading": 1}, len("Ap b tail"))),
+        2: ("article", ({"image": 1, "math": 2}, 11), ({"picture": 1, "math": 1}, len("rest z"))),
+        3: ("main", ({"list": 1}, 0), ({"list": 1}, 6)),
+        6: ("article", ({}, 0), ({}, 1)),
+        10: ("articleBody", ({"math": 1, "noteref": 1}, 2), ({"details": 1}, 1)),
+    }
+    everything = P.page_nodes(pages)
+    assert {r["page_id"]: named(r) for r in C.content_stats(C.article_nodes(everything)).collect()}[2] == ({"image": 1, "math": 2}, 11)
+    assert sorted(map(tuple, nodes.drop("attrs").collect())) == sorted(map(tuple, everything.select("page_id", "node", "last", "tag", "text").collect()))
+
+
+@pytest.mark.parametrize("name", ["article_choices", "page_content_stats"])
+def test_pages_are_parsed_once_and_dealt_once(spark, monkeypatch, name):
+    from papershed.plans import node_queries as Q
+
+    monkeypatch.setattr(P, "kept_nodes", lambda *a: pytest.fail("kept"))
+    plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("MapInArrow") == plan.count("hashpartitioning(page_id") == 1 and plan.count("regexp_replace(array_join") == 2
+
+
 def test_formulas(spark):
     given = {r"\(a\) \[b\] $$c$$": 3, r"\\(a\)": 0, r"\(a \(b\)": 1, r"\begin{align}x\end{align} \begin{align}x\end{gather}": 1, "$$a": 0, "": 0}
     df = spark.createDataFrame([(t,) for t in given], "t string")
