@@ -78,8 +78,8 @@ def region_stats(nodes: DataFrame, regions: dict[str, tuple[bool, Column | None]
         gone = F.col("unseen") | F.col(f"{name}_gone")
         placed += [F.coalesce(within, none).alias(f"{name}_in"), gone.alias(f"{name}_out"), holds(gone).alias(f"{name}_hidden"), holds(F.col("picture")).alias(f"{name}_framed")]
         seen.append((F.col(f"{name}_in") & ~F.col(f"{name}_out") & ~F.col(f"{name}_hidden")).alias(name))
-    shown = rooted.select("page_id", "node", "root", "marks", "text", *placed).select("page_id", "node", "root.kind", "marks", "text", *seen, *[f"{name}_framed" for name in regions])
-    sums = [F.max("kind").alias("kind"), F.collect_list(F.when(F.col("text").isNotNull() & F.array_contains(F.array(*regions), True), F.struct("node", "text", *regions))).alias("texts")]
+    shown = rooted.select("page_id", "node", "root", "marks", "text", *placed).select("page_id", "node", "root.kind", "marks", "text", *seen, *[f"{name}_framed" for name in regions]).filter(reduce(Column.__or__, [F.col(name) for name in regions]))
+    sums = [F.max("kind").alias("kind"), F.collect_list(F.when(F.col("text").isNotNull(), F.struct("node", "text", *regions))).alias("texts")]
     for name in regions:
         counted = [F.col(name) & (F.col("marks").bitwiseAND(1 << k) != 0) & (~F.col(f"{name}_framed") if unit == "image" else F.lit(True)) for k, unit in enumerate(UNITS)]
         sums += [F.max(name).alias(f"{name}_any"), F.array(*[F.count_if(c).cast("int") for c in counted]).alias(f"{name}_units")]

@@ -96,12 +96,12 @@ def test_regions_are_told_in_one_pass(spark):
 
 
 @pytest.mark.parametrize("name", ["article_choices", "page_content_stats"])
-def test_pages_are_parsed_once_and_dealt_once(spark, monkeypatch, name):
+def test_pages_are_parsed_once_and_kept_never(spark, monkeypatch, name):
     from papershed.plans import node_queries as Q
 
     monkeypatch.setattr(P, "kept_nodes", lambda *a: pytest.fail("kept"))
     plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
-    assert plan.count("MapInArrow") == plan.count("hashpartitioning(page_id") == 1 and plan.count("regexp_replace(array_join") == 2
+    assert plan.count("MapInArrow") == plan.count("REPARTITION_BY_NUM") == 1 and plan.count("hashpartitioning(page_id") == 2 and plan.count("regexp_replace(array_join") == 2
 
 
 def test_formulas(spark):
