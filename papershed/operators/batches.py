@@ -19,6 +19,26 @@ def edge(key: np.ndarray) -> np.ndarray:
     return np.r_[True, key[1:] != key[:-1]]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows each, for rows that hold long lists."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def matches(text: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False)
+
+
+def heaviest(group: np.ndarray, value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The value with the greatest sum of weights in each group, the larger of equal ones; groups are 0, 1, 2, ..."""
+    order = np.lexsort((value, group))
+    at = np.flatnonzero(edge(group[order]) | edge(value[order]))
+    sums, of, value = np.add.reduceat(weight[order], at), group[order][at], value[order][at]
+    order = np.lexsort((value, sums, of))
+    return value[order][np.r_[np.flatnonzero(edge(of[order]))[1:], len(of)] - 1]
+
+
 def whole(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], made: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What ``made`` gives for tables in which rows that agree in the columns are whole: those of a batch, and the last ones of the batch before."""
     rest: list[pa.Table] = []
