@@ -1,14 +1,18 @@
-"""Page reflow on positioned text: runs to lines, furniture, columns, blocks, anchors."""
+"""Page reflow on positioned text: runs to lines, furniture, columns, blocks, anchors.
+
+Furniture and blocks are found in Arrow tables of whole documents, whose lines are dealt and sorted once.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papershed.operators.batches import edge, starts, whole
+from papershed.operators.batches import edge, heaviest, starts, whole
+from papershed.sources.folders import spread
 
 PAGE_LINES, LINE_WORDS = 40, 8
 
@@ -46,11 +50,7 @@ def _lines(runs: pa.Table) -> pa.RecordBatch:
     at, line = np.flatnonzero(new), np.cumsum(new) - 1
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, len(order)], pa.int32()), text), " ")
     chars = pc.utf8_length(text).to_numpy().astype(np.int64)
-    sized = np.lexsort((size, line))
-    group = np.flatnonzero(edge(line[sized]) | edge(size[sized]))
-    weight, of, height = np.add.reduceat(chars[sized], group), line[sized][group], size[sized][group]
-    heaviest = np.lexsort((height, weight, of))
-    sizes = height[heaviest][np.r_[np.flatnonzero(edge(of[heaviest]))[1:], len(of)] - 1]
+    sizes = heaviest(line, size, chars)
     own = pa.array(order[at])
     kept = [runs.column(c).combine_chunks().take(own) for c in ("doc", "page", "y")]
     return pa.RecordBatch.from_arrays([*kept, pa.array(sizes, runs.schema.field("size").type), joined], ["doc", "page", "y", "size", "text"])
@@ -67,18 +67,60 @@ def lines(runs: DataFrame, together: bool = False) -> DataFrame:
     return dealt.mapInArrow(lambda batches: whole(batches, ("doc", "page"), _lines), ", ".join([*(f"{c} {t}" for c, t in kind.items()), "text string"]))
 
 
+def _by_doc(rows: DataFrame) -> DataFrame:
+    """The lines of a document in one task, one after the other from its top to its end."""
+    return spread(rows, "doc", times=16).sortWithinPartitions("doc", "page", "y", "text")
+
+
+def _masked(dealt: DataFrame) -> DataFrame:
+    return dealt.withColumn("masked", F.regexp_replace(F.lower("text"), r"\d+", "#"))
+
+
+def _number(rows: pa.Table, *columns: str) -> np.ndarray:
+    """0, 1, 2, ... for the rows that agree in the columns and follow each other."""
+    at = starts(rows, columns)
+    return np.repeat(np.arange(len(at)), np.diff(np.r_[at, rows.num_rows]))
+
+
+def _repeats(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of whole documents by key (doc, y, masked): their order, where keys begin in it, on how many pages each is, and whether these are enough."""
+    doc, page = _number(rows, "doc"), _number(rows, "doc", "page")
+    y, masked = rows.column("y").to_numpy(), rows.column("masked").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((page, masked, y, doc))
+    new = edge(doc[order]) | edge(y[order]) | edge(masked[order])
+    at = np.flatnonzero(new)
+    n = np.add.reduceat((new | edge(page[order])).astype(np.int64), at)
+    pages = np.add.reduceat(edge(page).astype(np.int64), np.flatnonzero(edge(doc)))
+    enough = np.minimum(3, np.maximum(2, -(-pages // 2)))
+    known = rows.column("doc").is_valid().to_numpy()[order[at]]
+    return order, at, n, known & (n >= enough[doc[order[at]]])
+
+
+def _furniture(rows: pa.Table) -> pa.RecordBatch:
+    order, at, n, found = _repeats(rows)
+    own = pa.array(order[at][found])
+    return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks().take(own) for c in ("doc", "y", "masked")), pa.array(n[found])], ["doc", "y", "masked", "n"])
+
+
 def furniture(rows: DataFrame) -> DataFrame:
     """Keys (doc, y, masked text) that repeat on enough pages: min(3, max(2, half of the pages, rounded up))."""
-    pages = rows.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    masked = rows.withColumn("masked", F.regexp_replace(F.lower("text"), r"\d+", "#"))
-    seen = masked.groupBy("doc", "y", "masked").agg(F.countDistinct("page").alias("n"))
-    enough = F.least(F.lit(3), F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
-    return seen.join(pages, "doc").filter(F.col("n") >= enough).select("doc", "y", "masked", "n")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("doc", "y")}
+    dealt = _masked(_by_doc(rows.select("doc", "page", "y", "text"))).drop("text")
+    return dealt.mapInArrow(lambda batches: whole(batches, ("doc",), _furniture), "doc {doc}, y {y}, masked string, n long".format(**kind))
 
 
 def without_furniture(rows: DataFrame) -> DataFrame:
-    masked = rows.withColumn("masked", F.regexp_replace(F.lower("text"), r"\d+", "#"))
-    return masked.join(furniture(rows), ["doc", "y", "masked"], "left_anti").drop("masked")
+    """The other lines; those of a document come together and in order."""
+    names = rows.columns
+
+    def others(table: pa.Table) -> pa.RecordBatch:
+        order, at, _, found = _repeats(table)
+        keep = np.empty(len(order), bool)
+        keep[order] = np.repeat(~found, np.diff(np.r_[at, len(order)]))
+        left = table.filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([left.column(c).combine_chunks() for c in names], names)
+
+    return _masked(_by_doc(rows)).mapInArrow(lambda batches: whole(batches, ("doc",), others), rows.schema)
 
 
 def body_size(rows: DataFrame) -> DataFrame:
@@ -88,19 +130,29 @@ def body_size(rows: DataFrame) -> DataFrame:
     return weights.groupBy("doc").agg(F.max_by("size", F.struct("weight", "size")).alias("body_size"))
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: pa.Table) -> pa.RecordBatch:
+    """The blocks of whole documents' lines."""
+    doc, size, text = _number(rows, "doc"), rows.column("size").to_numpy(), rows.column("text").combine_chunks()
+    chars = pc.utf8_length(text).to_numpy().astype(np.int64)
+    heading = size >= 1.15 * heaviest(doc, np.floor(size * 2 + 0.5) / 2, chars)[doc]
+    at = np.flatnonzero(edge(doc) | heading | np.r_[False, heading[:-1]])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)], pa.int32()), text), " ")
+    # A block's place among its document's, and the characters before it with two for each break
+    first = np.flatnonzero(edge(doc[at]))[doc[at]]
+    before = np.cumsum(np.r_[0, pc.utf8_length(joined).to_numpy().astype(np.int64)[:-1] + 2])
+    own = pa.array(at)
+    return pa.RecordBatch.from_arrays([
+        rows.column("doc").combine_chunks().take(own), pa.array(np.arange(len(at)) - first + 1), pa.array(heading[at]), rows.column("page").combine_chunks().take(own), joined, pa.array(before - before[first]),
+    ], ["doc", "block", "heading", "page", "text", "start"])
+
+
+def blocks(rows: DataFrame, together: bool = False) -> DataFrame:
     """Headings (1.15 times the body size or more) and paragraphs of the lines between them, with text offsets.
 
-    ``start`` is where a block begins in the document's plain text, blocks joined by a blank line.
+    ``start`` is where a block begins in the document's plain text, blocks joined by a blank line. Lines are dealt by document, unless
+    those of a document lie ``together`` in order already, as ``without_furniture`` leaves them. A null document has no blocks.
     """
-    order = Window.partitionBy("doc").orderBy("page", "y")
-    kinds = rows.join(body_size(rows), "doc").withColumn("heading", F.col("size") >= 1.15 * F.col("body_size"))
-    edge = F.coalesce(F.lag("heading").over(order) | F.col("heading"), F.lit(True)).cast("int")
-    grouped = (
-        kinds.withColumn("edge", edge).withColumn("block", F.sum("edge").over(order))
-        .groupBy("doc", "block")
-        .agg(F.any_value("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("page", "y", "text"))).alias("l"))
-        .select("doc", "block", "heading", F.get("l", F.lit(0))["page"].alias("page"), F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"))
-    )
-    before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return grouped.withColumn("start", F.coalesce(F.sum(F.char_length("text") + 2).over(before), F.lit(0)))
+    lines_ = rows.filter("doc is not null").select("doc", "page", "y", "size", "text")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("doc", "page")}
+    schema = "doc {doc}, block long, heading boolean, page {page}, text string, start long".format(**kind)
+    return (lines_ if together else _by_doc(lines_)).mapInArrow(lambda batches: whole(batches, ("doc",), _blocks), schema)

@@ -135,3 +135,33 @@ def test_listed_citations_move_no_list_of_a_single_row(spark):
     rows = [tuple(r) for r in D.listed_citations(lists).collect()]
     assert set(rows) == expect and len(rows) == len(expect)
     assert "Exchange" not in D.listed_citations(lists.filter("doc < 4"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reflow_deals_the_lines_once(spark, sf_dir):
+    """One shuffle and one sort of a document's lines for furniture and blocks; joins and windows sorted them again and again, on disk."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = reflow.lines(reflow.runs_of(spark, docs), together=True)
+    blocks = reflow.blocks(reflow.without_furniture(rows), together=True)
+    for made in (reflow.furniture(rows), blocks):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("Exchange"), plan.count("Sort ["), plan.count("Join"), plan.count("Window")) == (1, 1, 0, 0)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # documents span batches
+    try:
+        found = sorted(map(tuple, blocks.select("doc", "block", "heading", "page", "text", "start").collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    again = reflow.blocks(reflow.without_furniture(rows).repartition(3)).select("doc", "block", "heading", "page", "text", "start")
+    assert found == sorted(map(tuple, again.collect())) and len(found) > 500
+
+
+def test_furniture_of_small_documents(spark):
+    """Lines at one height on enough pages, digits aside; a document without an id has none, and no blocks."""
+    rows = [(d, p, y, 10.0, t) for d in (1, 2, None) for p in range(3 if d != 2 else 1) for y, t in ((0, f"Page {p}"), (1, "same" if p < 2 else "other"), (2, f"text {'abc'[p]}"))]
+    lines = spark.createDataFrame(rows, "doc int, page int, y int, size double, text string")
+    assert sorted(map(tuple, reflow.furniture(lines).collect())) == [(1, 0, "page #", 3), (1, 1, "same", 2)]
+    left = reflow.without_furniture(lines)
+    assert left.columns == lines.columns and sorted((r["page"], r["text"]) for r in left.filter("doc = 1").collect()) == [(0, "text a"), (1, "text b"), (2, "other"), (2, "text c")]
+    assert left.filter("doc is null").count() == 9 and left.filter("doc = 2").count() == 3
+    blocks = [tuple(r) for r in reflow.blocks(left).orderBy("doc").select("doc", "block", "heading", "page", "text", "start").collect()]
+    assert blocks == [(1, 1, False, 0, "text a text b other text c", 0), (2, 1, False, 0, "Page 0 same text a", 0)]
